@@ -33,6 +33,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    from touchline.llm.training import held_out
+
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm import quality_model
+
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality_model.score_documents(docs, quality_model.train(docs, table(spark, sf_dir, "labels"))), quality_model.THRESHOLD)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op6_quality_model, op7_toxicity, op10_bpe)}
 
 _URL_PARTS = r"""
 parts AS (
