@@ -33,6 +33,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     from touchline.llm.training import held_out
 
@@ -61,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op6_quality_model, op7_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op5_neardup, op6_quality_model, op7_toxicity, op10_bpe)}
 
 _URL_PARTS = r"""
 parts AS (
