@@ -6,7 +6,9 @@ A task sees its partition as a stream of record batches; rows are bounded by
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,10 @@ ROWS_PER_BATCH = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; long texts else make batches of hundreds of MB."""
+    """Bound the Arrow batches of this session (long texts else make batches of hundreds of MB), and let workers import this package as the driver does."""
+    home, path = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, home]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 

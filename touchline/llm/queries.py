@@ -59,6 +59,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.substrings import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op5_neardup, op6_quality_model, op7_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op10_bpe)}
 
 _URL_PARTS = r"""
 parts AS (
