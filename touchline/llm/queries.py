@@ -65,6 +65,13 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm import vptree
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter(F.col("vec_id") % vptree.EVERY == 0))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op9_nearest, op10_bpe)}
 
 _URL_PARTS = r"""
 parts AS (
