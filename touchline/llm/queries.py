@@ -33,6 +33,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.neardup import near_duplicates
 
@@ -80,7 +86,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op9_nearest, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op4_main_text, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op9_nearest, op10_bpe)}
 
 _URL_PARTS = r"""
 parts AS (
