@@ -13,14 +13,14 @@ five-word shingles is at least 0.75; components are the groups of linked ones.
 * Classes that share no value of the first collection with any other can't have
   a candidate and drop out before the keys are formed.
 * Per key, one hub (the class with the most company) is verified against the
-  others: a star, not all pairs. Verified links are joined to components. Where a
-  key still holds several components, the pairs between them are candidates too,
-  but only for classes that share at least three quarters of their set with the
-  other open ones; others provably have no further link. So no link is lost.
+  others: a star, not all pairs. Verified links are joined to components. Members
+  of a hub's keys that are still outside its component are then compared with all
+  the other members, block by block of ``MEMBERS``, so no link is lost and no
+  pairs are written out.
 
 Hot keys: counts and hubs are combined before the shuffle, joins by key can be
-split by adaptive execution, and the members of a hub are salted, 256 a task
-group. Nothing is collected; intermediate tables are written to the shared
+split by adaptive execution, and the members of a hub are salted, about
+``MEMBERS`` to a group. Nothing is collected; intermediate tables are written to the shared
 checkpoint folder.
 
 Defined results: null, empty and blank texts have no shingles, are linked with
@@ -88,9 +88,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), step, "doc_id long, n_shingles long, c1 long, c2 long, a array<long>, b array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
     """The ``pairs`` (x, hub) whose full sets are similar enough. Each hub's text goes once to every ``MEMBERS`` of its members."""
-    hubs = pairs.groupBy("hub").agg(F.floor(F.count("*") / MEMBERS).cast("int").alias("last"))
+    hubs = stage.write(pairs.groupBy("hub").agg(F.floor(F.count("*") / MEMBERS).cast("int").alias("last")))
     member = pairs.join(hubs, "hub").select("hub", F.pmod(F.xxhash64("x"), F.col("last") + 1).cast("int").alias("salt"), "x")
     member = member.join(texts.withColumnRenamed("doc_id", "x"), "x").select("hub", "salt", "x", "text")
     center = hubs.select("hub", F.explode(F.sequence(F.lit(0), "last")).alias("salt")).join(texts.withColumnRenamed("doc_id", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("x"), "text")
@@ -139,21 +139,49 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def _rich(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """The open ids that share at least 75 of 100 of their shingles with other open ones; the rest can't be linked any more."""
+def _cross_links(families: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
+    """Links (x, hub) between components, from ``families`` (hub, doc_id, label, hub_label).
+
+    Members outside the hub's component are compared with all members of the family. The family is dealt in blocks of about
+    ``MEMBERS``, and an outside member goes once to each block, where one index of the block counts what it shares with all."""
+    outside = stage.write(families.filter("label <> hub_label").select("hub", "doc_id", "label"))
+    inside = stage.write(families.join(outside.select("hub").distinct(), "hub", "left_semi").select("hub", "doc_id", "label"))
+    sizes = stage.write(inside.groupBy("hub").agg(F.floor(F.count("*") / MEMBERS).cast("int").alias("last")))
+    blocks = inside.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int").alias("salt"), F.lit(0).alias("kind"), "doc_id", "label")
+    asked = outside.join(sizes, "hub").select("hub", F.explode(F.sequence(F.lit(0), "last")).alias("salt"), F.lit(1).alias("kind"), "doc_id", "label")
+    dealt = blocks.unionByName(asked).join(texts, "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
 
     def step(batches):
+        now, held, index = None, [], None
         for whole in batches:
-            for batch in pieces(whole, 1):
-                flat, bounds = shingle_sets(batch.column(1), SHINGLE)
-                n = np.diff(bounds)
-                ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(flat.view(np.int64))], ["doc_id", "n", "shingle"])
+            for batch in pieces(whole, 5):
+                flat, bounds = shingle_sets(batch.column(5), SHINGLE)
+                out = []
+                for i, (hub, salt, kind, doc_id, label) in enumerate(zip(*columns(batch, "hub", "salt", "kind", "doc_id", "label"))):
+                    own = flat[bounds[i] : bounds[i + 1]]
+                    if (hub, salt) != now:
+                        now, held, index = (hub, salt), [], None
+                    if kind == 0:
+                        held.append((own.copy(), doc_id, label))
+                        continue
+                    if index is None and held:
+                        every = np.concatenate([h[0] for h in held])
+                        order = np.argsort(every, kind="stable")
+                        sizes = np.array([len(h[0]) for h in held])
+                        index = every[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
+                    if index is None:
+                        continue
+                    every, owner, sizes = index
+                    lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    same = np.bincount(owner[at], minlength=len(held))
+                    for j in np.flatnonzero(100 * same >= 75 * (sizes + len(own) - same)).tolist():
+                        if held[j][2] != label:
+                            out.append((doc_id, held[j][1]))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["x", "hub"])
 
-    held = map_batches(texts.join(open_, "doc_id", "left_semi").select("doc_id", "text"), step, "doc_id long, n long, shingle long")
-    common = held.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle")
-    shared = held.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("k"))
-    return shared.filter("100 * k >= 75 * n").select("doc_id")
+    return map_batches(dealt.select("hub", "salt", "kind", "doc_id", "label", "text"), step, "x long, hub long")
 
 
 def near_duplicates(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
@@ -180,19 +208,14 @@ def near_duplicates(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
 
     n_open = open_.count()
     texts = stage.write(with_ids(docs.select("doc_id", "text"), shared.select("doc_id").distinct(), "left_semi", n_open))
-    links = stage.write(_linked(pairs, texts))
+    links = stage.write(_linked(pairs, texts, stage))
     labels = components(links, stage)
 
-    # keys that still hold several components
-    named = shared.select("key", "doc_id", "n").join(labels, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    left = stage.write(named.join(split, "key", "left_semi"))
-    rich = stage.write(_rich(left.select("doc_id").distinct(), texts))
-    left = left.join(rich, "doc_id", "left_semi")
-    other = left.select("key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-    more = left.join(other, "key").filter((F.col("label") != F.col("hub_label")) & (F.col("doc_id") < F.col("hub")) & near(F.col("n"), F.col("hub_n")))
-    more = stage.write(more.select(F.col("doc_id").alias("x"), "hub").distinct().join(pairs.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub")), ["x", "hub"], "left_anti"))
-    found = stage.write(_linked(more, texts))
+    # families (all documents with a key of one hub) that still hold several components
+    names = labels.select(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"))
+    families = shared.select("hub", "doc_id").distinct().join(labels, "doc_id", "left").join(names, "hub", "left")
+    families = families.select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    found = stage.write(_cross_links(stage.write(families), texts, stage))
     if not found.isEmpty():
         labels = components(links.unionByName(found), stage)
 
