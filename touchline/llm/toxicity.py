@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame
 from touchline.llm.arrow import columns, map_batches
 from touchline.llm.training import MAX_TRAIN_CHARS, MAX_TRAIN_ROWS, training_sample
 
-BITS = 32  # features are told apart by 32-bit hashes
 PREFIXES = (4, 5, 6, 7, 8)
 ROUNDS = 120
 THRESHOLD = 0.5
@@ -80,21 +80,25 @@ def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS) -> tuple[dict[int,
     if not len(y) or not 0 < y.sum() < len(y):
         return {}, bias
     codes, names, sentence, document = sentences_of(pa.array([t for t, _ in sample], pa.string()))
-    listed = [features_of(w) for w in names]
-    word = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-    bucket = np.array([b for x in listed for b in x], np.int64)
-    n_docs = len(y)
+    n_docs, flat, n_listed = len(y), array("I"), np.zeros(len(names), np.int64)
+    for k, w in enumerate(names):
+        own = features_of(w)
+        flat.extend(own)
+        n_listed[k] = len(own)
+    bucket, word = np.frombuffer(flat, np.uint32), np.repeat(np.arange(len(names), dtype=np.int32), n_listed)
     # only features that sample documents of label 1 hold far more often may carry weight (a likelihood-ratio test), or rare words would memorise their documents
-    pairs = np.unique(document[sentence] * len(names) + codes)
-    of_doc, of_name = pairs // len(names), pairs % len(names)
-    n_listed = np.array([len(x) for x in listed])
-    begin, reps = np.cumsum(n_listed) - n_listed, n_listed[of_name]
-    flat = np.repeat(begin[of_name] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-    held = np.unique(np.repeat(of_doc, reps) * (1 << BITS) + bucket[flat])
-    seen, place = np.unique(held % (1 << BITS), return_inverse=True)
-    in_1 = np.bincount(place, y[held // (1 << BITS)], len(seen))
-    strong = evidence(in_1, np.bincount(place, minlength=len(seen)), y.sum(), n_docs) >= MIN_EVIDENCE
-    often = strong[np.searchsorted(seen, bucket)]
+    begin, of_word = np.cumsum(n_listed) - n_listed, document[sentence].astype(np.int32)
+    seen, place = np.unique(bucket, return_inverse=True)
+    place = place.astype(np.int32)
+    counts = np.zeros((2, len(seen)), np.int32)
+    bounds = np.searchsorted(of_word, np.arange(n_docs + 1))
+    for d in range(n_docs):
+        own = np.unique(codes[bounds[d] : bounds[d + 1]])
+        held = np.unique(np.concatenate([place[:0], *(place[begin[c] : begin[c] + n_listed[c]] for c in own)]))
+        counts[int(y[d]), held] += 1
+    strong = evidence(counts[1].astype(float), counts.sum(axis=0).astype(float), y.sum(), n_docs) >= MIN_EVIDENCE
+    often = strong[place]
+    del counts, seen, place
     word, bucket = word[often], bucket[often]
     used, place = np.unique(bucket, return_inverse=True)
     w, m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0

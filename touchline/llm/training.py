@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TRAIN_ROWS = 8000  # documents a model is fitted on; scoring has no bound
+MAX_TRAIN_ROWS = 4000  # documents a model is fitted on; scoring has no bound
 MAX_TRAIN_CHARS = 40_000  # longer documents are left out of the training sample only
 
 
