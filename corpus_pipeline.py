@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by repeated windows go; a document that loses all its words goes with them."""
+    """Words covered by repeated windows go; every document stays, with what is left of its text."""
     kept = substrings.without_repeats(docs.select(*COLUMNS))
-    return kept.withColumn("n_chars", F.length("text").cast("bigint")).filter(F.coalesce(F.col("text"), F.lit("")) != "").select(*COLUMNS)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
