@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from touchline.plans import trajectory
+
+QUERIES: dict = {**trajectory.QUERIES}
+ORACLES: dict = {**trajectory.ORACLES}
