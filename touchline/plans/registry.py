@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.plans import trajectory
+from touchline.plans import analysis, trajectory
 
-QUERIES: dict = {**trajectory.QUERIES}
-ORACLES: dict = {**trajectory.ORACLES}
+QUERIES: dict = trajectory.QUERIES | analysis.QUERIES
+ORACLES: dict = trajectory.ORACLES | analysis.ORACLES
