@@ -30,14 +30,14 @@ STOP_WORDS = (
     "el los las y del se por con una su para es al lo como más o"
 ).split()
 
-# name, expression over the measures, limit, side on which a text fails
+# name, numerator and denominator among the measures, side and limit on which a text fails
 RULES = (
-    ("mean_word_length_low", "word_chars / n_words", "<", 2.0),
-    ("mean_word_length_high", "word_chars / n_words", ">", 14.0),
-    ("symbol_ratio", "n_symbols / n_words", ">", 0.4),
-    ("stop_word_ratio", "n_stop_words / n_words", "<", 0.005),
-    ("dup_line_ratio", "n_dup_lines / n_lines", ">", 0.5),
-    ("exclaimed_word_ratio", "n_exclaimed / n_words", ">", 0.5),
+    ("mean_word_length_low", "word_chars", "n_words", "<", 2.0),
+    ("mean_word_length_high", "word_chars", "n_words", ">", 14.0),
+    ("symbol_ratio", "n_symbols", "n_words", ">", 0.4),
+    ("stop_word_ratio", "n_stop_words", "n_words", "<", 0.005),
+    ("dup_line_ratio", "n_dup_lines", "n_lines", ">", 0.5),
+    ("exclaimed_word_ratio", "n_exclaimed", "n_words", ">", 0.5),
 )
 
 
@@ -100,7 +100,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 def verdict(rules=RULES) -> Column:
     """True where no rule fails; a ratio over zero is null and fails no rule."""
-    fails = [F.coalesce(F.expr(f"{ratio} {side} {limit}D"), F.lit(False)) for _, ratio, side, limit in rules]
+    fails = [F.coalesce(F.expr(f"try_divide({part}, {whole}) {side} {limit}D"), F.lit(False)) for _, part, whole, side, limit in rules]
     return ~reduce(lambda a, b: a | b, fails)
 
 

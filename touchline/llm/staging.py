@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000  # id lists up to this many rows (8 bytes each) may be broadcast; longer ones are joined by shuffle
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="touchline-")
+
+
 class Stage:
     """A folder below ``spark.checkpoint.dir`` for the written tables of one run; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession) -> None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="touchline-")  # only where the session names no shared folder, as in tests
-            spark.conf.set("spark.checkpoint.dir", root)
+            root = _own_folder()  # only where the session names no shared folder, as in tests
         self.spark, self.path, self.n = spark, f"{root.rstrip('/')}/touchline-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
