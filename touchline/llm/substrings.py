@@ -7,15 +7,16 @@ window whose words also start somewhere else is removed.
   Equal windows have equal anchors, so a window can only repeat if its anchor does.
   Anchors are counted over the whole corpus (combined before the shuffle) and
   those that occur once drop out.
-* Consecutive windows with one anchor form a segment. Segments of repeated
-  anchors, equal ones combined with a count, are dealt by anchor. A task reads
-  its anchors in order and builds one FM-index per ``SHARD_WORDS`` words. The
-  segments are streamed through backward search over its wavelet tree, and the
-  ranges of windows that match at least twice are reported. All windows of a
-  segment that occurs more than once repeat without a search.
-* Anchors with very many windows (a passage that a great part of the documents
-  share, or periodic text) would put an unbounded group into one task: their
-  windows are dealt one by one by 128 bits of their own hash and counted, which
+* Consecutive windows with one anchor form a segment. Segments are named by 128
+  bits (anchor and hash); those that occur more than once repeat as a whole, and
+  one of each distinct segment goes on, so copies of any number are one row.
+* The distinct segments of repeated anchors are dealt by anchor. A task reads its
+  anchors in order and builds one FM-index per ``SHARD_WORDS`` words. The segments
+  are streamed through backward search over its wavelet tree, and the ranges of
+  windows that match at least twice are reported.
+* Anchors with very many windows (a passage in ever new surroundings, or periodic
+  text) would put an unbounded group into one task: the windows of their distinct
+  segments are dealt one by one by 128 bits of their own hash and counted, which
   combines before the shuffle and is exact as well.
 * The ranges go back to the documents, which are rewritten in one pass.
 
@@ -47,6 +48,8 @@ SHARD_WORDS = 300_000
 HOT_WINDOWS = 8192  # windows of one anchor, beyond which they are dealt one by one
 SMALL_ROWS, SMALL_SPANS = 1_000_000, 4_000_000  # rows and integers that may be broadcast
 _OTHER = np.uint64(0xD1B54A32D192ED03)
+_BASE = np.uint64(0x9FB21C651E98DF25)
+_BASE_BACK = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 
 
 def least_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -59,20 +62,38 @@ def least_of(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window, number of windows and number of places of the anchor, for each segment of one text."""
+def segments_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments of all texts of a batch: text, anchor, hash of the words, first window, windows, and places of the anchor in it.
+
+    ``bounds`` has the first word of each text and one more at the end; the first window counts from the start of its text."""
+    none = np.zeros(0, np.int64)
     if len(words) < WIDTH:
-        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     grams = gram_hashes(words, GRAM)
     anchor = least_of(grams, WIDTH - GRAM + 1)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    n = np.diff(np.append(first, len(anchor)))
-    own = anchor[first]
+    own = text[: len(anchor)]
+    valid = own == text[WIDTH - 1 :]
+    fresh = np.ones(len(anchor), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | ~valid[:-1]
+    first = np.flatnonzero(fresh & valid)
+    ends = np.flatnonzero(valid & np.append(fresh[1:] | ~valid[1:], True)) + 1
+    n, own, anchor = ends - first, own[first], anchor[first]
+    power = np.full(len(words) + 1, _BASE, np.uint64)
+    power[0] = 1
+    back = np.full(len(words) + 1, _BASE_BACK, np.uint64)
+    back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(power)[:-1])])
+    stop = ends + WIDTH - 1
+    s = mix((sums[stop] - sums[first]) * np.cumprod(back)[first] + n.astype(np.uint64))
+    # an anchor has several places in a segment only if its gram is repeated in the text
+    mark = mix(grams + text[: len(grams)].astype(np.uint64) * _OTHER)
+    ordered = np.sort(mark)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     places = np.ones(len(first), np.int64)
-    for k in np.flatnonzero(n > 1).tolist():
-        reach = grams[first[k] : first[k] + n[k] + WIDTH - GRAM]
-        places[k] = np.count_nonzero(reach == own[k])
-    return own, first, n, places
+    for k in np.flatnonzero(np.isin(mix(anchor + own.astype(np.uint64) * _OTHER), again)).tolist():
+        places[k] = np.count_nonzero(grams[first[k] : ends[k] + WIDTH - GRAM] == anchor[k])
+    return own, anchor, s, first - bounds[own], n, places
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -85,68 +106,58 @@ def _texts(batches, column: int = 2):
     for whole in batches:
         for batch in pieces(whole, column):
             data, starts, ends, bounds = word_spans(batch.column(column))
-            yield batch, data, starts, ends, bounds.tolist(), hash_words(data, starts, ends, False)
+            yield batch, data, starts, ends, bounds, hash_words(data, starts, ends, False)
+
 
+def _runs(docs: DataFrame) -> DataFrame:
+    names = ["r1", "r2", "anchor", "s", "first", "n", "places"]
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
     def step(batches):
         for batch, _, _, _, bounds, words in _texts(batches):
-            found = [segments_of(words[a:b]) for a, b in zip(bounds, bounds[1:])]
-            sizes = [len(f[0]) for f in found]
-            at = np.repeat(np.arange(len(found)), sizes)
-            own, _, n, places = (np.concatenate(x) for x in zip(*found))
-            keys = [np.array(c, np.int64)[at] for c in columns(batch, "r1", "r2")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(own.view(np.int64)), pa.array(n), pa.array(places)], ["r1", "r2", "anchor", "n", "places"])
+            own, anchor, s, first, n, places = segments_of(words, bounds)
+            keys = [np.array(c, np.int64)[own] for c in columns(batch, "r1", "r2")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, anchor.view(np.int64), s.view(np.int64), first, n, places)], names)
 
-    return map_batches(_rows(docs), step, "r1 long, r2 long, anchor long, n long, places long")
+    return map_batches(_rows(docs), step, ", ".join(f"{n} long" for n in names))
 
 
-def _segments(chosen: DataFrame) -> DataFrame:
-    """The segments of the listed anchors (``anchors``; those of ``hot`` without their words), from rows of texts."""
+def _bodies(chosen: DataFrame) -> DataFrame:
+    """The words of the listed segments (``parts``: anchor, s, first, n, k)."""
 
     def step(batches):
-        for batch, data, starts, ends, bounds, words in _texts(batches):
-            raw = data.tobytes()
-            rows = [[] for _ in range(6)]
-            listed, hots = columns(batch, "anchors", "hot")
-            for i, (r1, r2) in enumerate(zip(*columns(batch, "r1", "r2"))):
-                a = bounds[i]
-                own, first, n, _ = segments_of(words[a : bounds[i + 1]])
-                own = own.view(np.int64)
-                hot = np.isin(own, np.array(hots[i], np.int64))
-                for k in np.flatnonzero(hot | np.isin(own, np.array(listed[i], np.int64))).tolist():
-                    lo, hi = a + first[k], a + first[k] + n[k] + WIDTH - 1
-                    body = None if hot[k] else b" ".join(raw[s:e] for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist()))
-                    for row, value in zip(rows, (r1, r2, int(own[k]), int(first[k]), int(n[k]), body)):
-                        row.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 5 + [pa.binary()])], ["r1", "r2", "anchor", "first", "n", "body"])
-
-    return map_batches(chosen.select("r1", "r2", "text", "anchors", "hot"), step, "r1 long, r2 long, anchor long, first long, n long, body binary")
-
-
-def _hot_windows(chosen: DataFrame) -> DataFrame:
-    """Place and 128 bits of each window of the hot anchors."""
+        for batch, data, starts, ends, bounds, _ in _texts(batches):
+            raw, rows = data.tobytes(), []
+            for a, parts in zip(bounds.tolist(), *columns(batch, "parts")):
+                for p in parts:
+                    lo = a + p["first"]
+                    hi = lo + p["n"] + WIDTH - 1
+                    rows.append((p["anchor"], p["s"], b" ".join(raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())), p["k"]))
+            columns_ = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["anchor", "s", "body", "k"])
+
+    return map_batches(chosen.select("r1", "r2", "text", "parts"), step, "anchor long, s long, body binary, k long")
+
+
+def _windows(chosen: DataFrame) -> DataFrame:
+    """128 bits of each window of the listed segments, with its place and the count of its segment."""
 
     def step(batches):
         for batch, _, _, _, bounds, words in _texts(batches):
-            out = [[np.zeros(0, np.int64)] for _ in range(5)]
-            (hots,) = columns(batch, "hot")
-            for i, (r1, r2) in enumerate(zip(*columns(batch, "r1", "r2"))):
-                mine = words[bounds[i] : bounds[i + 1]]
-                own, first, n, _ = segments_of(mine)
-                for k in np.flatnonzero(np.isin(own.view(np.int64), np.array(hots[i], np.int64))).tolist():
-                    part = mine[first[k] : first[k] + n[k] + WIDTH - 1]
+            out = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for a, r1, r2, parts in zip(bounds.tolist(), *columns(batch, "r1", "r2", "parts")):
+                for p in parts:
+                    part = words[a + p["first"] : a + p["first"] + p["n"] + WIDTH - 1]
                     w1, w2 = gram_hashes(part, WIDTH), gram_hashes(mix(part + _OTHER), WIDTH)
-                    for column, values in zip(out, (np.full(n[k], r1), np.full(n[k], r2), first[k] + np.arange(n[k]), w1.view(np.int64), w2.view(np.int64))):
+                    for column, values in zip(out, (np.full(p["n"], r1), np.full(p["n"], r2), p["first"] + np.arange(p["n"]), w1.view(np.int64), w2.view(np.int64), np.full(p["n"], p["k"]))):
                         column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["r1", "r2", "first", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["r1", "r2", "first", "w1", "w2", "k"])
 
-    return map_batches(chosen.filter("size(hot) > 0").select("r1", "r2", "text", "hot"), step, "r1 long, r2 long, first long, w1 long, w2 long")
+    return map_batches(chosen.select("r1", "r2", "text", "parts"), step, "r1 long, r2 long, first long, w1 long, w2 long, k long")
 
 
-def _search(distinct: DataFrame) -> DataFrame:
-    """``anchor, s, spans``: for each distinct segment the ranges of its repeated windows (from, to, from, to, ...), if any."""
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor")
+def _search(bodies: DataFrame) -> DataFrame:
+    """``anchor, s, spans``: for each segment that occurs once the ranges of its repeated windows (from, to, from, to, ...), if any."""
+    dealt = bodies.repartition("anchor").sortWithinPartitions("anchor")
 
     def shard(held):
         codes: dict[bytes, int] = {}
@@ -154,7 +165,7 @@ def _search(distinct: DataFrame) -> DataFrame:
         text = np.array([c for x in lists for c in (*x, 0)], np.int64)
         starts = np.cumsum([0, *(len(x) + 1 for x in lists)])[:-1]
         windows = np.array([len(x) for x in lists]) - WIDTH + 1
-        spans: list[list[int]] = [[0, int(n) - 1] if h[3] > 1 else [] for h, n in zip(held, windows)]
+        spans: list[list[int]] = [[] for _ in held]
         once = np.array([k for k, h in enumerate(held) if h[3] == 1], np.int64)
         if len(once):
             for k, a, b in zip(*(x.tolist() for x in repeated_windows(FMIndex(text), text, starts[once], windows[once], WIDTH))):
@@ -177,29 +188,42 @@ def _search(distinct: DataFrame) -> DataFrame:
     return map_batches(dealt, step, "anchor long, s long, spans array<long>")
 
 
+def _chosen(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Texts of the rows that have listed segments, with those. Of equal rows each comes; their segments count more than once anyway."""
+    lists = parts.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "s", "first", "n", "k")).alias("parts"))
+    ids = parts.select("r1", "r2").distinct()
+    rows = _rows(docs)
+    if ids.count() <= SMALL_ROWS:  # texts without a listed segment stay where they are
+        rows = rows.join(F.broadcast(ids), ["r1", "r2"], "left_semi")
+    return rows.join(lists, ["r1", "r2"])
+
+
 def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     """``r1, r2, spans``: for each row with repeats the word ranges (start, stop, start, stop, ...) to remove."""
     stage = stage or Stage(docs.sparkSession)
-    runs = _anchor_rows(docs)
-    repeated = runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.sum("n").alias("n")).filter("places > 1")
-    repeated = stage.write(repeated.select("anchor", (F.col("n") > HOT_WINDOWS).alias("is_hot")))
-    lists = runs.select("r1", "r2", "anchor").join(repeated, "anchor").groupBy("r1", "r2")
-    lists = stage.write(lists.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")))
-    rows = _rows(docs)
-    if lists.count() <= SMALL_ROWS:  # texts without a repeated anchor stay where they are
-        rows = rows.join(F.broadcast(lists.select("r1", "r2")), ["r1", "r2"], "left_semi")
-    chosen = rows.join(lists, ["r1", "r2"])
-
-    parts = stage.write(_segments(chosen.filter("size(anchors) > 0").withColumn("hot", F.array().cast("array<long>"))).withColumn("s", F.xxhash64("body")))
-    distinct = parts.groupBy("anchor", "s", "body").agg(F.count("*").alias("k"))
-    found = stage.write(_search(distinct))
-    base = parts.select("anchor", "s", "r1", "r2", "first").join(found, ["anchor", "s"])
-    spans = base.select("r1", "r2", F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, WIDTH).otherwise(0)).alias("spans"))
-
-    windows = stage.write(_hot_windows(chosen))
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).filter("k > 1").select("w1", "w2")
-    single = windows.join(twice, ["w1", "w2"]).select("r1", "r2", F.array(F.col("first"), F.col("first") + WIDTH).alias("spans"))
-    return stage.write(spans.unionByName(single).groupBy("r1", "r2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    runs = stage.write(_runs(docs))
+    anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.sum("n").alias("n"), F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("places > 1")
+    kind = F.when((F.col("k") > 1) & (F.col("lo") == F.col("hi")), "same").when(F.col("n") > HOT_WINDOWS, "hot").otherwise("mixed")
+    anchors = stage.write(anchors.select("anchor", kind.alias("kind")))
+    hits = stage.write(runs.drop("places").join(anchors, "anchor"))
+    whole = lambda df: df.select("r1", "r2", F.array(F.col("first"), F.col("first") + F.col("n") + (WIDTH - 1)).alias("spans"))
+
+    mixed = hits.filter("kind <> 'same'")
+    one = mixed.groupBy("anchor", "s").agg(F.min(F.struct("r1", "r2", "first")).alias("r"), F.first("n").alias("n"), F.count("*").alias("k"), F.first("kind").alias("kind"))
+    one = stage.write(one.select("anchor", "s", "r.*", "n", "k", "kind"))  # one of each distinct segment
+    copies = mixed.join(one.filter("k > 1").select("anchor", "s"), ["anchor", "s"], "left_semi")
+    once = one.filter("k = 1")
+
+    found = stage.write(_search(_bodies(_chosen(docs, one.filter("kind = 'mixed'")))))
+    matched = once.join(found, ["anchor", "s"])
+    matched = matched.select("r1", "r2", F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, WIDTH).otherwise(0)).alias("spans"))
+
+    windows = stage.write(_windows(_chosen(docs, one.filter("kind = 'hot'"))))
+    twice = windows.groupBy("w1", "w2").agg(F.sum("k").alias("k")).filter("k > 1").select("w1", "w2")
+    single = windows.filter("k = 1").join(twice, ["w1", "w2"]).select("r1", "r2", F.array(F.col("first"), F.col("first") + WIDTH).alias("spans"))
+
+    spans = whole(hits.filter("kind = 'same'")).unionByName(whole(copies)).unionByName(matched).unionByName(single)
+    return stage.write(spans.groupBy("r1", "r2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
