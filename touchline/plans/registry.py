@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.plans import analysis, state, trajectory
+from touchline.plans import analysis, clips, state, trajectory
 
-QUERIES: dict = trajectory.QUERIES | analysis.QUERIES | state.QUERIES
-ORACLES: dict = trajectory.ORACLES | analysis.ORACLES | state.ORACLES
+QUERIES: dict = trajectory.QUERIES | analysis.QUERIES | state.QUERIES | clips.QUERIES
+ORACLES: dict = trajectory.ORACLES | analysis.ORACLES | state.ORACLES | clips.ORACLES
