@@ -15,6 +15,19 @@ from touchline.llm.staging import Stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_scratch: list[Stage] = []
+
+
+def scratch(spark: SparkSession) -> Stage:
+    """A folder for the tables between the steps of one stage; that of the stage before goes, as its result is written by now."""
+    while _scratch:
+        old = _scratch.pop()
+        if old.spark is spark:
+            old.remove()
+    _scratch.append(Stage(spark))
+    return _scratch[0]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score reaches the threshold go. The model is fitted on the labelled documents of the input."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,12 +41,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays."""
-    return neardup.one_of_each(docs.select(*COLUMNS))
+    return neardup.one_of_each(docs.select(*COLUMNS), scratch(spark))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by repeated windows go; every document stays, with what is left of its text."""
-    kept = substrings.without_repeats(docs.select(*COLUMNS))
+    kept = substrings.without_repeats(docs.select(*COLUMNS), scratch(spark))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
@@ -41,6 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     import public_tokenizers
 
+    scratch(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
