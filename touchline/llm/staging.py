@@ -33,6 +33,13 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(at)
 
 
+    def remove(self) -> None:
+        """Delete the tables, once nothing reads them any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_ids(df: DataFrame, ids: DataFrame, how: str, n_ids: int | None = None) -> DataFrame:
     """``df`` semi- or anti-joined on doc_id with a table of ids: by broadcast when its counted rows are few, else by shuffle."""
     n = ids.count() if n_ids is None else n_ids

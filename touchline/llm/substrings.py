@@ -43,9 +43,9 @@ from touchline.llm.fmindex import FMIndex, repeated_windows
 from touchline.llm.shingles import gram_hashes, hash_words, mix, pieces, word_spans
 from touchline.llm.staging import Stage
 
-WIDTH, GRAM = 35, 8
+WIDTH, GRAM = 35, 18  # shorter grams would also be shared by common lines that no window can cover
 SHARD_WORDS = 300_000
-HOT_WINDOWS = 8192  # windows of one anchor, beyond which they are dealt one by one
+HOT_WINDOWS = 100_000  # windows of the distinct segments of one anchor, beyond which they are dealt one by one
 SMALL_ROWS, SMALL_SPANS = 1_000_000, 4_000_000  # rows and integers that may be broadcast
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -202,27 +202,27 @@ def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     """``r1, r2, spans``: for each row with repeats the word ranges (start, stop, start, stop, ...) to remove."""
     stage = stage or Stage(docs.sparkSession)
     runs = stage.write(_runs(docs))
-    anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.sum("n").alias("n"), F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("places > 1")
-    kind = F.when((F.col("k") > 1) & (F.col("lo") == F.col("hi")), "same").when(F.col("n") > HOT_WINDOWS, "hot").otherwise("mixed")
-    anchors = stage.write(anchors.select("anchor", kind.alias("kind")))
-    hits = stage.write(runs.drop("places").join(anchors, "anchor"))
+    anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("places > 1")
+    same = (F.col("k") > 1) & (F.col("lo") == F.col("hi"))
+    hits = stage.write(runs.drop("places").join(anchors.select("anchor", same.alias("same")), "anchor"))
     whole = lambda df: df.select("r1", "r2", F.array(F.col("first"), F.col("first") + F.col("n") + (WIDTH - 1)).alias("spans"))
 
-    mixed = hits.filter("kind <> 'same'")
-    one = mixed.groupBy("anchor", "s").agg(F.min(F.struct("r1", "r2", "first")).alias("r"), F.first("n").alias("n"), F.count("*").alias("k"), F.first("kind").alias("kind"))
-    one = stage.write(one.select("anchor", "s", "r.*", "n", "k", "kind"))  # one of each distinct segment
+    mixed = hits.filter("not same")
+    one = stage.write(mixed.groupBy("anchor", "s").agg(F.min(F.struct("r1", "r2", "first")).alias("r"), F.first("n").alias("n"), F.count("*").alias("k")).select("anchor", "s", "r.*", "n", "k"))  # one of each distinct segment
+    large = stage.write(one.groupBy("anchor").agg(F.sum("n").alias("all")).filter(F.col("all") > HOT_WINDOWS).select("anchor"))
+    near = F.broadcast(large) if large.count() <= SMALL_ROWS else large.hint("merge")
     copies = mixed.join(one.filter("k > 1").select("anchor", "s"), ["anchor", "s"], "left_semi")
     once = one.filter("k = 1")
 
-    found = stage.write(_search(_bodies(_chosen(docs, one.filter("kind = 'mixed'")))))
+    found = stage.write(_search(_bodies(_chosen(docs, one.join(near, "anchor", "left_anti")))))
     matched = once.join(found, ["anchor", "s"])
     matched = matched.select("r1", "r2", F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, WIDTH).otherwise(0)).alias("spans"))
 
-    windows = stage.write(_windows(_chosen(docs, one.filter("kind = 'hot'"))))
+    windows = stage.write(_windows(_chosen(docs, one.join(near, "anchor", "left_semi"))))
     twice = windows.groupBy("w1", "w2").agg(F.sum("k").alias("k")).filter("k > 1").select("w1", "w2")
     single = windows.filter("k = 1").join(twice, ["w1", "w2"]).select("r1", "r2", F.array(F.col("first"), F.col("first") + WIDTH).alias("spans"))
 
-    spans = whole(hits.filter("kind = 'same'")).unionByName(whole(copies)).unionByName(matched).unionByName(single)
+    spans = whole(hits.filter("same")).unionByName(whole(copies)).unionByName(matched).unionByName(single)
     return stage.write(spans.groupBy("r1", "r2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
