@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import folds
+from touchline.operators import folds, identity, pitch
 from touchline.sources.projections import BOXES, SAMPLES, project
 from touchline.streaming import live
 
@@ -51,6 +51,44 @@ def q_player_tracker(spark, sf_dir):
     return folds.track_players(project(spark, sf_dir, "events", SAMPLES).filter("x is not null").select("match_id", (F.col("frame_index") / 64).cast("long").alias("frame_index"), F.col("frame_index").alias("det_id"), ((F.col("frame_index") / 64).cast("long") * 320).alias("t_ms"), "x", "y"))
 
 
+@query()
+def q_identity_fold(spark, sf_dir):
+    expressions = (
+        "user_id % 64 AS match_id", "event_id AS contact_id", "event_id * 5 / 1000.0D AS t_sec", "CAST((event_id * 3 + user_id * 7) % 600 AS DOUBLE) AS x", "CAST(event_id * 2 % 330 AS DOUBLE) AS y",
+        "CASE WHEN event_id % 7 <> 0 THEN CAST(event_id * 17 % 101 AS DOUBLE) / 100.0D END AS app", "CAST(event_id * 37 % 180 AS DOUBLE) AS h", "CAST(event_id * 5 % 250 AS DOUBLE) AS s",
+        "CASE WHEN event_id % 11 <> 0 THEN CAST(event_id * 13 % 256 AS DOUBLE) END AS v", "CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS is_mine",
+    )
+    return identity.score_identity(project(spark, sf_dir, "events", expressions))
+
+
+def _clicks(spark, sf_dir):
+    """Clicks of a made-up camera on the landmarks: eight a frame."""
+    spots = pitch.landmarks(spark)
+    named = spots.withColumn("place", F.abs(F.xxhash64("landmark")) % 8)
+    frames = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("match_id"), F.col("c_custkey").alias("frame_index"), (F.col("c_custkey") % 8).alias("place"))
+    seen = frames.join(named, "place").withColumns({"px": F.col("l") * 105 + F.col("dx"), "py": F.col("w") * 68 + F.col("dy")})
+    depth = 1 + F.col("py") * 0.01 + F.col("frame_index") % 5 * 0.1
+    return seen.select("match_id", "frame_index", "landmark", ((F.col("px") * 6 + F.col("frame_index") % 40) / depth).alias("x"), ((300 - F.col("py") * 3) / depth).alias("y"))
+
+
+@query()
+def q_homography(spark, sf_dir):
+    return pitch.fit_homographies(pitch.place(_clicks(spark, sf_dir))).select("match_id", "frame_index", (F.col("residual") < 1e-3).alias("exact"))
+
+
+@query(
+    """WITH e AS (VALUES ('L', 0, 1), ('R', 1, -1)), a(name, depth, across) AS (VALUES ('penarea_{}_goalline', 0.0, 20.16), ('penarea_{}_outer', 16.5, 20.16), ('goalarea_{}_goalline', 0.0, 9.16), ('goalarea_{}_outer', 5.5, 9.16), ('post_{}', 0.0, 3.66)),
+s(side, sg) AS (VALUES ('near', -1), ('far', 1)), r AS (
+SELECT replace(name, '{}', e.col0) || '_' || side AS landmark, e.col1 * 105 + e.col2 * depth AS px, 34 + sg * across AS py FROM e, a, s
+UNION ALL SELECT 'penspot_' || e.col0, e.col1 * 105 + e.col2 * 11, 34 FROM e UNION ALL VALUES ('corner_near_left', 0, 0), ('corner_far_left', 0, 68), ('corner_near_right', 105, 0), ('corner_far_right', 105, 68),
+('halfway_near', 52.5, 0), ('halfway_far', 52.5, 68), ('centre_spot', 52.5, 34), ('circle_near', 52.5, 24.85), ('circle_far', 52.5, 43.15), ('circle_left', 43.35, 34), ('circle_right', 61.65, 34))
+SELECT landmark, floor(px::DOUBLE * 10000 + 0.5) / 10000 AS px, floor(py::DOUBLE * 10000 + 0.5) / 10000 AS py FROM r"""
+)
+def q_landmarks(spark, sf_dir):
+    at = lambda c: F.floor(c * 10000 + 0.5) / 10000
+    return pitch.landmarks(spark).select("landmark", at(F.col("l") * 105 + F.col("dx")).alias("px"), at(F.col("w") * 68 + F.col("dy")).alias("py"))
+
+
 @query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) > 20 AS limited FROM events GROUP BY ALL")
 def q_hourly_counts(spark, sf_dir):
     return live.hourly_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
