@@ -205,7 +205,7 @@ def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("places > 1")
     same = (F.col("k") > 1) & (F.col("lo") == F.col("hi"))
     hits = stage.write(runs.drop("places").join(anchors.select("anchor", same.alias("same")), "anchor"))
-    whole = lambda df: df.select("r1", "r2", F.array(F.col("first"), F.col("first") + F.col("n") + (WIDTH - 1)).alias("spans"))
+    whole = lambda df: df.select("r1", "r2", F.col("first").alias("a"), (F.col("first") + F.col("n") + (WIDTH - 1)).alias("b"))
 
     mixed = hits.filter("not same")
     one = stage.write(mixed.groupBy("anchor", "s").agg(F.min(F.struct("r1", "r2", "first")).alias("r"), F.first("n").alias("n"), F.count("*").alias("k")).select("anchor", "s", "r.*", "n", "k"))  # one of each distinct segment
@@ -216,14 +216,27 @@ def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
 
     found = stage.write(_search(_bodies(_chosen(docs, one.join(near, "anchor", "left_anti")))))
     matched = once.join(found, ["anchor", "s"])
-    matched = matched.select("r1", "r2", F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, WIDTH).otherwise(0)).alias("spans"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
+    matched = matched.select("r1", "r2", "first", F.explode(pairs).alias("p")).select("r1", "r2", (F.col("first") + F.col("p.a")).alias("a"), (F.col("first") + F.col("p.b") + WIDTH).alias("b"))
 
     windows = stage.write(_windows(_chosen(docs, one.join(near, "anchor", "left_semi"))))
     twice = windows.groupBy("w1", "w2").agg(F.sum("k").alias("k")).filter("k > 1").select("w1", "w2")
-    single = windows.filter("k = 1").join(twice, ["w1", "w2"]).select("r1", "r2", F.array(F.col("first"), F.col("first") + WIDTH).alias("spans"))
+    single = windows.filter("k = 1").join(twice, ["w1", "w2"]).select("r1", "r2", F.col("first").alias("a"), (F.col("first") + WIDTH).alias("b"))
 
     spans = whole(hits.filter("same")).unionByName(whole(copies)).unionByName(matched).unionByName(single)
-    return stage.write(spans.groupBy("r1", "r2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    ordered = spans.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return stage.write(ordered.withColumn("spans", F.flatten(F.transform(_joined(F.col("spans")), lambda x: F.array(x["a"], x["b"])))))
+
+
+def _joined(spans):
+    """Sorted ranges with those that touch made one."""
+
+    def add(done, x):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
+        return F.when(F.size(done) == 0, F.array(x)).when(x["a"] <= last["b"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, F.filter(spans, lambda x: F.lit(False)), add)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
