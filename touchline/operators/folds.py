@@ -84,19 +84,22 @@ def greedy_clusters(points: DataFrame, radius: float) -> DataFrame:
     """``match_id, item, cluster``: each item in order joins the nearest running mean within the radius or opens a new one."""
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        means, sizes, out = [], [], []
+        sizes, out = [], []
+        means = np.zeros((16, len(pdf.vector.iloc[0])))
         pdf = pdf.sort_values("item")
         for v in pdf.vector:
             v = np.asarray(v, float)
-            d = [float(np.linalg.norm(v - m)) for m in means]
-            best = int(np.argmin(d)) if d else -1
+            d = np.sqrt(((means[: len(sizes)] - v) ** 2).sum(axis=1))
+            best = int(np.argmin(d)) if sizes else -1
             if best < 0 or d[best] > radius:
-                means.append(v)
+                best = len(sizes)
+                if best == len(means):
+                    means = np.concatenate([means, np.zeros_like(means)])
+                means[best] = v
                 sizes.append(1)
-                best = len(means) - 1
             else:
                 sizes[best] += 1
-                means[best] = means[best] + (v - means[best]) / sizes[best]
+                means[best] += (v - means[best]) / sizes[best]
             out.append(best)
         return pd.DataFrame({"match_id": key[0], "item": pdf["item"].to_numpy(), "cluster": out})
 

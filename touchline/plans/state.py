@@ -28,7 +28,7 @@ def q_smoother_fold(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null").select(F.col("label").cast("long").alias("match_id"), F.col("vec_id").alias("item"), F.slice("embedding", 1, 8).alias("vector"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null").select(F.col("label").cast("long").alias("match_id"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
 
 
 @query()
