@@ -12,7 +12,8 @@ vectors and searches all queries of a block in it together, so nothing is
 shuffled but the k best of each task, which are merged in two steps. Queries are
 sent in blocks of at most ``QUERY_BLOCK`` rows; the number of blocks grows with
 the queries, the size of a block does not. Equal vectors are one point of the
-tree with its smallest ids, however many copies there are.
+tree with its smallest ids, however many copies there are. Where the last place is
+tied beyond the spare points, all points of the shard at that product are ranked.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; only vectors of one length are compared; rows that
@@ -132,10 +133,16 @@ class _Shard:
         x = np.stack([np.frombuffer(b, float) for b in self.ids])
         names = [sorted(set(v))[: k + 1] for v in self.ids.values()]
         rows, _ = Tree(x).search(q, k + SPARE, factor)
+        longest = np.sqrt(np.einsum("ij,ij->i", x, x).max())
         for i in range(len(q)):
             own = rows[i][rows[i] >= 0]
             own = own[own < len(x)]
             s = products(q[i][None], x[own])
+            if len(own) == k + SPARE:
+                last, slack = np.sort(s)[-k - 1], 1e-9 * longest * np.linalg.norm(q[i])  # one more than k: a point may be the query's own
+                if last - s.min() <= slack:  # more points may tie with the last one than were kept
+                    own = np.flatnonzero(x @ q[i] >= last - slack)
+                    s = products(q[i][None], x[own])
             new = {(-float(v), j) for v, r in zip(s, own.tolist()) for j in names[r] if j != ids[i]}
             seen: dict[int, float] = {}
             for v, j in sorted(new.union(best[i])):
