@@ -14,10 +14,12 @@ A task packs its own partition in blocks of ``BLOCK_TOKENS``, so there is no
 shuffle and memory is bounded by the block whatever the input; a retried task
 gives the same rows.
 
-Word ids come from the tokenizers library. White space always ends a token, so
-the ids of a text are those of its words in order, and each distinct word is
-asked for once and remembered. Words of plain Latin characters are split here
-and go to the library's model; all others go through the whole tokenizer.
+Word ids come from the tokenizers library, as a freshly loaded file gives them.
+Where the file says that white space always ends a token, the ids of a text are
+those of its words in order, and each distinct word is asked for once and
+remembered. Words of plain Latin characters are split by the file's own pattern
+and go to the library's model; all others, and those that hold the string of an
+added token, go through the whole tokenizer.
 
 Defined results: a null text is the empty text (only the end id); a null doc_id
 stays null; repeated rows are packed each on its own; an empty table gives no
@@ -26,6 +28,7 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -48,19 +51,38 @@ STEP_TOKENS = 1 << 16
 MEMO_WORDS = 250_000
 
 _PLAIN = re.compile(r"[\x21-\x7e¡-ÿ]*")
+_SPACE_SAFE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 class WordIds:
-    """Ids of words, asked of the tokenizer once per distinct word and kept for later batches of the same worker."""
+    """Ids of words, asked of the tokenizer once per distinct word and kept for later batches of the same worker.
+
+    The way the file splits text is read from it: only a tokenizer that folds white space, lower-cases, and takes runs by one
+    pattern in byte form may be asked word by word; any other gets whole texts. The strings of its added tokens (such as an end
+    mark that stands in a text) are left to the tokenizer itself."""
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.runs_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.byte_form = {w: self.tokenizer.pre_tokenizer.pre_tokenize_str(w)[0][0] for w in map(chr, range(0xA1, 0x100))}
+        with open(path, encoding="utf-8") as f:
+            layout = json.load(f)
+        steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        added = [t for t in layout.get("added_tokens", ()) if t["content"]]
+        self.by_word = (
+            (layout.get("normalizer") or {}).get("normalizers") == _SPACE_SAFE
+            and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+            and steps[0].get("behavior") == "Removed"
+            and steps[0].get("invert") is True
+            and not steps[1].get("add_prefix_space", True)
+            and not steps[1].get("use_regex", True)
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added)
+        )
+        if self.by_word:
+            self.runs_of = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.byte_form = {w: self.tokenizer.pre_tokenizer.pre_tokenize_str(w)[0][0] for w in map(chr, range(0xA1, 0x100))}
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the generation that ``known`` replaced
 
@@ -72,7 +94,7 @@ class WordIds:
     def _ids(self, word: str) -> bytes:
         if (v := self.before.get(word)) is not None:
             return v
-        if not _PLAIN.fullmatch(word):
+        if not _PLAIN.fullmatch(word) or self.added.search(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         elif word.isalpha():
             ids = self._run(word.lower())
@@ -80,8 +102,14 @@ class WordIds:
             ids = [i for run in self.runs_of(word.lower()) for i in self._run(run)]
         return array("I", ids).tobytes()
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each followed by END_ID, and where each text begins and the last ends."""
+        if not self.by_word:
+            return self._whole(texts)
         words = pc.ascii_split_whitespace(texts)
         offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
