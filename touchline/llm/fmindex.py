@@ -74,18 +74,19 @@ class FMIndex:
         return lo + shift, hi + shift
 
 
-def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int, copied: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matching statistics against a threshold: (segment, first, last) ranges of windows that occur at least twice in the index.
 
     Segments begin at ``starts`` of the indexed ``text`` and hold ``windows`` windows of ``width`` words. Each works on its
     undecided windows from both sides. Left: the first window is searched backwards from its end; where the match breaks at
     a word, no window over that word and the end repeats, so all up to that word are passed. Right: from the end of
-    the last window a match is carried to the left as far as it repeats, which settles every window inside it."""
+    the last window a match is carried to the left as far as it repeats, which settles every window inside it. Segments that
+    are ``copied`` begin on the right, as they are likely to match whole; the others on the left."""
     n = len(starts)
     lane = np.arange(n)
     low, high = starts.astype(np.int64), starts + windows - 1  # undecided windows, as places in the text
-    right = np.zeros(n, bool)
-    at = low + width - 1
+    right = np.zeros(n, bool) if copied is None else copied.copy()
+    at = np.where(right, high, low) + width - 1
     end = at.copy()
     l, h = np.zeros(n, np.int64), np.full(n, index.size, np.int64)
     out = [(np.zeros(0, np.int64),) * 3]

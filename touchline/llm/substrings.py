@@ -7,21 +7,23 @@ window whose words also start somewhere else is removed.
   Equal windows have equal anchors, so a window can only repeat if its anchor does.
   Anchors are counted over the whole corpus (combined before the shuffle) and
   those that occur once drop out.
-* Consecutive windows with one anchor form a segment. Segments are named by 128
-  bits (anchor and hash); those that occur more than once repeat as a whole, and
-  one of each distinct segment goes on, so copies of any number are one row.
-* The distinct segments of repeated anchors are dealt by anchor. A task reads its
-  anchors in order and builds one FM-index per ``SHARD_WORDS`` words. The segments
-  are streamed through backward search over its wavelet tree, and the ranges of
-  windows that match at least twice are reported.
+* Consecutive windows with one anchor form a segment. Segments of equal anchor and
+  hash form a class. Two members of a class go on (one that counts twice, where
+  all are the same row), so copies of any number are two rows.
+* Segments are dealt by anchor to tasks of about ``SHARD_WORDS`` words, which build
+  one FM-index per shard. One member of each class is streamed through backward
+  search over its wavelet tree, and the ranges of windows that match at least
+  twice are reported for the class. So every removal rests on a match of words.
 * Anchors with very many windows (a passage in ever new surroundings, or periodic
-  text) would put an unbounded group into one task: the windows of their distinct
-  segments are dealt one by one by 128 bits of their own hash and counted, which
-  combines before the shuffle and is exact as well.
+  text) would put an unbounded group into one index. They are split by a second
+  key: each of their windows is hashed whole, windows whose hash occurs once can't
+  repeat and drop out, and two of the others go to the index of their own hash.
 * The ranges go back to the documents, which are rewritten in one pass.
 
-Memory is bounded by a shard and a batch of texts; only counted, small tables are
-broadcast. Intermediate tables are in the shared checkpoint folder.
+Hashes only decide what meets in an index, and that members of a class (64 bits of
+anchor and 64 of words) share the verdict on it. Memory is bounded by a shard and a
+batch of texts; only counted, small tables are broadcast. Intermediate tables are in
+the shared checkpoint folder.
 
 Defined results: null, empty and blank texts have no words; texts of fewer than
 ``WIDTH`` words lose nothing; words are compared as they are; repeated rows
@@ -45,7 +47,8 @@ from touchline.llm.staging import Stage
 
 WIDTH, GRAM = 35, 18  # shorter grams would also be shared by common lines that no window can cover
 SHARD_WORDS = 300_000
-HOT_WINDOWS = 100_000  # windows of the distinct segments of one anchor, beyond which they are dealt one by one
+MAX_TASKS = 20_000  # of the search; beyond that a task builds several indexes one after another
+HOT_WINDOWS = 8_192  # windows of the distinct segments of one anchor, beyond which they are dealt by a second key
 SMALL_ROWS, SMALL_SPANS = 1_000_000, 4_000_000  # rows and integers that may be broadcast
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -122,7 +125,7 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _bodies(chosen: DataFrame) -> DataFrame:
-    """The words of the listed segments (``parts``: anchor, s, first, n, k)."""
+    """The words of the listed segments (``parts``: anchor, s, first, n, weight)."""
 
     def step(batches):
         for batch, data, starts, ends, bounds, _ in _texts(batches):
@@ -131,52 +134,55 @@ def _bodies(chosen: DataFrame) -> DataFrame:
                 for p in parts:
                     lo = a + p["first"]
                     hi = lo + p["n"] + WIDTH - 1
-                    rows.append((p["anchor"], p["s"], b" ".join(raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())), p["k"]))
+                    rows.append((p["anchor"], p["s"], b" ".join(raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())), p["weight"]))
             columns_ = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["anchor", "s", "body", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["anchor", "s", "body", "weight"])
 
-    return map_batches(chosen.select("r1", "r2", "text", "parts"), step, "anchor long, s long, body binary, k long")
+    return map_batches(chosen.select("r1", "r2", "text", "parts"), step, "anchor long, s long, body binary, weight long")
 
 
 def _windows(chosen: DataFrame) -> DataFrame:
-    """128 bits of each window of the listed segments, with its place and the count of its segment."""
+    """128 bits of each window of the listed segments, with its place in text and segment and the weight of the segment."""
+    names = ["anchor", "s", "at", "r1", "r2", "first", "w1", "w2", "weight"]
 
     def step(batches):
         for batch, _, _, _, bounds, words in _texts(batches):
-            out = [[np.zeros(0, np.int64)] for _ in range(6)]
+            out = [[np.zeros(0, np.int64)] for _ in names]
             for a, r1, r2, parts in zip(bounds.tolist(), *columns(batch, "r1", "r2", "parts")):
                 for p in parts:
                     part = words[a + p["first"] : a + p["first"] + p["n"] + WIDTH - 1]
                     w1, w2 = gram_hashes(part, WIDTH), gram_hashes(mix(part + _OTHER), WIDTH)
-                    for column, values in zip(out, (np.full(p["n"], r1), np.full(p["n"], r2), p["first"] + np.arange(p["n"]), w1.view(np.int64), w2.view(np.int64), np.full(p["n"], p["k"]))):
+                    at = np.arange(p["n"])
+                    for column, values in zip(out, (*(np.full(p["n"], x) for x in (p["anchor"], p["s"])), at, *(np.full(p["n"], x) for x in (r1, r2)), p["first"] + at, w1.view(np.int64), w2.view(np.int64), np.full(p["n"], p["weight"]))):
                         column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["r1", "r2", "first", "w1", "w2", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
-    return map_batches(chosen.select("r1", "r2", "text", "parts"), step, "r1 long, r2 long, first long, w1 long, w2 long, k long")
+    return map_batches(chosen.select("r1", "r2", "text", "parts"), step, ", ".join(f"{n} long" for n in names))
 
 
-def _search(bodies: DataFrame) -> DataFrame:
-    """``anchor, s, spans``: for each segment that occurs once the ranges of its repeated windows (from, to, from, to, ...), if any."""
-    dealt = bodies.repartition("anchor").sortWithinPartitions("anchor")
+def _search(bodies: DataFrame, tasks: int) -> DataFrame:
+    """``anchor, s, spans``: for each class of segments the ranges of its repeated windows (from, to, from, to, ...), if any."""
+    dealt = bodies.repartition(tasks, "anchor").sortWithinPartitions("anchor", "s")
 
     def shard(held):
         codes: dict[bytes, int] = {}
         lists = [[codes.setdefault(w, len(codes) + 1) for w in body.split(b" ")] for _, _, body, _ in held]
-        text = np.array([c for x in lists for c in (*x, 0)], np.int64)
+        asked = [k for k, h in enumerate(held) if not k or h[:2] != held[k - 1][:2]]
+        again = {k for k, h in enumerate(held) if h[3] > 1}
+        copied = np.array([k in again or (k + 1 < len(held) and held[k + 1][:2] == held[k][:2]) for k in asked], bool)
         starts = np.cumsum([0, *(len(x) + 1 for x in lists)])[:-1]
+        text = np.array([c for x in (*lists, *(lists[k] for k in sorted(again))) for c in (*x, 0)], np.int64)
         windows = np.array([len(x) for x in lists]) - WIDTH + 1
-        spans: list[list[int]] = [[] for _ in held]
-        once = np.array([k for k, h in enumerate(held) if h[3] == 1], np.int64)
-        if len(once):
-            for k, a, b in zip(*(x.tolist() for x in repeated_windows(FMIndex(text), text, starts[once], windows[once], WIDTH))):
-                spans[once[k]] += [a, b]
+        spans: list[list[int]] = [[] for _ in asked]
+        for k, a, b in zip(*(x.tolist() for x in repeated_windows(FMIndex(text), text, starts[asked], windows[asked], WIDTH, copied))):
+            spans[k] += [a, b]
         some = [k for k, x in enumerate(spans) if x]
-        return pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in some], pa.int64()), pa.array([held[k][1] for k in some], pa.int64()), pa.array([spans[k] for k in some], pa.list_(pa.int64()))], ["anchor", "s", "spans"])
+        return pa.RecordBatch.from_arrays([*(pa.array([held[asked[k]][c] for k in some], pa.int64()) for c in (0, 1)), pa.array([spans[k] for k in some], pa.list_(pa.int64()))], ["anchor", "s", "spans"])
 
     def step(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*columns(batch, "anchor", "s", "body", "k")):
+            for row in zip(*columns(batch, "anchor", "s", "body", "weight")):
                 if size >= SHARD_WORDS and row[0] != held[-1][0]:
                     yield shard(held)
                     held, size = [], 0
@@ -189,54 +195,75 @@ def _search(bodies: DataFrame) -> DataFrame:
 
 
 def _chosen(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Texts of the rows that have listed segments, with those. Of equal rows each comes; their segments count more than once anyway."""
-    lists = parts.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "s", "first", "n", "k")).alias("parts"))
+    """One text of the rows that have listed segments (anchor, s, r1, r2, first, n, weight), with those."""
+    lists = parts.groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "s", "first", "n", "weight")).alias("parts"))
     ids = parts.select("r1", "r2").distinct()
     rows = _rows(docs)
     if ids.count() <= SMALL_ROWS:  # texts without a listed segment stay where they are
         rows = rows.join(F.broadcast(ids), ["r1", "r2"], "left_semi")
-    return rows.join(lists, ["r1", "r2"])
+    return rows.dropDuplicates(["r1", "r2"]).join(lists, ["r1", "r2"])
+
+
+def _two_of(rows: DataFrame, key: list[str], *same: str) -> DataFrame:
+    """Two members (r1, r2, first) of each class of ``rows``, or one of double weight where all members are the same row."""
+    lo, hi, total = (f(x).alias(n) for f, x, n in ((F.min, F.struct("r1", "r2", "first"), "lo"), (F.max, F.struct("r1", "r2", "first"), "hi"), (F.sum, "weight", "total")))
+    one = rows.groupBy(*key).agg(lo, hi, total, *[F.first(c).alias(c) for c in same])
+    weight = F.when((F.col("lo") == F.col("hi")) & (F.col("total") > 1), 2).otherwise(1).cast("long")
+    return one.select(*key, *same, "total", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"), weight.alias("weight")).select(*key, *same, "total", "r.*", "weight")
+
+
+def _found(docs: DataFrame, parts: DataFrame, stage: Stage) -> DataFrame:
+    words = parts.agg(F.coalesce(F.sum(F.col("n") + WIDTH), F.lit(0))).first()[0]
+    return stage.write(_search(_bodies(_chosen(docs, parts)), max(1, min(MAX_TASKS, -(-words // SHARD_WORDS)))))
 
 
 def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     """``r1, r2, spans``: for each row with repeats the word ranges (start, stop, start, stop, ...) to remove."""
     stage = stage or Stage(docs.sparkSession)
     runs = stage.write(_runs(docs))
-    anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places"), F.count("*").alias("k"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("places > 1")
-    same = (F.col("k") > 1) & (F.col("lo") == F.col("hi"))
-    hits = stage.write(runs.drop("places").join(anchors.select("anchor", same.alias("same")), "anchor"))
-    whole = lambda df: df.select("r1", "r2", F.col("first").alias("a"), (F.col("first") + F.col("n") + (WIDTH - 1)).alias("b"))
-
-    mixed = hits.filter("not same")
-    one = stage.write(mixed.groupBy("anchor", "s").agg(F.min(F.struct("r1", "r2", "first")).alias("r"), F.first("n").alias("n"), F.count("*").alias("k")).select("anchor", "s", "r.*", "n", "k"))  # one of each distinct segment
+    anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor")
+    hits = stage.write(runs.drop("places").join(anchors, "anchor"))
+    stage.free(runs)
+    one = stage.write(_two_of(hits.withColumn("weight", F.lit(1)), ["anchor", "s"], "n").drop("total"))
     large = stage.write(one.groupBy("anchor").agg(F.sum("n").alias("all")).filter(F.col("all") > HOT_WINDOWS).select("anchor"))
     near = F.broadcast(large) if large.count() <= SMALL_ROWS else large.hint("merge")
-    copies = mixed.join(one.filter("k > 1").select("anchor", "s"), ["anchor", "s"], "left_semi")
-    once = one.filter("k = 1")
-
-    found = stage.write(_search(_bodies(_chosen(docs, one.join(near, "anchor", "left_anti")))))
-    matched = once.join(found, ["anchor", "s"])
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
-    matched = matched.select("r1", "r2", "first", F.explode(pairs).alias("p")).select("r1", "r2", (F.col("first") + F.col("p.a")).alias("a"), (F.col("first") + F.col("p.b") + WIDTH).alias("b"))
 
+    found = _found(docs, one.join(near, "anchor", "left_anti"), stage)
     windows = stage.write(_windows(_chosen(docs, one.join(near, "anchor", "left_semi"))))
-    twice = windows.groupBy("w1", "w2").agg(F.sum("k").alias("k")).filter("k > 1").select("w1", "w2")
-    single = windows.filter("k = 1").join(twice, ["w1", "w2"]).select("r1", "r2", F.col("first").alias("a"), (F.col("first") + WIDTH).alias("b"))
+    twice = stage.write(_two_of(windows, ["w1", "w2"]).filter("total > 1").select(F.col("w1").alias("anchor"), F.col("w2").alias("s"), "r1", "r2", "first", F.lit(1).cast("long").alias("n"), "weight"))
+    same = _found(docs, twice, stage).select(F.col("anchor").alias("w1"), F.col("s").alias("w2"))
+
+    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
+    ranges = found.select("anchor", "s", F.explode(pairs).alias("p")).select("anchor", "s", "p.*")
+    ranges = ranges.unionByName(windows.join(same, ["w1", "w2"]).select("anchor", "s", F.col("at").alias("a"), F.col("at").alias("b")).distinct())
+    spans = hits.join(ranges, ["anchor", "s"]).select("r1", "r2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + WIDTH).alias("b"))
+    ordered = spans.groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    out = stage.write(_joined(ordered))
+    stage.free(hits, one, large, found, windows, twice)
+    return out
 
-    spans = whole(hits.filter("same")).unionByName(whole(copies)).unionByName(matched).unionByName(single)
-    ordered = spans.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return stage.write(ordered.withColumn("spans", F.flatten(F.transform(_joined(F.col("spans")), lambda x: F.array(x["a"], x["b"])))))
 
+def joined_ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranges with those that touch made one, as start, stop, start, stop, ..."""
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    fresh = np.append(True, a[1:] > reach[:-1])
+    return np.stack([a[fresh], reach[np.append(fresh[1:], True)]], axis=1).ravel()
 
-def _joined(spans):
-    """Sorted ranges with those that touch made one."""
 
-    def add(done, x):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
-        return F.when(F.size(done) == 0, F.array(x)).when(x["a"] <= last["b"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+def _joined(ordered: DataFrame) -> DataFrame:
+    """The ranges (a, b) of each row joined."""
 
-    return F.aggregate(spans, F.filter(spans, lambda x: F.lit(False)), add)
+    def step(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+            a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            offsets = offsets - offsets[0]
+            done = [joined_ranges(a[x:y], b[x:y]) for x, y in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.list_(pa.int64()))], ["r1", "r2", "spans"])
+
+    return map_batches(ordered.select("r1", "r2", "spans"), step, "r1 long, r2 long, spans array<long>")
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
