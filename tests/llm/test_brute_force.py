@@ -44,9 +44,9 @@ def test_near_duplicates_are_whole(spark):
     assert got == label
 
 
-@pytest.mark.parametrize("hot", [8192, 5])
+@pytest.mark.parametrize("hot", [600_000, 5])
 def test_repeats_are_exact(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT_WINDOWS", hot)
+    monkeypatch.setattr(substrings, "HOT_WORDS", hot)
     docs = [(i, t + " " + t[: 40 * (i % 3)]) for i, t in _documents(5, 60)] + [(100, "p q " * 60), (101, "z " * 90)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removal_digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     import hashlib

@@ -33,9 +33,10 @@ def _corpus():
     return docs + [docs[-1]] * 3 + [(7, docs[7][1])]  # repeated rows
 
 
-@pytest.mark.parametrize("hot, small, shard", [(8192, 1_000_000, 300_000), (40, 1_000_000, 2000), (40, 0, 300_000), (0, 0, 500)])
-def test_all_routes_give_the_same_exact_result(spark, monkeypatch, hot, small, shard):
-    monkeypatch.setattr(substrings, "HOT_WINDOWS", hot)
+@pytest.mark.parametrize("hot, small, shard, run", [(600_000, 1_000_000, 300_000, 2048), (900, 1_000_000, 2000, 50), (900, 0, 300_000, 1), (0, 0, 500, 2048)])
+def test_all_routes_give_the_same_exact_result(spark, monkeypatch, hot, small, shard, run):
+    monkeypatch.setattr(substrings, "HOT_WORDS", hot)
+    monkeypatch.setattr(substrings, "RUN_WINDOWS", run)
     monkeypatch.setattr(substrings, "SMALL_ROWS", small)
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     docs = _corpus()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 64
+DEPTH = 256
 
 
 def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:

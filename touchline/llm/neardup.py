@@ -41,7 +41,7 @@ from touchline.llm.shingles import mix, pieces, shingle_sets
 from touchline.llm.staging import Stage, with_ids
 
 KEYS, SHINGLE = 12, 5
-MEMBERS = 256  # of one hub that are verified together
+MEMBERS, MEMBER_SHINGLES = 256, 1 << 20  # of one hub that are verified together, and how many shingles they hold
 MAX_ROUNDS = 60
 _RNG = np.random.Generator(np.random.PCG64(5))
 _A = _RNG.integers(1, 1 << 63, (2, KEYS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,9 +88,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), step, "doc_id long, n_shingles long, c1 long, c2 long, a array<long>, b array<long>")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``hub, last``: the number of the last block of each hub's ``members`` (hub, n), by their count and their shingles."""
+    last = F.floor(F.greatest(F.count("*") / MEMBERS, F.sum("n") / MEMBER_SHINGLES))
+    return members.groupBy("hub").agg(last.cast("int").alias("last"))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
-    """The ``pairs`` (x, hub) whose full sets are similar enough. Each hub's text goes once to every ``MEMBERS`` of its members."""
-    hubs = stage.write(pairs.groupBy("hub").agg(F.floor(F.count("*") / MEMBERS).cast("int").alias("last")))
+    """The ``pairs`` (x, hub, n of x) whose full sets are similar enough. Each hub's text goes once to every block of its members."""
+    hubs = stage.write(_blocks(pairs))
     member = pairs.join(hubs, "hub").select("hub", F.pmod(F.xxhash64("x"), F.col("last") + 1).cast("int").alias("salt"), "x")
     member = member.join(texts.withColumnRenamed("doc_id", "x"), "x").select("hub", "salt", "x", "text")
     center = hubs.select("hub", F.explode(F.sequence(F.lit(0), "last")).alias("salt")).join(texts.withColumnRenamed("doc_id", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("x"), "text")
@@ -128,25 +134,29 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     Each round takes the least label of the neighbours and then the label of the label, so long chains shrink by halves."""
     both = stage.write(edges.union(edges.select(F.col("hub"), F.col("x"))).toDF("src", "dst").distinct())
     labels = stage.write(both.groupBy(F.col("dst").alias("doc_id")).agg(F.least(F.min("src"), F.first("dst")).alias("label")))
+    kept = [labels]
     for _ in range(MAX_ROUNDS):
         near = both.join(labels.select(F.col("doc_id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("doc_id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("far"))
         after = stage.write(step.join(jump, "label", "left").select("doc_id", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
         labels = after.select("doc_id", "label")
-        if after.filter("label <> was").isEmpty():
+        settled = after.filter("label <> was").isEmpty()
+        stage.free(*kept, *([both] if settled else []))
+        if settled:
             return labels
+        kept = [after]
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _cross_links(families: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
-    """Links (x, hub) between components, from ``families`` (hub, doc_id, label, hub_label).
+    """Links (x, hub) between components, from ``families`` (hub, doc_id, n, label, hub_label).
 
     Members outside the hub's component are compared with all members of the family. The family is dealt in blocks of about
-    ``MEMBERS``, and an outside member goes once to each block, where one index of the block counts what it shares with all."""
+    ``MEMBERS`` documents or ``MEMBER_SHINGLES`` shingles, and an outside member goes once to each block, where one index of the block counts what it shares with all."""
     outside = stage.write(families.filter("label <> hub_label").select("hub", "doc_id", "label"))
-    inside = stage.write(families.join(outside.select("hub").distinct(), "hub", "left_semi").select("hub", "doc_id", "label"))
-    sizes = stage.write(inside.groupBy("hub").agg(F.floor(F.count("*") / MEMBERS).cast("int").alias("last")))
+    inside = stage.write(families.join(outside.select("hub").distinct(), "hub", "left_semi").select("hub", "doc_id", "n", "label"))
+    sizes = stage.write(_blocks(inside))
     blocks = inside.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int").alias("salt"), F.lit(0).alias("kind"), "doc_id", "label")
     asked = outside.join(sizes, "hub").select("hub", F.explode(F.sequence(F.lit(0), "last")).alias("salt"), F.lit(1).alias("kind"), "doc_id", "label")
     dealt = blocks.unionByName(asked).join(texts, "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
@@ -203,21 +213,24 @@ def near_duplicates(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.max(F.struct("degree", F.negate("doc_id").alias("m"), "n")).alias("h"), F.count("*").alias("k")).filter("k > 1")
     near = lambda a, b: 4 * F.least(a, b) >= 3 * F.greatest(a, b)
     shared = stage.write(rows.join(hubs.select("key", (-F.col("h.m")).alias("hub"), F.col("h.n").alias("hub_n")), "key").select("key", "doc_id", "n", "hub", "hub_n"))
-    pairs = shared.filter((F.col("doc_id") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).select(F.col("doc_id").alias("x"), "hub").distinct()
+    pairs = shared.filter((F.col("doc_id") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).select(F.col("doc_id").alias("x"), "hub", "n").distinct()
     pairs = stage.write(pairs)
 
     n_open = open_.count()
     texts = stage.write(with_ids(docs.select("doc_id", "text"), shared.select("doc_id").distinct(), "left_semi", n_open))
     links = stage.write(_linked(pairs, texts, stage))
+    stage.free(open_, pairs)
     labels = components(links, stage)
 
     # families (all documents with a key of one hub) that still hold several components
     names = labels.select(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"))
-    families = shared.select("hub", "doc_id").distinct().join(labels, "doc_id", "left").join(names, "hub", "left")
-    families = families.select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
-    found = stage.write(_cross_links(stage.write(families), texts, stage))
+    families = shared.select("hub", "doc_id", "n").distinct().join(labels, "doc_id", "left").join(names, "hub", "left")
+    families = families.select("hub", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    families = stage.write(families)
+    found = stage.write(_cross_links(families, texts, stage))
     if not found.isEmpty():
         labels = components(links.unionByName(found), stage)
+    stage.free(shared, texts, links, families, found)
 
     groups = classes.join(labels, "doc_id", "left").filter("copies > 1 or label is not null").select("c1", "c2", F.coalesce("label", "doc_id").alias("label"))
     out = sig.select("doc_id", "n_shingles", "c1", "c2").join(groups, ["c1", "c2"], "left")

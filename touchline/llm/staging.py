@@ -61,6 +61,12 @@ class Stage:
             if found := self._tables.pop(id(table), None):
                 self._delete(found[1])
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables of this stage but these."""
+        for at in [at for key, (_, at) in self._tables.items() if key not in {id(t) for t in tables}]:
+            self._delete(at)
+        self._tables = {id(t): self._tables[id(t)] for t in tables}
+
     def remove(self) -> None:
         """Delete all tables, once nothing reads them any more."""
         Stage._open.pop(self.path, None)

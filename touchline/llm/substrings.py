@@ -9,12 +9,15 @@ window whose words also start somewhere else is removed.
   those that occur once drop out.
 * Consecutive windows with one anchor form a segment. Segments of equal anchor and
   hash form a class. Two members of a class go on (one that counts twice, where
-  all are the same row), so copies of any number are two rows.
-* Segments are dealt by anchor to tasks of about ``SHARD_WORDS`` words, which build
-  one FM-index per shard. One member of each class is streamed through backward
-  search over its wavelet tree, and the ranges of windows that match at least
-  twice are reported for the class. So every removal rests on a match of words.
-* Anchors with very many windows (a passage in ever new surroundings, or periodic
+  all are the same row), so copies of any number are two rows. Where the classes of
+  neighbouring segments are the only ones of their anchors and have neighbouring
+  members (a passage copied as it is), they go on together as one run.
+* Segments are dealt by anchor, and runs by themselves, to tasks of about
+  ``SHARD_WORDS`` words, which build one FM-index per shard. One member of each
+  class is streamed through backward search over its wavelet tree, and the ranges
+  of windows that match at least twice are reported for the class. So every
+  removal rests on a match of words.
+* Anchors with very many words (a passage in ever new surroundings, or periodic
   text) would put an unbounded group into one index. They are split by a second
   key: each of their windows is hashed whole, windows whose hash occurs once can't
   repeat and drop out, and two of the others go to the index of their own hash.
@@ -37,7 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.arrow import columns, map_batches
@@ -48,7 +51,8 @@ from touchline.llm.staging import Stage
 WIDTH, GRAM = 35, 18  # shorter grams would also be shared by common lines that no window can cover
 SHARD_WORDS = 300_000
 MAX_TASKS = 20_000  # of the search; beyond that a task builds several indexes one after another
-HOT_WINDOWS = 8_192  # windows of the distinct segments of one anchor, beyond which they are dealt by a second key
+HOT_WORDS = 600_000  # of the classes of one anchor, beyond which their windows are dealt by a second key
+RUN_WINDOWS = 2_048  # longer runs are cut
 SMALL_ROWS, SMALL_SPANS = 1_000_000, 4_000_000  # rows and integers that may be broadcast
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -212,11 +216,58 @@ def _two_of(rows: DataFrame, key: list[str], *same: str) -> DataFrame:
     return one.select(*key, *same, "total", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"), weight.alias("weight")).select(*key, *same, "total", "r.*", "weight")
 
 
+def _runs_of(alone: DataFrame, stage: Stage) -> DataFrame:
+    """``run, check, members, rows`` of runs of neighbouring classes (anchor, s, n, lo, hi): a class follows another if both its members do."""
+    pair = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("lo", "hi") for c in ("r1", "r2", "first")]
+    flat = alone.select("anchor", "s", "n", F.when((F.col("lo") == F.col("hi")) & (F.col("total") > 1), 2).otherwise(1).alias("weight"), *pair)
+    by = ["lo_r1", "lo_r2", "hi_r1", "hi_r2"]
+    w = Window.partitionBy(*by).orderBy("lo_first", "hi_first")
+    follows = (F.col("lo_first") == F.lag(F.col("lo_first") + F.col("n")).over(w)) & (F.col("hi_first") == F.lag(F.col("hi_first") + F.col("n")).over(w))
+    numbered = flat.withColumn("__open", F.when(follows, 0).otherwise(1)).withColumn("__run", F.sum("__open").over(w))
+    cut = numbered.withColumn("__cut", F.floor(F.sum("n").over(Window.partitionBy(*by, "__run").orderBy("lo_first", "hi_first")) / RUN_WINDOWS))
+    member = F.struct((F.col("lo_first")).alias("at"), "anchor", "s", "n")
+    runs = cut.groupBy(*by, "__run", "__cut").agg(F.min("lo_first").alias("lo_first"), F.min("hi_first").alias("hi_first"), F.sum("n").alias("n"), F.max("weight").alias("weight"), F.collect_list(member).alias("members"))
+    row = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in ("r1", "r2", "first")])
+    keys = [F.xxhash64(F.lit(k), *by, "lo_first", "hi_first").alias(n) for k, n in enumerate(("run", "check"))]
+    members = F.transform("members", lambda m: F.named_struct(F.lit("at"), m["at"] - F.col("lo_first"), F.lit("anchor"), m["anchor"], F.lit("s"), m["s"], F.lit("n"), m["n"]))
+    return stage.write(runs.select(*keys, "n", F.col("weight").cast("long").alias("weight"), members.alias("members"), F.array_distinct(F.array(row("lo"), row("hi"))).alias("rows")))
+
+
+def _pairs(spans: str = "spans"):
+    """(a, b) of a flat list of ranges."""
+    return F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda i: F.named_struct(F.lit("a"), F.get(spans, i), F.lit("b"), F.get(spans, i + 1)))
+
+
 def _found(docs: DataFrame, parts: DataFrame, stage: Stage) -> DataFrame:
     words = parts.agg(F.coalesce(F.sum(F.col("n") + WIDTH), F.lit(0))).first()[0]
     return stage.write(_search(_bodies(_chosen(docs, parts)), max(1, min(MAX_TASKS, -(-words // SHARD_WORDS)))))
 
 
+def _repeated(docs: DataFrame, hits: DataFrame, stage: Stage) -> DataFrame:
+    """``anchor, s, a, b``: the ranges of repeated windows of each class of segments."""
+    lo, hi = (f(F.struct("r1", "r2", "first")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi")))
+    classes = stage.write(hits.groupBy("anchor", "s").agg(lo, hi, F.count("*").alias("total"), F.first("n").alias("n")))
+    anchors = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("n") + WIDTH).alias("words"))
+    classes = stage.write(classes.join(anchors, "anchor").withColumn("kind", F.when((F.col("k") == 1) & (F.col("total") > 1), 0).when(F.col("words") <= HOT_WORDS, 1).otherwise(2)))
+    weight = F.when((F.col("lo") == F.col("hi")) & (F.col("total") > 1), 2).otherwise(1).cast("long")
+    two = lambda kind: classes.filter(F.col("kind") == kind).select("anchor", "s", "n", weight.alias("weight"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r")).select("anchor", "s", "r.*", "n", "weight")
+
+    runs = _runs_of(classes.filter("kind = 0"), stage)
+    whole = runs.select(F.col("run").alias("anchor"), F.col("check").alias("s"), "n", "weight", F.explode("rows").alias("r")).select("anchor", "s", "r.*", "n", "weight")
+    found = _found(docs, two(1).unionByName(whole), stage)
+    in_run = runs.join(found.select(F.col("anchor").alias("run"), F.col("s").alias("check"), "spans"), ["run", "check"]).select(F.explode("members").alias("m"), _pairs().alias("p"))
+    cut = F.transform("p", lambda p: F.named_struct(F.lit("a"), F.greatest(F.lit(0).cast("long"), p["a"] - F.col("m.at")), F.lit("b"), F.least(F.col("m.n") - 1, p["b"] - F.col("m.at"))))
+    own = F.filter(cut, lambda x: x["b"] >= x["a"])
+    ranges = found.select("anchor", "s", F.explode(_pairs()).alias("p")).unionByName(in_run.select("m.anchor", "m.s", F.explode(own).alias("p"))).select("anchor", "s", "p.*")
+    if classes.filter("kind = 2").isEmpty():
+        return stage.write(ranges)
+
+    windows = stage.write(_windows(_chosen(docs, two(2))))
+    twice = stage.write(_two_of(windows, ["w1", "w2"]).filter("total > 1").select(F.col("w1").alias("anchor"), F.col("w2").alias("s"), "r1", "r2", "first", F.lit(1).cast("long").alias("n"), "weight"))
+    same = _found(docs, twice, stage).select(F.col("anchor").alias("w1"), F.col("s").alias("w2"))
+    return stage.write(ranges.unionByName(windows.join(same, ["w1", "w2"]).select("anchor", "s", F.col("at").alias("a"), F.col("at").alias("b")).distinct()))
+
+
 def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     """``r1, r2, spans``: for each row with repeats the word ranges (start, stop, start, stop, ...) to remove."""
     stage = stage or Stage(docs.sparkSession)
@@ -224,22 +275,11 @@ def repeat_spans(docs: DataFrame, stage: Stage | None = None) -> DataFrame:
     anchors = runs.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor")
     hits = stage.write(runs.drop("places").join(anchors, "anchor"))
     stage.free(runs)
-    one = stage.write(_two_of(hits.withColumn("weight", F.lit(1)), ["anchor", "s"], "n").drop("total"))
-    large = stage.write(one.groupBy("anchor").agg(F.sum("n").alias("all")).filter(F.col("all") > HOT_WINDOWS).select("anchor"))
-    near = F.broadcast(large) if large.count() <= SMALL_ROWS else large.hint("merge")
-
-    found = _found(docs, one.join(near, "anchor", "left_anti"), stage)
-    windows = stage.write(_windows(_chosen(docs, one.join(near, "anchor", "left_semi"))))
-    twice = stage.write(_two_of(windows, ["w1", "w2"]).filter("total > 1").select(F.col("w1").alias("anchor"), F.col("w2").alias("s"), "r1", "r2", "first", F.lit(1).cast("long").alias("n"), "weight"))
-    same = _found(docs, twice, stage).select(F.col("anchor").alias("w1"), F.col("s").alias("w2"))
-
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
-    ranges = found.select("anchor", "s", F.explode(pairs).alias("p")).select("anchor", "s", "p.*")
-    ranges = ranges.unionByName(windows.join(same, ["w1", "w2"]).select("anchor", "s", F.col("at").alias("a"), F.col("at").alias("b")).distinct())
+    ranges = _repeated(docs, hits, stage)
     spans = hits.join(ranges, ["anchor", "s"]).select("r1", "r2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + WIDTH).alias("b"))
     ordered = spans.groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = stage.write(_joined(ordered))
-    stage.free(hits, one, large, found, windows, twice)
+    stage.keep(out)
     return out
 
 
