@@ -66,12 +66,13 @@ class FMIndex:
 
     def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of patterns extended by a symbol on the left."""
+        n = len(lo)
+        at, symbols = np.concatenate([lo, hi]), np.concatenate([symbol, symbol])
         for level, bits in zip(range(self.levels - 1, -1, -1), self.bits):
-            one = ((symbol >> level) & 1).astype(bool)
-            a, b = bits.rank(lo), bits.rank(hi)
-            lo, hi = np.where(one, bits.zeros + a, lo - a), np.where(one, bits.zeros + b, hi - b)
-        shift = self.first[symbol] - self.begin[symbol]
-        return lo + shift, hi + shift
+            ones = bits.rank(at)
+            at = np.where((symbols >> level) & 1, bits.zeros + ones, at - ones)
+        at += (self.first[symbol] - self.begin[symbol])[np.arange(2 * n) % n] if n else 0
+        return at[:n], at[n:]
 
 
 def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int, copied: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +83,14 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, windo
     a word, no window over that word and the end repeats, so all up to that word are passed. Right: from the end of
     the last window a match is carried to the left as far as it repeats, which settles every window inside it. Segments that
     are ``copied`` begin on the right, as they are likely to match whole; the others on the left."""
-    n = len(starts)
-    lane = np.arange(n)
-    low, high = starts.astype(np.int64), starts + windows - 1  # undecided windows, as places in the text
-    right = np.zeros(n, bool) if copied is None else copied.copy()
+    most = max(1, DEPTH - width + 1)  # longer segments are worked on in parts, each of which one match can settle
+    n_parts = -(-windows // most)
+    lane = np.repeat(np.arange(len(starts)), n_parts)
+    part = np.arange(len(lane)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+    low = starts[lane].astype(np.int64) + part * most  # undecided windows, as places in the text
+    high = np.minimum(low + most, (starts + windows)[lane]) - 1
+    n = len(lane)
+    right = np.zeros(n, bool) if copied is None else copied[lane]
     at = np.where(right, high, low) + width - 1
     end = at.copy()
     l, h = np.zeros(n, np.int64), np.full(n, index.size, np.int64)
