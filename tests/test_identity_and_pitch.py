@@ -1,40 +1,9 @@
-"""Identity scoring on literal sequences, and pitch maps against known cameras."""
+"""Pitch maps against known cameras."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from touchline.operators import pitch
-from touchline.operators.identity import Identity
-
-RED, BLUE = (5.0, 200.0, 180.0), (110.0, 200.0, 180.0)
-
-
-def test_strong_contact_anchors_and_weak_one_is_carried():
-    s = Identity()
-    first = s.step(100, 100, 0.0, 0.9, RED, True)
-    assert first["anchored"] and not first["linked"] and first["tracklet_id"] == 0
-    near = s.step(120, 100, 1.0, 0.4, RED, None)
-    assert near["confidence"] == 0.7 and near["linked"] and near["evidence"] == ""
-    far = s.step(900, 900, 1.5, 0.3, BLUE, False)
-    assert far["prior"] == 0.5 and set(far["evidence"].split(",")) == {"appearance_mismatch", "outside_orbital", "other_team"}
-
-
-def test_missing_measurements_never_count_against():
-    s = Identity()
-    s.step(0, 0, 0.0, 0.9, RED, True)
-    out = s.step(10, 0, 0.5, None, None, None)
-    assert out["evidence"] == "" and out["linked"]
-
-
-def test_long_gap_forgets_the_anchor():
-    s = Identity()
-    s.step(0, 0, 0.0, 0.9, RED, True)
-    out = s.step(5000, 0, 60.0, 0.2, BLUE, None)
-    assert out["prior"] == 1.0 and out["tracklet_id"] == 1 and not out["linked"]
-
-
-def test_other_team_cannot_anchor():
-    assert not Identity().step(0, 0, 0.0, 0.95, RED, False)["anchored"]
 
 
 def test_map_of_a_known_camera_is_recovered():
@@ -65,3 +34,25 @@ def test_letterbox_round_trip(spark):
     gain, top = 640 / 1280, (640 - 360) / 2
     box = spark.createDataFrame([(100 * gain, 50 * gain + top, 300 * gain, 5000.0)], "x1 double, y1 double, x2 double, y2 double")
     assert tuple(pitch.unletterbox(box, 1280, 720, 640).first()) == (100.0, 50.0, 300.0, 720.0)
+
+
+def test_camera_axes():
+    h = pitch.camera_map(np.array([50.0, -12.0, 8.0, np.pi / 2, np.radians(12), 700.0, 0.0]), (320.0, 180.0))
+    left, right, near, far = (h @ [x, y, 1.0] for x, y in ((40, 30), (60, 30), (50, 10), (50, 50)))
+    place = lambda q: q[:2] / q[2]
+    assert place(left)[0] < 320 < place(right)[0] and place(near)[1] > place(far)[1] and min(left[2], far[2]) > 0
+
+
+def test_pose_of_a_known_camera_is_found():
+    rng = np.random.default_rng(3)
+    spots = np.array([(l * pitch.LENGTH + dx, w * pitch.WIDTH + dy) for _, l, w, dx, dy in pitch.LANDMARKS])
+    frames, metres, pixels = [], [], []
+    for f, pan in enumerate((82.0, 97.0)):
+        q = np.column_stack([spots, np.ones(len(spots))]) @ pitch.camera_map(np.array([52.0, -15.0, 9.0, np.radians(pan), np.radians(14.0), 640.0, 0.0]), (320.0, 180.0)).T
+        uv = q[:, :2] / q[:, 2:]
+        seen = (q[:, 2] > 0) & (uv[:, 0] > 0) & (uv[:, 0] < 640) & (uv[:, 1] > 0) & (uv[:, 1] < 360)
+        frames += [f] * seen.sum()
+        metres.append(spots[seen])
+        pixels.append(uv[seen] + rng.normal(0, 0.3, (seen.sum(), 2)))
+    p = pitch.PoseProblem(np.array(frames), np.concatenate(metres), np.concatenate(pixels), (320.0, 180.0))
+    assert min(p.solve(p.start(np.radians(pan), np.radians(10)), 80)[1] for pan in (60, 90, 120)) < 1.5

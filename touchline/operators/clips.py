@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.pitch import inverse, multiply
+
 
 def cut_shots(stats: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Adds ``cut``: the number of the shot, a new one wherever the histogram distance exceeds the threshold."""
@@ -54,6 +58,47 @@ def accumulate(track: DataFrame) -> DataFrame:
     return track.withColumns({"cum_dx": F.sum(F.coalesce("dx", F.lit(0.0))).over(w), "cum_dy": F.sum(F.coalesce("dy", F.lit(0.0))).over(w)})
 
 
+def compose_steps(steps: DataFrame) -> DataFrame:
+    """``match_id, shot_id, frame_index, matrix``: the product of the 3x3 steps (``step``, nine numbers) since the shot began; an unmeasured step is none."""
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_index")
+        now, out = np.eye(3), []
+        for s in pdf["step"]:
+            now = now if s is None else np.asarray(s, float).reshape(3, 3) @ now
+            out.append(now.ravel().tolist())
+        return pd.DataFrame({"match_id": key[0], "shot_id": key[1], "frame_index": pdf["frame_index"].to_numpy(), "matrix": out})
+
+    return steps.select("match_id", "shot_id", "frame_index", "step").groupBy("match_id", "shot_id").applyInPandas(fold, "match_id long, shot_id long, frame_index long, matrix array<double>")
+
+
+def relative_maps(pairs: DataFrame, track: DataFrame) -> DataFrame:
+    """``match_id, pair_id, map`` from the pixels of one frame to those of another (match_id, pair_id, from_frame, to_frame).
+
+    Each frame stands for the nearest one of the track (the earlier of equals); frames of different shots have no map."""
+    ends = pairs.select("match_id", (F.col("pair_id") * 2).alias("point_id"), F.col("from_frame").alias("t_ms")).unionByName(pairs.select("match_id", (F.col("pair_id") * 2 + 1).alias("point_id"), F.col("to_frame").alias("t_ms")))
+    near = as_of_nearest(ends, track.filter("frame_index >= 0").select("match_id", F.col("frame_index").alias("t_ms"), "shot_id", "matrix"), ["shot_id", "matrix"])
+    side = lambda k: F.max(F.when(F.col("point_id") % 2 == k, F.struct("shot_id", "matrix")))
+    both = near.groupBy("match_id", F.floor(F.col("point_id") / 2).alias("pair_id")).agg(side(0).alias("a"), side(1).alias("b"))
+    same = both.filter("a.shot_id = b.shot_id")
+    return same.select("match_id", "pair_id", multiply(F.col("b.matrix"), inverse(F.col("a.matrix"))).alias("map"))
+
+
+def latest_before(points: DataFrame, track: DataFrame, horizon_ms: int) -> DataFrame:
+    """``match_id, point_id, at_ms``: the latest track row at or before each point, if it is recent enough; sorted together, no range join."""
+    seen = track.select("match_id", F.lit(None).cast("long").alias("point_id"), "t_ms", F.col("t_ms").alias("at_ms"), F.lit(0).alias("kind"))
+    asked = points.select("match_id", "point_id", "t_ms", F.lit(None).cast("long").alias("at_ms"), F.lit(1).alias("kind"))
+    w = Window.partitionBy("match_id").orderBy("t_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = seen.unionByName(asked).withColumn("at_ms", F.last("at_ms", True).over(w)).filter((F.col("kind") == 1) & (F.col("at_ms") >= F.col("t_ms") - horizon_ms))
+    return out.select("match_id", "point_id", "at_ms")
+
+
+def dead_time(cut: DataFrame, least_sec: float = 60.0, least_motion: float = 1.2) -> DataFrame:
+    """``match_id, cut, dead``: long shots in which next to nothing moves; motion that wasn't measured is none."""
+    g = cut.groupBy("match_id", "cut").agg(F.coalesce(F.avg("motion"), F.lit(0.0)).alias("motion"), ((F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("dur"))
+    return g.select("match_id", "cut", "dur", ((F.col("dur") >= least_sec) & (F.col("motion") < least_motion)).alias("dead"))
+
+
 def evenly(rows: DataFrame, k: int, order: str) -> DataFrame:
     """At most ``k`` rows of each match, evenly spread from the first to the last (half-even rounding of places)."""
     own = Window.partitionBy("match_id")

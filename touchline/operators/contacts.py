@@ -72,38 +72,66 @@ def merge_contacts(found: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return out.select("match_id", "contact_id", "r.*", "kinds", "from_gap", "n_merged")
 
 
-def fair_cap(found: DataFrame, limit: int, cfg: Config = DEFAULT) -> DataFrame:
-    """At most ``limit`` contacts of a match, taken round by round: the strongest of every time bucket first."""
+def fair_cap(found: DataFrame, limit: int | str, cfg: Config = DEFAULT) -> DataFrame:
+    """At most ``limit`` (a number, or a column of the match) contacts of a match, taken round by round: the strongest of every time bucket first."""
     bucket = F.floor(F.col("t_ms") / int(cfg.candidate_fair_window_sec * 1000))
     ranked = found.withColumn("bucket", bucket).withColumn("round", F.row_number().over(Window.partitionBy("match_id", "bucket").orderBy(F.desc("strength"), "t_ms", "frame_index")))
-    return ranked.withColumn("pick", F.row_number().over(Window.partitionBy("match_id").orderBy("round", "bucket"))).filter(F.col("pick") <= limit)
+    most = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    return ranked.withColumn("pick", F.row_number().over(Window.partitionBy("match_id").orderBy("round", "bucket"))).filter(F.col("pick") <= most)
 
 
-def hotspots(contacts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Padded windows around contacts, merged where the gap between windows is small, widened to a least length."""
+def cap_candidates(found: DataFrame, durations: DataFrame, cfg: Config = DEFAULT, least: int = 60) -> DataFrame:
+    """Contacts within the budget of their match: so many a minute of its ``duration_sec``, ``least`` at least, and never more than ``max_candidates``."""
+    scaled = F.greatest(F.lit(least), F.floor(cfg.max_candidates_per_min * F.col("duration_sec") / 60.0))
+    budget = durations.select("match_id", F.least(F.lit(cfg.max_candidates), scaled).cast("int").alias("budget"))
+    return fair_cap(found.join(budget, "match_id"), "budget", cfg)
+
+
+def touch_windows(contacts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Padded windows around contacts, merged where the gap between windows is small: ends ``a`` and ``b`` in milliseconds."""
     before, after, merge = (int(1000 * v) for v in (cfg.hotspot_pad_before_sec, cfg.hotspot_pad_after_sec, cfg.hotspot_gap_merge_sec))
     w = Window.partitionBy("match_id").orderBy("t_ms", "frame_index")
     joined = F.col("t_ms") - before - (F.lag("t_ms").over(w) + after) <= merge
     zones = contacts.withColumn("opens", F.when(joined, 0).otherwise(1)).withColumn("hotspot_id", F.sum("opens").over(w))
-    out = zones.groupBy("match_id", "hotspot_id").agg((F.min("t_ms") - before).alias("a"), (F.max("t_ms") + after).alias("b"), F.count("*").alias("n_contacts"), F.max("t_ms").alias("last_ms"))
-    lack = F.greatest(F.lit(0.0), (cfg.hotspot_min_zone_sec * 1000 - (F.col("b") - F.col("a"))) / 2.0)
-    return out.select("match_id", "hotspot_id", (F.greatest(F.lit(0.0), F.col("a") - lack) / 1000.0).alias("start_sec"), ((F.col("b") + lack) / 1000.0).alias("end_sec"), "n_contacts", "last_ms")
+    times = F.array_sort(F.collect_list("t_ms")).alias("contact_ms")
+    return zones.groupBy("match_id", "hotspot_id").agg((F.min("t_ms") - before).alias("a"), (F.max("t_ms") + after).alias("b"), F.count("*").alias("n_contacts"), F.max("t_ms").alias("last_ms"), times)
 
 
-def possession_end(zones: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Windows run on until the ball first leaves the place it had at the last contact, if it does so in time.
+def run_on(windows: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Windows that last until the ball first leaves the place it had at the last contact, if it does so in time.
 
-    The samples are matched by match and by bins as long as the reach, so a zone meets two bins and no product of rows arises."""
+    The samples are matched by match and by bins as long as the reach, so a window meets two bins and no product of rows arises."""
     reach = int(cfg.possession_max_extend_sec * 1000)
-    bins = zones.withColumn("bin", F.explode(F.array(F.floor(F.col("last_ms") / reach), F.floor(F.col("last_ms") / reach) + 1)))
+    bins = windows.select("match_id", "hotspot_id", "last_ms").withColumn("bin", F.explode(F.array(F.floor(F.col("last_ms") / reach), F.floor(F.col("last_ms") / reach) + 1)))
     seen = samples.filter("x is not null and y is not null").select("match_id", F.col("t_ms").alias("s_ms"), "frame_index", "x", "y", F.floor(F.col("t_ms") / reach).alias("bin"))
     near = bins.join(seen, ["match_id", "bin"]).filter((F.col("s_ms") >= F.col("last_ms")) & (F.col("s_ms") <= F.col("last_ms") + reach))
     w = Window.partitionBy("match_id", "hotspot_id").orderBy("s_ms", "frame_index")
     origin = near.withColumn("o", F.first(F.struct("x", "y")).over(w))
     gone = F.min(F.when(distance(F.col("x"), F.col("y"), F.col("o.x"), F.col("o.y")) > cfg.possession_leave_px, F.col("s_ms")))
-    left = origin.groupBy("match_id", "hotspot_id").agg(gone.alias("gone_ms"))
-    end = F.greatest(F.col("end_sec"), F.coalesce((F.col("gone_ms") + int(cfg.hotspot_pad_after_sec * 1000)) / 1000.0, F.col("end_sec")))
-    return zones.join(left, ["match_id", "hotspot_id"], "left").select("match_id", "hotspot_id", "start_sec", end.alias("end_sec"), "n_contacts")
+    left = origin.groupBy("match_id", "hotspot_id").agg((gone + int(cfg.hotspot_pad_after_sec * 1000)).alias("gone"))
+    return windows.join(left, ["match_id", "hotspot_id"], "left").withColumn("b", F.greatest("b", F.coalesce("gone", "b"))).drop("gone")
+
+
+def finished(windows: DataFrame, durations: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Windows in seconds, grown evenly to a least length and clamped to the video."""
+    lack = F.greatest(F.lit(0.0), (cfg.hotspot_min_zone_sec * 1000 - (F.col("b") - F.col("a"))) / 2.0)
+    out = windows.select("match_id", "hotspot_id", (F.greatest(F.lit(0.0), F.col("a") - lack) / 1000.0).alias("start_sec"), ((F.col("b") + lack) / 1000.0).alias("end_sec"), "n_contacts", "last_ms", "contact_ms")
+    if durations is None:
+        return out
+    return out.join(durations.select("match_id", "duration_sec"), "match_id", "left").withColumn("end_sec", F.least("end_sec", F.coalesce("duration_sec", "end_sec"))).drop("duration_sec")
+
+
+def hotspots(contacts: DataFrame, cfg: Config = DEFAULT, samples: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """Review windows around contacts; with ``samples`` of the ball each runs on until the ball leaves."""
+    windows = touch_windows(contacts, cfg)
+    return finished(windows if samples is None else run_on(windows, samples, cfg), durations, cfg)
+
+
+def segments(zones: DataFrame) -> DataFrame:
+    """Windows in the shape of the workspace: the window as core, the contact times (or its middle) as ticks."""
+    ticks = F.transform("contact_ms", lambda t: t / 1000.0)
+    middle = F.array((F.col("start_sec") + F.col("end_sec")) / 2)
+    return zones.select("match_id", "hotspot_id", F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), F.col("start_sec").alias("core_start"), F.col("end_sec").alias("core_end"), F.when(F.size(ticks) > 0, ticks).otherwise(middle).alias("ticks"))
 
 
 def reject_alternation(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

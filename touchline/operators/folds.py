@@ -1,84 +1,16 @@
-"""Order-dependent state: the ball smoother, greedy matching and clustering.
-
-Each runs per match and shot with ``applyInPandas``, where the state resets, so a group is one shot of one match.
-"""
+"""Clusters and suppression that depend on an order of their items."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import iou
 
-MAX_STEP, MAX_JUMP, HOLD, FADE, TURN, RATIO = 120.0, 500.0, 10, 0.6, 45.0, 1.6
-
-
-@dataclass
-class Smoother:
-    """Accepts near positions, asks a farther one for a second sight, holds a lost one for some frames, then lets go."""
-
-    last: tuple[float, float] | None = None
-    conf: float = 0.0
-    held: int = 0
-    pending: tuple[float, float] | None = None
-    speed: float = field(default=0.0)
-
-    def step(self, x: float | None, y: float | None, conf: float) -> tuple[float, float, float, bool] | None:
-        """The position to emit with its confidence and whether it was seen, or None."""
-        if x is None:
-            return self._hold()
-        here = (x, y)
-        if self.last is None or math.dist(here, self.last) <= MAX_STEP:
-            return self._take(here, conf)
-        if math.dist(here, self.last) > MAX_JUMP:
-            return self._hold()
-        if self.pending is not None and (math.dist(here, self.pending) <= MAX_STEP or self._same_way(here)):
-            return self._take(here, conf)
-        self.pending = here
-        return self._hold()
-
-    def _same_way(self, here: tuple[float, float]) -> bool:
-        a = (self.pending[0] - self.last[0], self.pending[1] - self.last[1])
-        b = (here[0] - self.pending[0], here[1] - self.pending[1])
-        na, nb = math.hypot(*a), math.hypot(*b)
-        if not na or not nb:
-            return False
-        angle = math.degrees(math.acos(max(-1.0, min(1.0, (a[0] * b[0] + a[1] * b[1]) / (na * nb)))))
-        return angle <= TURN and nb <= RATIO * na
-
-    def _take(self, here: tuple[float, float], conf: float) -> tuple[float, float, float, bool]:
-        self.last, self.conf, self.held, self.pending = here, conf, 0, None
-        return (*here, conf, True)
-
-    def _hold(self) -> tuple[float, float, float, bool] | None:
-        if self.last is None:
-            return None
-        self.held += 1
-        if self.held > HOLD:
-            self.last, self.held, self.pending = None, 0, None
-            return None
-        self.conf *= FADE
-        return (*self.last, self.conf, False)
-
-
-def smooth_ball(samples: DataFrame) -> DataFrame:
-    """``match_id, shot_id, frame_index, x, y, conf, seen`` after smoothing; one fold per match and shot."""
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Smoother(), []
-        pdf = pdf.sort_values("frame_index")
-        for frame, x, y, conf in zip(pdf.frame_index, pdf.x, pdf.y, pdf.conf):
-            out = state.step(None if pd.isna(x) else float(x), None if pd.isna(y) else float(y), float(conf))
-            rows.append((*key, frame, *(out or (None, None, 0.0, False))))
-        return pd.DataFrame(rows, columns=["match_id", "shot_id", "frame_index", "x", "y", "conf", "seen"])
-
-    return samples.select("match_id", "shot_id", "frame_index", "x", "y", "conf").groupBy("match_id", "shot_id").applyInPandas(fold, "match_id long, shot_id long, frame_index long, x double, y double, conf double, seen boolean")
-
 
 def greedy_clusters(points: DataFrame, radius: float) -> DataFrame:
     """``match_id, item, cluster``: each item in order joins the nearest running mean within the radius or opens a new one."""
@@ -123,49 +55,32 @@ def suppress_overlaps(boxes: DataFrame, least_iou: float = 0.5) -> DataFrame:
     return ordered.select("frame_index", F.explode(F.aggregate("rows", none, take)).alias("r")).select("frame_index", F.col("r.det_id").alias("det_id"))
 
 
+def _apart(a: str, b: str):
+    """Squared distance of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
 def two_means(points: DataFrame, rounds: int = 4) -> DataFrame:
-    """``match_id, item, side``: two groups grown from the farthest pair, after a fixed number of rounds."""
+    """``match_id, item, side``: two groups grown from a far pair, after a fixed number of rounds.
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item")
-        x = np.stack(pdf.vector.map(lambda v: np.asarray(v, float)).to_list())
-        norm = (x * x).sum(axis=1)
-        d = norm[:, None] + norm[None] - 2 * x @ x.T
-        i, j = np.unravel_index(np.argmax(d), d.shape)
-        means = x[[i, j]].copy()
-        side = np.zeros(len(x), int)
-        for _ in range(rounds):
-            side = ((x - means[1]) ** 2).sum(axis=1) < ((x - means[0]) ** 2).sum(axis=1)
-            for k in (0, 1):
-                if (side == k).any():
-                    means[k] = x[side == k].mean(axis=0)
-        return pd.DataFrame({"match_id": key[0], "item": pdf["item"].to_numpy(), "side": side.astype(int)})
+    The pair is the vector farthest from the mean and the one farthest from that. Means and farthest vectors are aggregates, so a
+    match of any size is spread over tasks."""
+    rows = points.select("match_id", "item", F.col("vector").cast("array<double>").alias("vector"))
+    mean_of = lambda c: vector_to_array(Summarizer.mean(array_to_vector(c)))
 
-    return points.groupBy("match_id").applyInPandas(fold, "match_id long, item long, side int")
+    def farthest(frm: DataFrame, name: str) -> DataFrame:
+        far = rows.join(frm, "match_id").withColumn("d", _apart("vector", "m"))
+        return far.groupBy("match_id").agg(F.max_by("vector", F.struct("d", -F.col("item"))).alias(name))
 
+    a = farthest(rows.groupBy("match_id").agg(mean_of(F.col("vector")).alias("m")), "a")
+    ends = a.join(farthest(a.withColumnRenamed("a", "m"), "b"), "match_id")
+    for _ in range(rounds):
+        sided = rows.join(ends, "match_id").withColumn("side", (_apart("vector", "b") < _apart("vector", "a")).cast("int"))
+        means = sided.groupBy("match_id", "side").agg(mean_of(F.col("vector")).alias("m")).groupBy("match_id").agg(*[F.max(F.when(F.col("side") == k, F.col("m"))).alias(n) for k, n in enumerate(("na", "nb"))])
+        ends = ends.join(means, "match_id").select("match_id", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
+    return sided.select("match_id", "item", "side")
 
-def track_players(detections: DataFrame, reach: float = 60.0, silence_ms: int = 2000) -> DataFrame:
-    """``match_id, frame_index, det_id, track_id``: tracks take detections of each frame by ascending distance, each at most one."""
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        live: dict[int, tuple[float, float, int]] = {}
-        rows, n = [], 0
-        for frame, own in pdf.sort_values(["frame_index", "det_id"]).groupby("frame_index", sort=True):
-            t = int(own.t_ms.iloc[0])
-            live = {k: v for k, v in live.items() if t - v[2] <= silence_ms}
-            pairs = sorted((math.dist(v[:2], (r.x, r.y)), k, r.det_id) for k, v in live.items() for r in own.itertuples())
-            taken: dict[int, int] = {}
-            used: set[int] = set()
-            for d, k, det in pairs:
-                if d <= reach * (1 + (t - live[k][2]) / 1000) and det not in taken and k not in used:
-                    taken[det] = k
-                    used.add(k)
-            for r in own.itertuples():
-                k = taken.get(r.det_id)
-                if k is None:
-                    k, n = n, n + 1
-                live[k] = (r.x, r.y, t)
-                rows.append((key[0], frame, r.det_id, k))
-        return pd.DataFrame(rows, columns=["match_id", "frame_index", "det_id", "track_id"])
-
-    return detections.groupBy("match_id").applyInPandas(fold, "match_id long, frame_index long, det_id long, track_id int")
+def most_confident(boxes: DataFrame, most: int = 300) -> DataFrame:
+    """At most so many boxes of each frame, the most confident first."""
+    return boxes.withColumn("__k", F.row_number().over(Window.partitionBy("frame_index").orderBy(F.desc("conf"), "det_id"))).filter(F.col("__k") <= most).drop("__k")

@@ -1,20 +1,26 @@
-"""Interval algebra per match. Ranges of a match are few; every join has the match as an equality, so nothing is a product."""
+"""Interval algebra per match.
+
+Points meet ranges in one sorted union per match, so nothing is multiplied; ranges meet ranges in bins of time. A match
+without ranges is unrestricted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.config import DEFAULT, Config
+from touchline.functions.columns import rounded
+
+BIN_SEC = 60.0  # ranges are met in bins of this length
 
 
 def normalize(ranges: DataFrame, duration: float | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Ends swapped into order, clamped, empty ones dropped, and those that touch within ``range_merge_sec`` merged."""
+    """Ends swapped into order, clamped, empty ones dropped, rounded to 3 places, and those that touch within ``range_merge_sec`` merged."""
     a, b = F.greatest(F.lit(0.0), F.least("start_sec", "end_sec")), F.greatest("start_sec", "end_sec")
     if duration:
         a, b = F.least(a, F.lit(duration)), F.least(b, F.lit(duration))
     nan = F.isnan("start_sec") | F.isnan("end_sec") | F.col("start_sec").isNull() | F.col("end_sec").isNull()
-    clean = ranges.filter(~nan).select("match_id", a.alias("a"), b.alias("b")).filter("b > a")
+    clean = ranges.filter(~nan).select("match_id", a.alias("a"), b.alias("b")).filter("b > a").select("match_id", rounded(F.col("a"), 3).alias("a"), rounded(F.col("b"), 3).alias("b"))
     w = Window.partitionBy("match_id").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = clean.withColumn("opens", F.when(F.col("a") <= reach + cfg.range_merge_sec, 0).otherwise(1))
@@ -30,32 +36,63 @@ def totals(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("match_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec"))).alias("total_sec"), F.min("start_sec").alias("envelope_start"), F.max("end_sec").alias("envelope_end"), F.count("*").alias("n_ranges"))
 
 
-def inside(points: DataFrame, ranges: DataFrame) -> DataFrame:
+def whole_match(ranges: DataFrame, duration: float, tolerance: float = 1.0) -> DataFrame:
+    """``match_id, whole``: one range that reaches both ends of the video within the tolerance."""
+    g = ranges.groupBy("match_id").agg(F.count("*").alias("n"), F.min("start_sec").alias("a"), F.max("end_sec").alias("b"))
+    return g.select("match_id", ((F.col("n") == 1) & (F.col("a") <= tolerance) & (F.col("b") >= duration - tolerance)).alias("whole"))
+
+
+def _beside(points: DataFrame, ranges: DataFrame, at: str, *extra: str):
+    """Points and ranges of a match sorted together: the points as rows, and windows that look back and ahead over the ranges."""
+    r = ranges.select("match_id", F.struct(F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), *extra).alias("__r"), F.col("start_sec").cast("double").alias("__at"))
+    both = points.withColumn("__at", F.col(at).cast("double")).withColumn("__p", F.lit(1)).unionByName(r.withColumn("__p", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("match_id").orderBy("__at", "__p")
+    return both, w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+
+
+def _flagged(points: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
+    """Points with ``__in``: whether some range of their match holds them, null where the match has none."""
+    both, back, _ = _beside(points, ranges, at)
+    reach, any_range = F.max(F.col("__r.b")).over(back), F.max(F.col("__r.b").isNotNull()).over(Window.partitionBy("match_id"))
+    held = F.when(any_range, F.coalesce(reach >= F.col("__at"), F.lit(False)))
+    return both.withColumn("__in", held).filter("__p = 1").select(*points.columns, "__in")
+
+
+def inside(points: DataFrame, ranges: DataFrame, at: str = "t_sec") -> DataFrame:
     """Points within a range of their match, both ends included; a match without ranges is unrestricted."""
-    r = ranges.select(F.col("match_id").alias("r_match"), "start_sec", "end_sec")
-    hit = points.join(r, (F.col("match_id") == F.col("r_match")) & F.col("t_sec").between(F.col("start_sec"), F.col("end_sec")), "left_semi")
-    return hit.unionByName(points.join(ranges.select("match_id").distinct(), "match_id", "left_anti"))
+    return _flagged(points, ranges, at).filter(F.coalesce("__in", F.lit(True))).drop("__in")
 
 
-def outside(points: DataFrame, ranges: DataFrame) -> DataFrame:
+def outside(points: DataFrame, ranges: DataFrame, at: str = "t_sec") -> DataFrame:
     """Points in no range of their match."""
-    r = ranges.select(F.col("match_id").alias("r_match"), "start_sec", "end_sec")
-    return points.join(r, (F.col("match_id") == F.col("r_match")) & F.col("t_sec").between(F.col("start_sec"), F.col("end_sec")), "left_anti")
+    return _flagged(points, ranges, at).filter(~F.coalesce("__in", F.lit(False))).drop("__in")
 
 
-def intersect(pieces: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each piece cut to each range of its match; other columns are carried along."""
-    r = ranges.select("match_id", F.col("start_sec").alias("r_start"), F.col("end_sec").alias("r_end"))
-    cut = pieces.join(r, "match_id").withColumns({"start_sec": F.greatest("start_sec", "r_start"), "end_sec": F.least("end_sec", "r_end")})
-    return cut.filter("end_sec > start_sec").drop("r_start", "r_end")
+def _bins(a: Column, b: Column, width: float) -> Column:
+    return F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
+
+
+def intersect(pieces: DataFrame, ranges: DataFrame, width: float = BIN_SEC) -> DataFrame:
+    """Each piece cut to each range of its match, ends rounded to 3 places; other columns are carried along.
+
+    Pieces and ranges meet in bins of ``width`` seconds; a pair is taken in the bin where its common part begins. Pieces of a
+    match without ranges stay as they are."""
+    r = ranges.select("match_id", F.col("start_sec").alias("__a"), F.col("end_sec").alias("__b")).filter("__b > __a").withColumn("__bin", _bins(F.col("__a"), F.col("__b"), width))
+    p = pieces.filter("end_sec > start_sec").withColumn("__bin", _bins(F.col("start_sec"), F.col("end_sec"), width))
+    both = p.join(r, ["match_id", "__bin"]).withColumns({"__s": F.greatest("start_sec", "__a"), "__e": F.least("end_sec", "__b")})
+    cut = both.filter((F.col("__e") > F.col("__s")) & (F.floor(F.col("__s") / width) == F.col("__bin"))).withColumns({"start_sec": rounded(F.col("__s"), 3), "end_sec": rounded(F.col("__e"), 3)})
+    free = pieces.join(ranges.select("match_id").distinct(), "match_id", "left_anti")
+    return cut.select(*pieces.columns).unionByName(free)
 
 
 def clamp(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each time moved to the nearest place in the ranges of its match (the earlier range if two are as near)."""
-    near = F.least(F.greatest(F.col("t_sec"), F.col("start_sec")), F.col("end_sec"))
-    both = points.join(ranges, "match_id", "left").withColumn("at", F.coalesce(near, F.col("t_sec")))
-    best = F.min_by("at", F.struct(F.abs(F.col("at") - F.col("t_sec")), F.col("start_sec")))
-    return both.groupBy("match_id", "point_id").agg(best.alias("t_sec"))
+    """Each time moved to the nearest place in the ranges of its match (the earlier range if two are as near); ranges are disjoint."""
+    both, back, ahead = _beside(points.select("match_id", "point_id", "t_sec"), ranges, "t_sec")
+    seen = both.withColumns({"__before": F.last("__r", True).over(back), "__after": F.first("__r", True).over(ahead)}).filter("__p = 1")
+    t, low, high = F.col("t_sec"), F.when(F.col("__before").isNotNull(), F.least(F.col("t_sec"), F.col("__before.b"))), F.col("__after.a")
+    near = F.when(high.isNull() | (low.isNotNull() & (t - low <= high - t)), low).otherwise(high)
+    moved = F.when(near == t, t).otherwise(rounded(near, 3))
+    return seen.select("match_id", "point_id", F.coalesce(F.when(F.col("__before").isNotNull() | F.col("__after").isNotNull(), moved), t).alias("t_sec"))
 
 
 def time_at_fraction(ranges: DataFrame, fraction: float) -> DataFrame:
@@ -65,13 +102,16 @@ def time_at_fraction(ranges: DataFrame, fraction: float) -> DataFrame:
     cumulated = ranges.withColumns({"upto": F.sum(span).over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(span).over(Window.partitionBy("match_id"))})
     target = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(fraction))) * F.col("total")
     at = F.when(target <= F.col("upto"), F.col("start_sec") + target - (F.col("upto") - span))
-    return cumulated.withColumn("at", at).groupBy("match_id").agg(F.coalesce(F.min("at"), F.max("end_sec")).alias("t_sec"))
+    return cumulated.withColumn("at", at).groupBy("match_id").agg(rounded(F.coalesce(F.min("at"), F.max("end_sec")), 3).alias("t_sec"))
 
 
-def ranges_hash(ranges: DataFrame) -> DataFrame:
-    """Eight hex digits that name the ranges of a match."""
+def ranges_hash(ranges: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Eight hex digits that name the ranges of a match; ``all`` for those of ``matches`` that have none."""
     text = F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec"))), lambda r: F.format_string("%.1f-%.1f", r["start_sec"], r["end_sec"]))
-    return ranges.groupBy("match_id").agg(F.substring(F.sha1(F.array_join(text, ";").cast("binary")), 1, 8).alias("hash"))
+    named = ranges.groupBy("match_id").agg(F.substring(F.sha1(F.array_join(text, ";").cast("binary")), 1, 8).alias("hash"))
+    if matches is None:
+        return named
+    return matches.select("match_id").distinct().join(named, "match_id", "left").withColumn("hash", F.coalesce("hash", F.lit("all")))
 
 
 def widest_gap(ranges: DataFrame) -> DataFrame:
@@ -82,8 +122,38 @@ def widest_gap(ranges: DataFrame) -> DataFrame:
     return gaps.groupBy("match_id").agg(best.alias("g")).select("match_id", "g.*")
 
 
+def add_period(ranges: DataFrame, duration: float, least_gap: float = 20.0) -> DataFrame:
+    """The ranges with one more in the middle of the widest free stretch; where there is none, the widest range is split.
+
+    Fixed values: a new period takes 60 % of the stretch, or 40 % but 60 s at least if that is less; a split leaves a fifth of
+    the range free, between 20 and 300 s, and needs a range of 40 s."""
+    w = Window.partitionBy("match_id").orderBy("start_sec", "end_sec")
+    own = ranges.select("match_id", "start_sec", "end_sec")
+    before = own.select("match_id", F.coalesce(F.lag("end_sec").over(w), F.lit(0.0)).alias("a"), F.col("start_sec").alias("b"))
+    tail = own.groupBy("match_id").agg(F.max("end_sec").alias("a")).select("match_id", "a", F.lit(float(duration)).alias("b"))
+    free = before.unionByName(tail).filter(F.col("b") - F.col("a") > least_gap)
+    gap = free.groupBy("match_id").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("g"))
+    size = F.col("g.b") - F.col("g.a")
+    span, mid = F.least(size * 0.6, F.greatest(F.lit(60.0), size * 0.4)), (F.col("g.a") + F.col("g.b")) / 2
+    added = gap.select("match_id", (mid - span / 2).alias("start_sec"), (mid + span / 2).alias("end_sec"))
+    length = F.col("end_sec") - F.col("start_sec")
+    rank = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc(length), "start_sec"))
+    full = own.join(gap.select("match_id"), "match_id", "left_anti").withColumn("k", rank)
+    hole = F.greatest(F.lit(20.0), F.least(length * 0.2, F.lit(300.0)))
+    half = (length - hole) / 2
+    halves = F.array(F.struct(F.col("start_sec").alias("a"), (F.col("start_sec") + half).alias("b")), F.struct((F.col("end_sec") - half).alias("a"), F.col("end_sec").alias("b")))
+    kept = F.array(F.struct(F.col("start_sec").alias("a"), F.col("end_sec").alias("b")))
+    split = full.select("match_id", F.explode(F.when((F.col("k") == 1) & (length >= 40), halves).otherwise(kept)).alias("r")).select("match_id", F.col("r.a").alias("start_sec"), F.col("r.b").alias("end_sec"))
+    return own.join(gap.select("match_id"), "match_id", "left_semi").unionByName(added).unionByName(split)
+
+
 def shot_of(samples: DataFrame, shots: DataFrame) -> DataFrame:
-    """The first shot that contains each sample's time, ends included; samples in no shot drop out."""
-    s = shots.select("match_id", F.col("range_id").alias("shot"), "start_sec", "end_sec")
-    hit = samples.join(s, "match_id").filter(F.col("t_sec").between(F.col("start_sec"), F.col("end_sec")))
-    return hit.groupBy("match_id", "point_id").agg(F.min_by("shot", F.struct("start_sec", "shot")).alias("shot"))
+    """The shot that contains each sample's time, ends included; samples in no shot drop out.
+
+    Shots of a match don't overlap, but may touch: on a shared end the earlier shot counts."""
+    w = Window.partitionBy("match_id").orderBy("start_sec", "end_sec", "range_id")
+    s = shots.withColumns({"__e": F.lag("end_sec").over(w), "__s": F.lag("range_id").over(w)})
+    both, back, _ = _beside(samples.select("match_id", "point_id", "t_sec"), s, "t_sec", F.col("range_id").alias("s"), F.col("__e").alias("e"), F.col("__s").alias("p"))
+    seen = both.withColumn("__b", F.last("__r", True).over(back)).filter("__p = 1")
+    shot = F.when(F.col("__b.e") >= F.col("t_sec"), F.col("__b.p")).when(F.col("__b.b") >= F.col("t_sec"), F.col("__b.s"))
+    return seen.select("match_id", "point_id", shot.alias("shot")).filter("shot is not null")

@@ -4,35 +4,54 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The side of the pitch a spot belongs to, its distance along the pitch from the goal line of that side
-# (or from the middle), and its distance across from the long axis; near is below the axis. Metres.
-ENDS = {"L": 0, "R": 1}
-END_SPOTS = (
-    ("penarea_{}_goalline", 0.0, 20.16),
-    ("penarea_{}_outer", 16.5, 20.16),
-    ("goalarea_{}_goalline", 0.0, 9.16),
-    ("goalarea_{}_outer", 5.5, 9.16),
-    ("post_{}", 0.0, 3.66),
+# The 33 spots of a pitch as (name, share of the length, share of the width, metres added along, metres added across).
+LANDMARKS = (
+    ("corner_near_left", 0.0, 0.0, 0.0, 0.0),
+    ("corner_far_left", 0.0, 1.0, 0.0, 0.0),
+    ("corner_near_right", 1.0, 0.0, 0.0, 0.0),
+    ("corner_far_right", 1.0, 1.0, 0.0, 0.0),
+    ("penarea_L_goalline_near", 0.0, 0.5, 0.0, -20.16),
+    ("penarea_L_goalline_far", 0.0, 0.5, 0.0, 20.16),
+    ("penarea_L_outer_near", 0.0, 0.5, 16.5, -20.16),
+    ("penarea_L_outer_far", 0.0, 0.5, 16.5, 20.16),
+    ("goalarea_L_goalline_near", 0.0, 0.5, 0.0, -9.16),
+    ("goalarea_L_goalline_far", 0.0, 0.5, 0.0, 9.16),
+    ("goalarea_L_outer_near", 0.0, 0.5, 5.5, -9.16),
+    ("goalarea_L_outer_far", 0.0, 0.5, 5.5, 9.16),
+    ("penspot_L", 0.0, 0.5, 11.0, 0.0),
+    ("post_L_near", 0.0, 0.5, 0.0, -3.66),
+    ("post_L_far", 0.0, 0.5, 0.0, 3.66),
+    ("halfway_near", 0.5, 0.0, 0.0, 0.0),
+    ("halfway_far", 0.5, 1.0, 0.0, 0.0),
+    ("centre_spot", 0.5, 0.5, 0.0, 0.0),
+    ("circle_near", 0.5, 0.5, 0.0, -9.15),
+    ("circle_far", 0.5, 0.5, 0.0, 9.15),
+    ("circle_left", 0.5, 0.5, -9.15, 0.0),
+    ("circle_right", 0.5, 0.5, 9.15, 0.0),
+    ("penarea_R_goalline_near", 1.0, 0.5, 0.0, -20.16),
+    ("penarea_R_goalline_far", 1.0, 0.5, 0.0, 20.16),
+    ("penarea_R_outer_near", 1.0, 0.5, -16.5, -20.16),
+    ("penarea_R_outer_far", 1.0, 0.5, -16.5, 20.16),
+    ("goalarea_R_goalline_near", 1.0, 0.5, 0.0, -9.16),
+    ("goalarea_R_goalline_far", 1.0, 0.5, 0.0, 9.16),
+    ("goalarea_R_outer_near", 1.0, 0.5, -5.5, -9.16),
+    ("goalarea_R_outer_far", 1.0, 0.5, -5.5, 9.16),
+    ("penspot_R", 1.0, 0.5, -11.0, 0.0),
+    ("post_R_near", 1.0, 0.5, 0.0, -3.66),
+    ("post_R_far", 1.0, 0.5, 0.0, 3.66),
 )
-PENALTY_SPOT, CIRCLE = 11.0, 9.15
+LENGTH, WIDTH, MAX_MEDIAN_PX = 100.0, 64.0, 6.0
 
 
 def landmarks(spark: SparkSession) -> DataFrame:
     """``landmark, l, w, dx, dy``: the spot is (l * length + dx, w * width + dy)."""
-    rows = [(f"corner_{side}_{name}", float(e), float(s), 0.0, 0.0) for name, e in (("left", 0), ("right", 1)) for side, s in (("near", 0), ("far", 1))]
-    for end, e in ENDS.items():
-        inward = 1.0 if e == 0 else -1.0
-        rows += [(f"{name.format(end)}_{side}", float(e), 0.5, inward * depth, s * across) for name, depth, across in END_SPOTS for side, s in (("near", -1), ("far", 1))]
-        rows.append((f"penspot_{end}", float(e), 0.5, inward * PENALTY_SPOT, 0.0))
-    rows += [("halfway_near", 0.5, 0.0, 0.0, 0.0), ("halfway_far", 0.5, 1.0, 0.0, 0.0), ("centre_spot", 0.5, 0.5, 0.0, 0.0)]
-    rows += [(f"circle_{n}", 0.5, 0.5, dx, dy) for n, dx, dy in (("near", 0.0, -CIRCLE), ("far", 0.0, CIRCLE), ("left", -CIRCLE, 0.0), ("right", CIRCLE, 0.0))]
-    return spark.createDataFrame(rows, "landmark string, l double, w double, dx double, dy double")
+    return spark.createDataFrame(list(LANDMARKS), "landmark string, l double, w double, dx double, dy double")
 
 
-def place(clicks: DataFrame, length: float = 105.0, width: float = 68.0) -> DataFrame:
+def place(clicks: DataFrame, length: float = LENGTH, width: float = WIDTH) -> DataFrame:
     """Clicks (match_id, frame_index, landmark, x, y) with the spot of their landmark; unknown landmarks drop out."""
     spots = landmarks(clicks.sparkSession).select("landmark", (F.col("l") * length + F.col("dx")).alias("px"), (F.col("w") * width + F.col("dy")).alias("py"))
     return clicks.join(F.broadcast(spots), "landmark")  # 33 rows, always
@@ -96,3 +115,142 @@ def unletterbox(boxes: DataFrame, width: float, height: float, size: float) -> D
     left, top = (size - round(width * gain)) / 2.0, (size - round(height * gain)) / 2.0
     back = lambda c, off, most: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col(c) - off) / gain))
     return boxes.withColumns({"x1": back("x1", left, width), "y1": back("y1", top, height), "x2": back("x2", left, width), "y2": back("y2", top, height)})
+
+
+def multiply(a: Column, b: Column) -> Column:
+    """The product of two 3x3 maps given as nine numbers each."""
+    return F.array(*[a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)])
+
+
+def to_pitch(h: Column, x: Column, y: Column) -> Column:
+    """Metres (x, y) of a pixel under a map from metres to pixels; null at or beyond the horizon."""
+    px, py = apply_map(inverse(h), x, y)
+    return F.when(px.isNotNull(), F.struct(px.alias("x"), py.alias("y")))
+
+
+def ground_distance(h: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Metres between two pixels on the ground; null if either can't be placed."""
+    a, b = to_pitch(h, ax, ay), to_pitch(h, bx, by)
+    return F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+
+
+def duplicate_clicks(clicks: DataFrame) -> DataFrame:
+    """``match_id, frame_index, landmark, n`` of landmarks that were clicked twice in a frame."""
+    return clicks.groupBy("match_id", "frame_index", "landmark").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def fit_quality(errors: DataFrame, n_shared: int = 5) -> DataFrame:
+    """``match_id, median_px, rms_px, dof`` of click errors (match_id, frame_index, landmark, error_px): two equations a distinct spot, two unknowns a frame and some shared."""
+    g = errors.groupBy("match_id").agg(F.median("error_px").alias("median_px"), F.sqrt(F.avg(F.col("error_px") * F.col("error_px"))).alias("rms_px"), F.countDistinct("landmark").alias("k"), F.countDistinct("frame_index").alias("f"))
+    return g.select("match_id", "median_px", "rms_px", (2 * F.col("k") - n_shared - 2 * F.col("f")).alias("dof"))
+
+
+def calibration_status(given: Column, readable: Column, median_px: Column, has_track: Column, mapped: Column, most: float = MAX_MEDIAN_PX) -> Column:
+    """Why a calibration is or isn't used, in the order in which it is looked at."""
+    return F.when(~given, "not_supplied").when(~readable, "unreadable").when(F.lit(most > 0) & (median_px > most), "quality_rejected").when(~has_track, "no_camera_track").when(~mapped, "mapper_failed").otherwise("ok")
+
+
+def coverage(contacts: DataFrame) -> DataFrame:
+    """``match_id, contacts_metric, contacts_pixel, metric_coverage`` of contacts (match_id, measured)."""
+    g = contacts.groupBy("match_id").agg(F.count_if("measured").alias("contacts_metric"), F.count_if(~F.col("measured")).alias("contacts_pixel"))
+    return g.withColumn("metric_coverage", F.floor(F.col("contacts_metric") / (F.col("contacts_metric") + F.col("contacts_pixel")) * 10000 + 0.5) / 10000)
+
+
+def camera_map(pose: np.ndarray, centre: tuple[float, float]) -> np.ndarray:
+    """The map from pitch metres to pixels of a camera at (x, y, height) that looks along pan and below the horizon by tilt.
+
+    ``pose``: x, y, height, pan, tilt, focal length, roll. Axes of the camera: right, down, forward."""
+    x, y, height, pan, tilt, focal, roll = pose
+    right = np.array([np.sin(pan), -np.cos(pan), 0.0])
+    forward = np.array([np.cos(tilt) * np.cos(pan), np.cos(tilt) * np.sin(pan), -np.sin(tilt)])
+    down = np.cross(forward, right)
+    turn = np.array([[np.cos(roll), np.sin(roll)], [-np.sin(roll), np.cos(roll)]]) @ np.stack([right, down])
+    axes = np.vstack([turn, forward])
+    lens = np.array([[focal, 0.0, centre[0]], [0.0, focal, centre[1]], [0.0, 0.0, 1.0]])
+    return lens @ np.column_stack([axes[:, 0], axes[:, 1], -axes @ np.array([x, y, height])])
+
+
+class PoseProblem:
+    """Clicks of one match against one camera whose place, height, focal length and roll are shared, with pan and tilt per frame.
+
+    The vector of unknowns is x, y, height, focal length, roll, then pan and tilt of each frame."""
+
+    LOW, HIGH = (-40.0, -60.0, 1.2, 150.0, np.radians(-12.0)), (160.0, -0.5, 45.0, 6000.0, np.radians(12.0))
+    BEHIND, SOFT = 1e4, 6.0
+
+    def __init__(self, frame: np.ndarray, metres: np.ndarray, pixels: np.ndarray, centre: tuple[float, float]) -> None:
+        self.frames, self.of = np.unique(frame, return_inverse=True)
+        self.metres, self.pixels, self.centre = metres, pixels, centre
+        n = len(self.frames)
+        self.low = np.concatenate([self.LOW, np.tile([-np.pi, np.radians(1.0)], n)])
+        self.high = np.concatenate([self.HIGH, np.tile([np.pi, np.radians(85.0)], n)])
+
+    def start(self, pan: float, tilt: float, length: float = LENGTH) -> np.ndarray:
+        return np.clip(np.concatenate([[length / 2, -12.0, 8.0, 800.0, 0.0], np.tile([pan, tilt], len(self.frames))]), self.low, self.high)
+
+    def errors(self, v: np.ndarray) -> np.ndarray:
+        """Differences in pixels, two a click; a point behind the camera is far off."""
+        out = np.full_like(self.pixels, self.BEHIND)
+        for k in range(len(self.frames)):
+            own = self.of == k
+            q = np.column_stack([self.metres[own], np.ones(own.sum())]) @ camera_map(np.array([*v[:3], v[5 + 2 * k], v[6 + 2 * k], *v[3:5]]), self.centre).T
+            seen = np.full((own.sum(), 2), self.BEHIND)
+            ahead = q[:, 2] > 1e-9
+            seen[ahead] = q[ahead, :2] / q[ahead, 2:]
+            out[own] = seen
+        return np.clip(out - self.pixels, -self.BEHIND, self.BEHIND)
+
+    def solve(self, v: np.ndarray, rounds: int) -> tuple[np.ndarray, float, float]:
+        """Damped least squares on errors that count less the larger they are; the unknowns, the median and the root mean square."""
+        damp = 1e-2
+        loss = lambda e: (np.sqrt(1 + (e / self.SOFT) ** 2) - 1).sum()
+        e = self.errors(v)
+        best = loss(e)
+        for _ in range(rounds):
+            step = 1e-6 * np.maximum(np.abs(v), 1e-2)
+            jac = np.stack([(self.errors(v + np.eye(len(v))[k] * step[k]) - e).ravel() / step[k] for k in range(len(v))], axis=1)
+            weight = 1 / np.sqrt(1 + (e.ravel() / self.SOFT) ** 2)
+            normal, slope = (jac * weight[:, None]).T @ jac, (jac * weight[:, None]).T @ e.ravel()
+            for _ in range(8):
+                new = np.clip(v - np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), slope, rcond=None)[0], self.low, self.high)
+                e_new = self.errors(new)
+                if loss(e_new) < best:
+                    break
+                damp *= 4
+            else:
+                break
+            gain, v, e, best, damp = best - loss(e_new), new, e_new, loss(e_new), max(damp / 6, 1e-9)
+            if gain < 1e-10 * (1 + best):
+                break
+        d = np.sqrt((e**2).sum(axis=1))
+        return v, float(np.median(d)), float(np.sqrt((d**2).mean()))
+
+
+PANS, TILTS, COARSE_ROUNDS, FINE_ROUNDS, FINALISTS = 12, (10.0, 28.0), 12, 120, 3
+
+
+def fit_poses(placed: DataFrame, centre: tuple[float, float] = (320.0, 180.0)) -> DataFrame:
+    """``match_id, pose, frames, median_px, rms_px``: the camera of each match from placed clicks (match_id, frame_index, x, y, px, py).
+
+    Twelve pans and two tilts are rows of their own: each match and start is solved coarsely by itself, the three best starts are
+    solved to the end, and the best of those stands. A match has a few dozen clicks."""
+    starts = placed.sparkSession.createDataFrame([(k * len(TILTS) + j, float(np.radians(30.0 * k - 150)), float(np.radians(t))) for k in range(PANS) for j, t in enumerate(TILTS)], "start int, pan double, tilt double")
+    usable = placed.groupBy("match_id").agg(F.count("*").alias("n")).filter("n >= 4").select("match_id")
+    clicks = placed.join(usable, "match_id").select("match_id", "frame_index", "x", "y", "px", "py")
+
+    def problem(pdf: pd.DataFrame) -> PoseProblem:
+        pdf = pdf.sort_values(["frame_index", "px", "py"])
+        return PoseProblem(pdf["frame_index"].to_numpy(), pdf[["px", "py"]].to_numpy(float), pdf[["x", "y"]].to_numpy(float), centre)
+
+    def solved(pdf: pd.DataFrame, v: np.ndarray, rounds: int) -> pd.DataFrame:
+        p = problem(pdf)
+        v, median, rms = p.solve(v if v is not None else p.start(pdf["pan"].iloc[0], pdf["tilt"].iloc[0]), rounds)
+        return pd.DataFrame({"match_id": [pdf["match_id"].iloc[0]], "start": [pdf["start"].iloc[0]], "pose": [v.tolist()], "frames": [p.frames.tolist()], "median_px": [median], "rms_px": [rms]})
+
+    schema = "match_id long, start int, pose array<double>, frames array<long>, median_px double, rms_px double"
+    coarse = clicks.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(PANS * len(TILTS) - 1)))).join(F.broadcast(starts), "start")  # 24 rows
+    coarse = coarse.groupBy("match_id", "start").applyInPandas(lambda pdf: solved(pdf, None, COARSE_ROUNDS), schema)
+    ranked = coarse.withColumn("k", F.row_number().over(Window.partitionBy("match_id").orderBy("median_px", "start"))).filter(F.col("k") <= FINALISTS)
+    again = clicks.join(ranked.select("match_id", "start", F.col("pose").alias("begin")), "match_id")
+    fine = again.groupBy("match_id", "start").applyInPandas(lambda pdf: solved(pdf, np.array(pdf["begin"].iloc[0], float), FINE_ROUNDS), schema)
+    return fine.groupBy("match_id").agg(F.min_by(F.struct("pose", "frames", "median_px", "rms_px"), F.struct("median_px", "start")).alias("b")).select("match_id", "b.*")

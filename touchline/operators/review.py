@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.config import DEFAULT, Config
 from touchline.functions.columns import listed
+from touchline.operators.contacts import hotspots
 
 ACCEPT, HIDE, REVIEW = "auto_accept", "auto_hide", "review"
 ACCEPT_CONF, HIDE_CONF, CARRY_FLOOR, NEUTRAL, REJECT_MAX, ANCHOR_MIN = 0.85, 0.15, 0.70, 0.5, 0.35, 0.6
@@ -32,13 +33,18 @@ def status(conf: Column, linked: Column, evidence: Column) -> Column:
     return F.when((conf >= ACCEPT_CONF) & linked, ACCEPT).when((conf <= HIDE_CONF) | (F.size(evidence) > 0), HIDE).otherwise(REVIEW)
 
 
-def montage(scored: DataFrame, cfg: Config = DEFAULT, pad: float = 1.0) -> DataFrame:
-    """Rank by confidence within a match, clip windows, status and the decision that a status implies."""
+def montage(scored: DataFrame, cfg: Config = DEFAULT, pad: float = 1.0, half: float = 120.0) -> DataFrame:
+    """Rank by confidence within a match, clip windows and crops, status and the decision that a status implies."""
     rank = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("conf"), "t_ms", "contact_id")) - 1
     own = status(F.col("conf"), F.col("linked"), F.col("evidence"))
     decision = F.when(own == ACCEPT, "me").when(own == HIDE, "not_me")
     out = scored.withColumns({"rank": rank, "status": F.when(F.col("crowded"), REVIEW).otherwise(own), "own": own, "decision": decision})
-    return out.withColumns({"clip_start_sec": F.greatest(F.lit(0.0), F.col("t_ms") / 1000.0 - pad), "clip_end_sec": F.col("t_ms") / 1000.0 + pad})
+    out = out.withColumns({"clip_start_sec": F.greatest(F.lit(0.0), F.col("t_ms") / 1000.0 - pad), "clip_end_sec": F.col("t_ms") / 1000.0 + pad})
+    if "duration_sec" in out.columns:
+        out = out.withColumn("clip_end_sec", F.least("clip_end_sec", F.coalesce("duration_sec", "clip_end_sec")))
+    if {"x", "y"} <= set(out.columns):
+        out = out.withColumn("crop", F.array(F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half))
+    return out
 
 
 def budgets(items: DataFrame, ordinary: int, crowded: int) -> DataFrame:
@@ -51,7 +57,44 @@ def budgets(items: DataFrame, ordinary: int, crowded: int) -> DataFrame:
     return items.withColumns({"status": F.when(over, back).otherwise(F.col("status")), "decision": decision})
 
 
-def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions (match_id, rank, choice) override by rank; choices other than me and not_me are ignored."""
-    valid = decisions.filter(F.col("choice").isin("me", "not_me")).groupBy("match_id", "rank").agg(F.max("choice").alias("choice"))
-    return items.join(valid, ["match_id", "rank"], "left").withColumn("decision", F.coalesce("choice", "decision")).drop("choice")
+def apply_decisions(items: DataFrame, decisions: DataFrame, strict: bool = False) -> DataFrame:
+    """Decisions (match_id, rank, choice, seq) override by rank, the last of each rank.
+
+    Choices other than me and not_me are ignored, or stop the query if ``strict``."""
+    valid = F.col("choice").isin("me", "not_me")
+    if strict:
+        known = F.when(valid, F.col("choice")).otherwise(F.raise_error(F.concat(F.lit("decision must be me or not_me, got "), F.coalesce("choice", F.lit("null")))))
+        decisions = decisions.withColumn("choice", known)
+    last = decisions.filter(F.lit(True) if strict else valid).groupBy("match_id", "rank").agg(F.max_by("choice", "seq").alias("choice"))
+    return items.join(last, ["match_id", "rank"], "left").withColumn("decision", F.coalesce("choice", "decision")).drop("choice")
+
+
+def decided_hotspots(items: DataFrame, decisions: DataFrame, samples: DataFrame, durations: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Hotspots of all contacts that are the target's after the user's decisions; items are (match_id, rank, contact_id, t_ms, decision)."""
+    mine = apply_decisions(items, decisions).filter("decision = 'me'")
+    return hotspots(mine.withColumn("frame_index", F.col("contact_id")), cfg, samples, durations)
+
+
+def settled_by(items: DataFrame, rank: int, choice: str) -> DataFrame:
+    """Queue items after one decision: ``decision`` of the decided one and of all later ones that it settles, and ``auto`` for those.
+
+    Not me on the other team settles that team's same kit; within the own kit a look-alike group is settled either way; crowded items
+    neither give nor take. Items are (match_id, rank, crowded, is_other_team, kit_group, appearance_group, decision)."""
+    given = items.filter(F.col("rank") == rank).select("match_id", *[F.col(c).alias(f"g_{c}") for c in ("crowded", "is_other_team", "kit_group", "appearance_group")])
+    both = items.join(F.broadcast(given), "match_id", "left")  # one row a match
+    hard = F.lit(choice == "not_me") & F.col("g_is_other_team") & F.col("is_other_team") & (F.col("kit_group") >= 0) & (F.col("kit_group") == F.col("g_kit_group"))
+    soft = ~F.col("g_is_other_team") & ~F.col("is_other_team") & (F.col("appearance_group") >= 0) & (F.col("appearance_group") == F.col("g_appearance_group"))
+    auto = F.coalesce((F.col("rank") > rank) & F.col("decision").isNull() & ~F.col("crowded") & ~F.col("g_crowded") & (hard | soft), F.lit(False))
+    out = both.withColumns({"auto": auto, "decision": F.when((F.col("rank") == rank) | auto, choice).otherwise(F.col("decision"))})
+    return out.select(*items.columns, "auto")
+
+
+def undone(items: DataFrame) -> DataFrame:
+    """Items with what the last decision settled by itself taken back; the decision itself stays."""
+    return items.withColumn("decision", F.when(~F.col("auto"), F.col("decision"))).drop("auto")
+
+
+def propagate(items: DataFrame) -> DataFrame:
+    """Decisions passed on to later items of the same group (match_id, grp, rank, crowded, decision); crowded ones neither give nor take."""
+    first = F.min(F.when((F.col("decision") == "me") & ~F.col("crowded"), F.col("rank"))).over(Window.partitionBy("match_id", "grp"))
+    return items.withColumn("giver", first).withColumn("decision", F.coalesce("decision", F.when((F.col("giver") < F.col("rank")) & ~F.col("crowded"), "me"))).drop("giver")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from touchline.functions import columns as X
 from touchline.operators import attribution as A
+from touchline.operators import appearance as AP
 from touchline.operators import review as R
+from touchline.operators import services as V_
 from touchline.operators import valuation as V
 from touchline.sources.projections import ACTIONS, BOXES, SAMPLES, duck, project
 
@@ -37,8 +39,12 @@ def balls(spark, sf_dir):
 _B = f"b AS {duck('lineitem', BOXES)}"
 _BALL = "ball AS (SELECT o_orderkey AS frame_index, CAST(o_custkey * 13 % 600 AS DOUBLE) AS x, CAST(o_orderkey * 29 % 340 AS DOUBLE) AS y FROM orders)"
 _DBOX = "sqrt(pow(greatest(x1 - x, 0.0, x - x2), 2) + pow(greatest(y1 - y, 0.0, y - y2), 2))"
-_RANKED = f"""{_B}, {_BALL}, near AS (SELECT frame_index, det_id AS player, conf, {_DBOX} AS d_box, sqrt((x - (x1 + x2) / 2) * (x - (x1 + x2) / 2) + (y - y2) * (y - y2)) AS d_feet, greatest(1.0, (x2 - x1) * (y2 - y1)) AS area, y2 - y1 AS height FROM ball JOIN b USING (frame_index)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY d_feet, area, conf DESC, player) AS place FROM near WHERE d_box <= 80)"""
+_ELIGIBLE = f"""{_B}, {_BALL}, e0 AS (SELECT frame_index, x, y, det_id AS player, conf, x1, y1, x2, y2, y2 - y1 AS h, (y2 - y1) / greatest(x2 - x1, 1e-6) AS asp,
+greatest(0.0, least(x2, x + 8) - greatest(x1, x - 8)) * greatest(0.0, least(y2, y + 8) - greatest(y1, y - 8)) AS i, (x2 - x1) * (y2 - y1) + 256 AS s FROM ball JOIN b USING (frame_index) WHERE class_id IN (1, 2)),
+el AS (SELECT *, {_DBOX} AS d_box, sqrt((x - (x1 + x2) / 2) * (x - (x1 + x2) / 2) + (y - (y1 + (y2 - y1) * 5 / 6)) * (y - (y1 + (y2 - y1) * 5 / 6))) AS d_feet, greatest(1.0, (x2 - x1) * (y2 - y1)) AS area, greatest(1.0, h) AS height FROM e0
+WHERE NOT (CASE WHEN (CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END) >= 0.25::DOUBLE THEN h < 16 OR asp < 1.8::DOUBLE ELSE h < 16 AND asp < 1.8::DOUBLE END) AND h >= 16 AND asp >= 1.3::DOUBLE AND asp <= 5.5::DOUBLE)"""
+_RANKED = f"""{_ELIGIBLE},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY d_feet, area, conf DESC, player) AS place FROM el WHERE d_box <= 80)"""
 
 
 @query(f"WITH {_B} SELECT frame_index, first(det_id ORDER BY conf DESC, det_id) AS det_id, max(conf) AS conf FROM b WHERE class_id = 0 GROUP BY frame_index")
@@ -61,12 +67,15 @@ def q_nearest_player(spark, sf_dir):
     return A.contesting(balls(spark, sf_dir), boxes(spark, sf_dir), 80.0).filter("place = 1").select("frame_index", "player", X.rounded(F.col("d_feet")).alias("d_feet"))
 
 
-@query(f"WITH {_RANKED} SELECT a.frame_index, a.player, coalesce(c.d_feet - a.d_feet < 0.8::DOUBLE * a.height, false) AS ambiguous FROM ranked a LEFT JOIN ranked c ON c.frame_index = a.frame_index AND c.place = 2 WHERE a.place = 1")
+@query(
+    f"""WITH {_RANKED}, a AS (SELECT * FROM ranked WHERE place = 1), c AS (SELECT * FROM ranked WHERE place = 2)
+SELECT ball.frame_index, a.player, a.player IS NULL OR coalesce(c.d_box - a.d_box < 0.8::DOUBLE * a.height, false) AS ambiguous FROM ball LEFT JOIN a USING (frame_index) LEFT JOIN c ON c.frame_index = ball.frame_index"""
+)
 def q_contest_ambiguity(spark, sf_dir):
-    return A.ambiguity(A.contesting(balls(spark, sf_dir), boxes(spark, sf_dir), 80.0))
+    return A.ambiguity(balls(spark, sf_dir), A.contesting(balls(spark, sf_dir), boxes(spark, sf_dir), 80.0))
 
 
-@query(f"WITH {_B}, {_BALL} SELECT frame_index, count(*) AS n_near FROM ball JOIN b USING (frame_index) WHERE {_DBOX} <= 90 GROUP BY frame_index")
+@query(f"WITH {_ELIGIBLE}, n AS (SELECT frame_index, count(*) AS n FROM el WHERE d_box <= 90 GROUP BY frame_index) SELECT frame_index, coalesce(n, 0) AS n_near FROM ball LEFT JOIN n USING (frame_index)")
 def q_crowd_count(spark, sf_dir):
     return A.crowd(balls(spark, sf_dir), boxes(spark, sf_dir))
 
@@ -93,12 +102,23 @@ def q_hsv_distance(spark, sf_dir):
     return k.select("p_partkey", X.rounded(X.hsv_distance((F.col("h"), F.col("s"), F.col("v")), (F.lit(110.0), F.lit(180.0), F.lit(120.0)))).alias("d"))
 
 
-@query(
-    f"""WITH k AS {duck('part', _KIT)}, d AS (SELECT p_partkey, {_HSV(110, 180, 120)} AS d, {_HSV(20, 160, 200)} AS e FROM k)
-SELECT p_partkey, CASE WHEN d IS NULL THEN 'unknown' WHEN e + 20 < d THEN 'opponent' WHEN d + 20 < e THEN 'my_team' WHEN d > 115 THEN 'opponent' WHEN d <= 60 THEN 'my_team' ELSE 'unknown' END AS team FROM d"""
-)
+_MINE, _OTHER = [(110.0, 180.0, 120.0), (8.0, 200.0, 160.0)], [(62.0, 160.0, 200.0)]
+_NEAR = {"d": "least(" + ", ".join(_HSV(*map(int, c)) for c in _MINE) + ")", "e": _HSV(*map(int, _OTHER[0]))}
+_TEAM = f"""k AS {duck('part', _KIT)}, d AS (SELECT *, CASE WHEN v IS NOT NULL THEN {_NEAR['d']} END AS d, CASE WHEN v IS NOT NULL THEN {_NEAR['e']} END AS e FROM k),
+o AS (SELECT *, coalesce(((s < 55 AND v < 100) OR (s > 110 AND v > 130 AND h BETWEEN 20 AND 55)) AND NOT (d <= 60 OR e <= 60), false) AS official FROM d),
+t AS (SELECT *, CASE WHEN d IS NULL THEN 'unknown' WHEN official THEN 'official' WHEN e + 20 < d THEN 'opponent' WHEN d + 20 < e THEN 'my_team' WHEN d > 115 THEN 'opponent' WHEN d <= 60 THEN 'my_team' ELSE 'unknown' END AS team FROM o)"""
+
+
+@query(f"WITH {_TEAM} SELECT p_partkey, team, CASE WHEN team <> 'unknown' THEN team = 'my_team' END AS is_mine FROM t")
 def q_team_classify(spark, sf_dir):
-    return A.classify_team(project(spark, sf_dir, "part", _KIT), (110, 180, 120), (20, 160, 200)).select("p_partkey", "team")
+    return A.classify_team(project(spark, sf_dir, "part", _KIT), _MINE, _OTHER).select("p_partkey", "team", "is_mine")
+
+
+@query(f"WITH {_TEAM} SELECT p_partkey, coalesce(CASE WHEN team <> 'unknown' THEN team = 'my_team' END, true) OR (p_partkey % 4 = 0 AND team NOT IN ('official', 'sideline')) AS kept FROM t")
+def q_team_gate(spark, sf_dir):
+    """The gate over classified kits: own and undecided contacts stay, crowded ones unless an official's."""
+    kits = A.classify_team(project(spark, sf_dir, "part", _KIT), _MINE, _OTHER).withColumn("crowded", F.col("p_partkey") % 4 == 0)
+    return kits.select("p_partkey", A.passes_gate().alias("kept"))
 
 
 _SC = (
@@ -144,24 +164,54 @@ def q_review_budget(spark, sf_dir):
     return R.budgets(R.montage(scored(spark, sf_dir)), 8, 4).select("match_id", "rank", "contact_id", "status", "decision")
 
 
-@query(f"""WITH {_BUDG}, ch AS (SELECT user_id % 64 AS match_id, event_id % 50 AS rank, max(CASE event_type WHEN 'click' THEN 'me' WHEN 'view' THEN 'not_me' END) AS choice FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)
-SELECT match_id, rank, contact_id, status, coalesce(choice, decision) AS decision FROM bud LEFT JOIN ch USING (match_id, rank)""")
+_CH = "ch AS (SELECT user_id % 64 AS match_id, event_id % 50 AS rank, arg_max(CASE event_type WHEN 'click' THEN 'me' ELSE 'not_me' END, event_id) AS choice FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)"
+_CHOICES = ("user_id % 64 AS match_id", "CAST(event_id % 50 AS INT) AS rank", "event_id AS seq", "CASE event_type WHEN 'click' THEN 'me' WHEN 'view' THEN 'not_me' ELSE 'maybe' END AS choice")
+
+
+def _items(spark, sf_dir):
+    return R.budgets(R.montage(scored(spark, sf_dir)), 8, 4)
+
+
+@query(f"""WITH {_BUDG}, {_CH} SELECT match_id, rank, contact_id, status, coalesce(choice, decision) AS decision FROM bud LEFT JOIN ch USING (match_id, rank)""")
 def q_decisions(spark, sf_dir):
-    items = R.budgets(R.montage(scored(spark, sf_dir)), 8, 4).select("match_id", "rank", "contact_id", "status", "decision")
-    choices = project(spark, sf_dir, "events", ("user_id % 64 AS match_id", "CAST(event_id % 50 AS INT) AS rank", "CASE event_type WHEN 'click' THEN 'me' WHEN 'view' THEN 'not_me' ELSE 'maybe' END AS choice"))
-    return R.apply_decisions(items, choices)
+    return R.apply_decisions(_items(spark, sf_dir).select("match_id", "rank", "contact_id", "status", "decision"), project(spark, sf_dir, "events", _CHOICES))
+
+
+_DUR = "d AS (SELECT user_id % 64 AS match_id, max(event_id) * 5 / 1000.0::DOUBLE AS duration_sec FROM events GROUP BY ALL)"
+
+
+def durations(spark, sf_dir):
+    return project(spark, sf_dir, "events", ("user_id % 64 AS match_id", "event_id")).groupBy("match_id").agg((F.max("event_id") * 5 / 1000.0).alias("duration_sec"))
+
+
+@query(
+    f"""WITH {_BUDG}, {_CH}, {_DUR}, s AS {duck('events', SAMPLES)}, me AS (SELECT match_id, contact_id, contact_id * 5 AS t_ms FROM bud LEFT JOIN ch USING (match_id, rank) WHERE coalesce(choice, decision) = 'me'),
+o AS (SELECT *, CASE WHEN t_ms - 2000 - (lag(t_ms) OVER w + 2000) <= 5000 THEN 0 ELSE 1 END AS opens FROM me WINDOW w AS (PARTITION BY match_id ORDER BY t_ms, contact_id)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY match_id ORDER BY t_ms, contact_id) AS hotspot_id FROM o),
+z AS (SELECT match_id, hotspot_id, min(t_ms) - 2000 AS a, max(t_ms) + 2000 AS b, count(*) AS n_contacts, max(t_ms) AS last_ms FROM g GROUP BY ALL),
+near AS (SELECT z.match_id, z.hotspot_id, s.t_ms AS s_ms, s.frame_index, s.x, s.y FROM z JOIN s ON s.match_id = z.match_id AND s.x IS NOT NULL AND s.t_ms BETWEEN z.last_ms AND z.last_ms + 6000),
+og AS (SELECT *, first_value(x) OVER w AS ox, first_value(y) OVER w AS oy FROM near WINDOW w AS (PARTITION BY match_id, hotspot_id ORDER BY s_ms, frame_index)),
+gone AS (SELECT match_id, hotspot_id, min(s_ms) FILTER (WHERE sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) > 120) + 2000 AS gone FROM og GROUP BY ALL),
+r AS (SELECT z.*, greatest(b, coalesce(gone, b)) AS e FROM z LEFT JOIN gone USING (match_id, hotspot_id))
+SELECT match_id, hotspot_id, n_contacts, greatest(0.0, a - greatest(0.0, (3000 - (e - a)) / 2.0)) / 1000.0::DOUBLE AS start_sec, least((e + greatest(0.0, (3000 - (e - a)) / 2.0)) / 1000.0::DOUBLE, duration_sec) AS end_sec FROM r JOIN d USING (match_id)"""
+)
+def q_decided_hotspots(spark, sf_dir):
+    """From the review queue through the user's decisions to hotspots that last until the ball leaves."""
+    out = R.decided_hotspots(_items(spark, sf_dir), project(spark, sf_dir, "events", _CHOICES), project(spark, sf_dir, "events", SAMPLES), durations(spark, sf_dir))
+    return out.select("match_id", "hotspot_id", "n_contacts", "start_sec", "end_sec")
 
 
 # threat-point coefficients in tenths, made up for these tables; a real run supplies its own table
 _COEFFS = [(m, p, a, int((len(a) * (3 + i) + 7 * j) % 23) - 8) for i, m in enumerate("MRH") for j, p in enumerate(("FW", "MF")) for a in ("Shot Taken", "Key Pass", "Goal", "Interception", "Dispossessed")]
 _CO = "co(model, position, action, tp) AS (VALUES " + ", ".join(map(str, _COEFFS)) + ")"
 _ACT = f"a0 AS {duck('events', ACTIONS)}"
-# conflict-free form: a shot goes if some goal takes it as its latest free shot; goals are folded in order by the engine, here by recursion over goals of a match
+# goals are folded in order by the engine, here by recursion over the goals of a match
+_FREE = "list_filter(shots, lambda s: s.t <= g.t AND g.t - s.t <= 12 AND NOT list_contains(used, -s.k))"
 _SUPP = f"""{_ACT},
-g AS (SELECT match_id, seq, round(seconds * 10)::BIGINT AS ds, row_number() OVER (PARTITION BY match_id ORDER BY seq) AS k FROM a0 WHERE action = 'Goal'),
-sh AS (SELECT match_id, list({{'ds': round(seconds * 10)::BIGINT, 'k': -seq}} ORDER BY round(seconds * 10)::BIGINT, -seq) AS shots FROM a0 WHERE action = 'Shot Taken' GROUP BY match_id),
+g AS (SELECT match_id, seq, seconds AS t, row_number() OVER (PARTITION BY match_id ORDER BY seq) AS k FROM a0 WHERE action = 'Goal'),
+sh AS (SELECT match_id, list({{'t': seconds, 'k': -seq}} ORDER BY seconds, -seq) AS shots FROM a0 WHERE action = 'Shot Taken' GROUP BY match_id),
 rec AS (SELECT match_id, 0::BIGINT AS k, []::BIGINT[] AS used FROM sh UNION ALL
-  SELECT r.match_id, g.k, CASE WHEN len(list_filter(shots, lambda s: s.ds <= g.ds AND s.ds >= g.ds - 120 AND NOT list_contains(used, -s.k))) > 0 THEN list_append(used, -(list_filter(shots, lambda s: s.ds <= g.ds AND s.ds >= g.ds - 120 AND NOT list_contains(used, -s.k))[-1].k)) ELSE used END
+  SELECT r.match_id, g.k, CASE WHEN len({_FREE}) > 0 THEN list_append(used, -({_FREE}[-1].k)) ELSE used END
   FROM rec r JOIN g ON g.match_id = r.match_id AND g.k = r.k + 1 JOIN sh ON sh.match_id = r.match_id),
 supp AS (SELECT match_id, unnest(used) AS seq FROM (SELECT match_id, arg_max(used, k) AS used FROM rec GROUP BY match_id))"""
 _SUPP = _SUPP.replace("a0 AS", "a0 AS MATERIALIZED", 1)
@@ -192,10 +242,11 @@ def q_valuation(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE {_VAL} SELECT match_id, seq, seconds AS x, sum(h) OVER (PARTITION BY match_id ORDER BY seq) / 10.0::DOUBLE AS y FROM v UNION ALL SELECT DISTINCT match_id, -1, 0.0, 0.0 FROM v
-UNION ALL SELECT match_id, 4611686018427387904, 5400.0, sum(h) / 10.0::DOUBLE FROM v GROUP BY match_id"""
+UNION ALL SELECT match_id, 4611686018427387904, match_id % 3 * 1800.0, sum(h) / 10.0::DOUBLE FROM v WHERE match_id % 3 > 0 GROUP BY match_id"""
 )
 def q_wpa_chart(spark, sf_dir):
-    return V.chart(_valued(spark, sf_dir), 5400.0)
+    v = _valued(spark, sf_dir)
+    return V.chart(v, v.select("match_id").distinct().withColumn("duration_sec", F.col("match_id") % 3 * 1800.0))
 
 
 @query(
@@ -211,33 +262,34 @@ def q_action_counts(spark, sf_dir):
     return project(spark, sf_dir, "events", ACTIONS).groupBy("match_id", "action").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_ACT} SELECT match_id, string_agg(action, ' > ' ORDER BY seq) AS timeline FROM a0 GROUP BY match_id")
+@query(
+    f"""WITH {_ACT}, c AS (SELECT *, floor(seconds)::BIGINT AS t FROM a0) SELECT match_id, string_agg('[' || CASE WHEN t // 60 < 10 THEN '0' ELSE '' END || (t // 60)::VARCHAR || ':' || lpad((t % 60)::VARCHAR, 2, '0') || '] ' || action, ', ' ORDER BY seq) AS timeline FROM c GROUP BY match_id"""
+)
 def q_timeline(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "action")))
-    return project(spark, sf_dir, "events", ACTIONS).groupBy("match_id").agg(F.array_join(F.transform(ordered, lambda s: s["action"]), " > ").alias("timeline"))
+    return V.timeline(project(spark, sf_dir, "events", ACTIONS))
 
 
 @query(
-    """WITH srv AS (SELECT o_custkey AS k, max(o_totalprice) AS price, max(o_orderdate) AS d FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey), loc AS (SELECT c_custkey AS k, c_acctbal AS price, c_name AS name FROM customer WHERE c_custkey % 2 = 0)
-SELECT coalesce(srv.k, loc.k) AS entry, coalesce(srv.price, loc.price) AS price, name, srv.k IS NOT NULL AS on_server FROM srv FULL JOIN loc ON srv.k = loc.k"""
+    """WITH srv AS (SELECT o_custkey AS entry, max(o_totalprice) AS price, max(o_orderdate) AS d, CASE WHEN max(o_orderkey) % 2 = 0 THEN 'note' END AS note FROM orders GROUP BY o_custkey), loc AS (SELECT c_custkey AS entry, c_acctbal AS price, c_name AS name, 'own' AS note FROM customer)
+SELECT coalesce(srv.entry, loc.entry) AS entry, CASE WHEN srv.entry IS NOT NULL THEN srv.price ELSE loc.price END AS price, CASE WHEN srv.entry IS NOT NULL THEN srv.note ELSE loc.note END AS note, name, srv.entry IS NOT NULL AS on_server FROM srv FULL JOIN loc ON srv.entry = loc.entry"""
 )
 def q_catalogue_merge(spark, sf_dir):
-    server = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("price"))
-    local = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("lk"), F.col("c_acctbal").alias("l_price"), F.col("c_name").alias("name"))
-    both = server.join(local, F.col("k") == F.col("lk"), "full_outer")
-    return both.select(F.coalesce("k", "lk").alias("entry"), F.coalesce("price", "l_price").alias("price"), "name", F.col("k").isNotNull().alias("on_server"))
+    """Whole tables: customers without orders are on the local side only, and what the server has wins, nulls included."""
+    note = F.when(F.max("o_orderkey") % 2 == 0, "note")
+    server = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("entry")).agg(F.max("o_totalprice").alias("price"), note.alias("note"))
+    local = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("entry"), F.col("c_acctbal").alias("price"), F.col("c_name").alias("name"), F.lit("own").alias("note"))
+    return V_.merge_catalogue(server, local, "entry")
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'")
 def q_catalogue_list(spark, sf_dir):
     done = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'")
-    return done.select("o_orderkey", "o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")).alias("place"))
+    return V_.newest_first(done, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "place")
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) > 3 AS limited FROM events")
 def q_rate_limit(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", "user_id", (F.row_number().over(Window.partitionBy("user_id", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")) > 3).alias("limited"))
+    return V_.rate_limited(spark.read.parquet(f"{sf_dir}/events.parquet"), 3).select("event_id", "user_id", "limited")
 
 
 @query(
@@ -245,10 +297,7 @@ def q_rate_limit(spark, sf_dir):
 SELECT event_id, coalesce(ts < failed + INTERVAL 2 HOUR, false) AS blocked FROM e"""
 )
 def q_circuit_breaker(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    failed = F.max(F.when(F.col("event_type") == "error", F.col("ts"))).over(w)
-    return e.select("event_id", F.coalesce(F.col("ts") < failed + F.expr("INTERVAL 2 HOURS"), F.lit(False)).alias("blocked"))
+    return V_.broken_circuit(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type") == "error").select("event_id", "blocked")
 
 
 @query(
@@ -256,10 +305,7 @@ def q_circuit_breaker(spark, sf_dir):
 k AS (SELECT *, row_number() OVER (PARTITION BY match_id, run ORDER BY frame_index) - CASE WHEN run = 0 THEN 0 ELSE 1 END AS miss FROM m) SELECT match_id, frame_index, detected OR miss < 4 OR (miss - 4) % 3 = 0 AS scanned FROM k"""
 )
 def q_backoff(spark, sf_dir):
-    s = project(spark, sf_dir, "events", SAMPLES)
-    runs = s.withColumn("run", F.sum(F.when(F.col("detected"), 1).otherwise(0)).over(Window.partitionBy("match_id").orderBy("frame_index")))
-    miss = F.row_number().over(Window.partitionBy("match_id", "run").orderBy("frame_index")) - F.when(F.col("run") == 0, 0).otherwise(1)
-    return runs.withColumn("miss", miss).select("match_id", "frame_index", (F.col("detected") | (F.col("miss") < 4) | ((F.col("miss") - 4) % 3 == 0)).alias("scanned"))
+    return V_.scan_schedule(project(spark, sf_dir, "events", SAMPLES)).select("match_id", "frame_index", "scanned")
 
 
 @query(
@@ -268,14 +314,10 @@ e AS (SELECT *, CASE WHEN role NOT IN ('system', 'user', 'assistant') THEN 'inva
 SELECT conv_id, CASE WHEN max(n) > 40 THEN 'too many messages' ELSE arg_min(err, n) FILTER (WHERE err IS NOT NULL) END AS error, max(n) AS n_messages FROM e GROUP BY conv_id"""
 )
 def q_chat_caps(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumns({"n": F.row_number().over(w), "chars": F.sum(F.length(F.coalesce("text", F.lit("")))).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    err = F.when(~F.col("role").isin("system", "user", "assistant"), "invalid role").when(F.col("text").isNull() | (F.trim("text") == ""), "empty content").when(F.col("chars") > 2400, "too long")
-    out = t.withColumn("err", err).groupBy("conv_id").agg(F.min_by(F.col("err"), F.when(F.col("err").isNotNull(), F.col("n"))).alias("e"), F.max("n").alias("n_messages"))
-    return out.select("conv_id", F.when(F.col("n_messages") > 40, "too many messages").otherwise(F.col("e")).alias("error"), "n_messages")
+    return V_.chat_errors(spark.read.parquet(f"{sf_dir}/conversations.parquet"), max_chars=2400)
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def q_html_escape(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.escape_html(F.col("html")).alias("escaped"))
 
@@ -285,28 +327,51 @@ def q_clock_format(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", X.clock(F.col("event_id") * 7).alias("clock"))
 
 
-@query("WITH v AS (SELECT p_partkey, (p_partkey % 4) || '.' || (p_size % 7) || CASE WHEN p_partkey % 9 = 0 THEN 'beta' ELSE '.1' END AS ver FROM part) SELECT p_partkey, CASE WHEN regexp_full_match(ver, '\\d+(\\.\\d+)*') THEN list_transform(string_split(ver, '.'), lambda z: z::INT) > [2, 3, 0] ELSE false END AS newer FROM v")
+@query(
+    """WITH v AS (SELECT p_partkey, 'v' || (p_partkey % 4) || '.' || (p_size % 12) || CASE WHEN p_partkey % 9 = 0 THEN '-beta' WHEN p_partkey % 7 = 0 THEN '.x.5' ELSE '.1' END AS ver FROM part UNION ALL SELECT -p_partkey, p_name FROM part),
+n AS (SELECT p_partkey, list_transform(string_split(regexp_extract(ver, '^v?(\\d+([.+-]\\d+)*)([.+-]|$)', 1), '.'), lambda z: TRY_CAST(z AS INT)) AS n FROM v) SELECT p_partkey, coalesce(n[1] IS NOT NULL AND n > [2, 3], false) AS newer FROM n"""
+)
 def q_version_cmp(spark, sf_dir):
-    text = F.concat((F.col("p_partkey") % 4).cast("string"), F.lit("."), (F.col("p_size") % 7).cast("string"), F.when(F.col("p_partkey") % 9 == 0, "beta").otherwise(".1"))
-    newer = X.version_parts(text) > F.array(F.lit(2), F.lit(3), F.lit(0))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.coalesce(newer, F.lit(False)).alias("newer"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.lit("v"), (F.col("p_partkey") % 4).cast("string"), F.lit("."), (F.col("p_size") % 12).cast("string"), F.when(F.col("p_partkey") % 9 == 0, "-beta").when(F.col("p_partkey") % 7 == 0, ".x.5").otherwise(".1"))
+    both = p.select("p_partkey", text.alias("ver")).unionByName(p.select((-F.col("p_partkey")).alias("p_partkey"), F.col("p_name").alias("ver")))
+    return both.select("p_partkey", X.is_newer(F.col("ver"), F.lit("2.3")).alias("newer"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) IN ('tionsh.example.net', 'ththon.example.com') AS allowed FROM pages")
+@query(
+    """WITH o AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://localhost:' || page_id WHEN 1 THEN 'https://127.0.0.1/x' WHEN 2 THEN 'null' WHEN 3 THEN 'ftp://localhost' ELSE url END AS origin FROM pages)
+SELECT page_id, coalesce(lower(regexp_extract(origin, '^https?://([^/?#:]*)', 1)) IN ('127.0.0.1', 'localhost', '::1'), false) AS allowed FROM o"""
+)
 def q_origin_allow(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]+)", 1).isin("tionsh.example.net", "ththon.example.com").alias("allowed"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    own = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("http://localhost:"), F.col("page_id").cast("string"))).when(F.col("page_id") % 5 == 1, "https://127.0.0.1/x").when(F.col("page_id") % 5 == 2, "null").when(F.col("page_id") % 5 == 3, "ftp://localhost").otherwise(F.col("url"))
+    return p.select("page_id", V_.origin_allowed(own).alias("allowed"))
+
+
+_CORR = """list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - list_avg(e)) * (g[i] - list_avg(g)))) / sqrt(list_sum(list_transform(e, lambda x: (x - list_avg(e)) * (x - list_avg(e)))) * list_sum(list_transform(g, lambda x: (x - list_avg(g)) * (x - list_avg(g)))))"""
 
 
-_GAL = "g AS (SELECT vec_id AS gid, embedding::DOUBLE[] AS ge FROM embeddings WHERE vec_id IN (3, 10, 17))"
+@query(
+    f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT label, min(vec_id) AS vec_id FROM v GROUP BY label), g AS (SELECT v.label, v.e AS g FROM v JOIN f USING (vec_id))
+SELECT v.vec_id, floor(greatest(0.0, least(1.0, {_CORR})) * 10000 + 0.5) / 10000 AS app FROM v JOIN g ON g.label = v.label"""
+)
+def q_hist_corr(spark, sf_dir):
+    """Correlation of each descriptor with its match's gallery of one."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label is not null").select(F.col("label").alias("match_id"), "vec_id", F.col("embedding").cast("array<double>").alias("descriptor"))
+    first = v.groupBy("match_id").agg(F.min_by("descriptor", "vec_id").alias("descriptor"))
+    return AP.gallery_score(v, first).select("vec_id", X.rounded(F.col("app")).alias("app"))
 
 
-@query(f"WITH {_GAL} SELECT vec_id, floor(max(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * ge[i]))) * 10000 + 0.5) / 10000 AS score FROM embeddings, g GROUP BY vec_id")
+@query(
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM v), g AS (SELECT label, e AS g FROM k WHERE n <= 3 AND label % 2 = 0)
+SELECT v.vec_id, floor(max(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * g[i]))) * 10000 + 0.5) / 10000 AS score FROM v LEFT JOIN g ON g.label = v.label GROUP BY v.vec_id"""
+)
 def q_gallery_score(spark, sf_dir):
-    """Best similarity to a gallery of three descriptors; the gallery is one array column, not a join."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    gallery = [r.e for r in e.filter(F.col("vec_id").isin(3, 10, 17)).collect()]
-    dot = lambda g: F.aggregate(F.zip_with("e", F.array(*map(F.lit, g)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return e.select("vec_id", X.rounded(F.greatest(*map(dot, gallery)) if len(gallery) > 1 else F.lit(None).cast("double")).alias("score"))
+    """Best product with the gallery of a match, of one to three descriptors; odd matches have no gallery and no score."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("match_id"), "vec_id", F.col("embedding").cast("array<double>").alias("descriptor"))
+    few = v.withColumn("k", F.row_number().over(Window.partitionBy("match_id").orderBy("vec_id"))).filter("k <= 3 and match_id % 2 = 0")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return AP.gallery_score(v, few, dot).select("vec_id", X.rounded(F.col("app")).alias("score"))
 
 
 @query("WITH h AS (SELECT user_id, CAST(least(11, floor(value / 25)) AS INT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT user_id, bin, floor(n::DOUBLE / max(n) OVER (PARTITION BY user_id) * 10000 + 0.5) / 10000 AS level FROM h")

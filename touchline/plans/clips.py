@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from touchline.functions import columns as X
 from touchline.functions.columns import rounded
 from touchline.operators import clips as L
+from touchline.operators import colour as K
+from touchline.operators import review as R
+from touchline.operators import services as V
+from touchline.sources import documents as S
 from touchline.sources.projections import SAMPLES, duck, project
 
 QUERIES: dict = {}
@@ -77,12 +81,7 @@ def q_camera_interpolate(spark, sf_dir):
     f"""WITH {_TR}, s AS (SELECT match_id, t_ms AS at_ms, frame_index FROM tr WHERE dx IS NOT NULL) SELECT ask.match_id, point_id, max(at_ms) AS at_ms FROM ask JOIN s ON s.match_id = ask.match_id AND at_ms <= ask.t_ms AND at_ms >= ask.t_ms - 8000 GROUP BY ALL"""
 )
 def q_asof_sighting(spark, sf_dir):
-    """Latest sighting within the horizon before each point: sorted together, no range join."""
-    seen = project(spark, sf_dir, "events", TRACK).filter("dx is not null").select("match_id", F.lit(None).cast("long").alias("point_id"), "t_ms", F.col("t_ms").alias("at_ms"), F.lit(0).alias("kind"))
-    asked = project(spark, sf_dir, "orders", ASKED).select("match_id", "point_id", "t_ms", F.lit(None).cast("long").alias("at_ms"), F.lit(1).alias("kind"))
-    w = Window.partitionBy("match_id").orderBy("t_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = seen.unionByName(asked).withColumn("at_ms", F.last("at_ms", True).over(w)).filter("kind = 1 and at_ms >= t_ms - 8000")
-    return out.select("match_id", "point_id", "at_ms")
+    return L.latest_before(project(spark, sf_dir, "orders", ASKED), project(spark, sf_dir, "events", TRACK).filter("dx is not null"), 8000)
 
 
 @query(
@@ -93,10 +92,10 @@ def q_even_sample(spark, sf_dir):
     return L.evenly(project(spark, sf_dir, "events", SAMPLES), 8, "frame_index").select("match_id", "frame_index")
 
 
-@query("SELECT event_id AS point_id, unnest(range(greatest(0, event_id - 6), least(9999, event_id + 6) + 1, 3)) AS frame_index FROM events WHERE event_id % 10 = 0 AND event_id <= 9999")
+@query("SELECT event_id AS point_id, unnest(range(greatest(0, event_id - 6), least(last, event_id + 6) + 1, 3)) AS frame_index FROM events, (SELECT max(event_id) AS last FROM events)")
 def q_frame_window(spark, sf_dir):
-    points = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 10 = 0 and event_id <= 9999").select(F.col("event_id").alias("point_id"), F.col("event_id").alias("frame_index"))
-    return L.window_frames(points, 6, 3, 9999)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return L.window_frames(e.select(F.col("event_id").alias("point_id"), F.col("event_id").alias("frame_index")), 6, 3, e.agg(F.max("event_id")).first()[0])
 
 
 @query(
@@ -120,9 +119,12 @@ def q_frame_count(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"), (F.max("event_id") - F.min("event_id") + 1).alias("span"))
 
 
-@query("SELECT event_id AS frame_index, ts FROM events WHERE event_id % 7 = 0 AND event_id BETWEEN 50 AND 5000")
+@query("SELECT event_id AS frame_index, ts FROM events, (SELECT max(event_id) AS last FROM events) WHERE event_id % 7 = 0 AND event_id BETWEEN last // 20 AND last - last // 20")
 def q_sampled_scan(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter((F.col("event_id") % 7 == 0) & F.col("event_id").between(50, 5000)).select(F.col("event_id").alias("frame_index"), "ts")
+    """Every seventh frame between bounds a twentieth in from the ends of the table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    return S.sampled_frames(e.withColumnRenamed("event_id", "frame_index"), 7, last // 20, last - last // 20).select("frame_index", "ts")
 
 
 @query(
@@ -130,19 +132,24 @@ def q_sampled_scan(spark, sf_dir):
 d AS (SELECT match_id, grp, min(rank) AS rank FROM q WHERE decision = 'me' AND NOT crowded GROUP BY ALL) SELECT q.match_id, q.rank, coalesce(decision, CASE WHEN d.rank < q.rank AND NOT crowded THEN 'me' END) AS decision FROM q LEFT JOIN d USING (match_id, grp)"""
 )
 def q_propagation(spark, sf_dir):
-    """A decision is passed on to later contacts of the same appearance group; crowded ones neither give nor take."""
     q = project(spark, sf_dir, "events", ("user_id % 64 AS match_id", "event_id AS rank", "event_id % 11 AS grp", "event_id % 4 = 0 AS crowded", "CASE WHEN event_id % 5 = 0 THEN 'me' END AS decision"))
-    first = F.min(F.when((F.col("decision") == "me") & ~F.col("crowded"), F.col("rank"))).over(Window.partitionBy("match_id", "grp"))
-    return q.withColumn("giver", first).select("match_id", "rank", F.coalesce("decision", F.when((F.col("giver") < F.col("rank")) & ~F.col("crowded"), "me")).alias("decision"))
+    return R.propagate(q).select("match_id", "rank", "decision")
+
+
+_STATUS = ("doc_id", "CASE doc_id % 6 WHEN 0 THEN 'Stage 4: shot ' || doc_id || ' / ' || n_chars WHEN 1 THEN 'Stage 2 filter' WHEN 2 THEN n_chars || ' live shots, deadtime' WHEN 3 THEN 'chunk ' || doc_id || '/900' WHEN 4 THEN 'Done' ELSE substr(coalesce(text, ''), 1, 200) END AS status")
 
 
 @query(
-    """SELECT doc_id, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS stage, coalesce(TRY_CAST(nullif(regexp_extract(text, '([0-9]{1,3})', 1), '') AS INT), -1) AS percent FROM documents"""
+    f"""WITH s AS {duck('documents', _STATUS)}, l AS (SELECT *, lower(coalesce(status, '')) AS t FROM s)
+SELECT doc_id, CASE WHEN regexp_matches(t, 'stage 1|stage 2') THEN 'shot_filter' WHEN regexp_matches(t, 'stage 3|deadtime') THEN 'deadtime' WHEN regexp_matches(t, 'stage [4-7]|(shot|chunk)\\s+\\d+/\\d+') THEN 'inference' WHEN regexp_matches(t, 'stage 8|possession') THEN 'possession'
+  WHEN regexp_matches(t, 'stage 9|timestamp') THEN 'timestamps' WHEN contains(t, 'done') THEN 'done' ELSE 'running' END AS stage,
+  CASE WHEN regexp_matches(t, 'shot\\s*\\d+\\s*/\\s*\\d+') THEN TRY_CAST(regexp_extract(t, 'shot\\s*(\\d+)\\s*/\\s*(\\d+)', 1) AS INT) WHEN regexp_matches(t, '\\d+\\s*/\\s*\\d+') THEN TRY_CAST(regexp_extract(t, '(\\d+)\\s*/\\s*(\\d+)', 1) AS INT) WHEN regexp_matches(t, '\\d+\\s+live\\s+shot') THEN 0 END AS done,
+  CASE WHEN regexp_matches(t, 'shot\\s*\\d+\\s*/\\s*\\d+') THEN TRY_CAST(regexp_extract(t, 'shot\\s*(\\d+)\\s*/\\s*(\\d+)', 2) AS INT) WHEN regexp_matches(t, '\\d+\\s*/\\s*\\d+') THEN TRY_CAST(regexp_extract(t, '(\\d+)\\s*/\\s*(\\d+)', 2) AS INT) WHEN regexp_matches(t, '\\d+\\s+live\\s+shot') THEN TRY_CAST(regexp_extract(t, '(\\d+)\\s+live\\s+shot', 1) AS INT) END AS total FROM l"""
 )
 def q_progress_parse(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    number = F.regexp_extract("text", "([0-9]{1,3})", 1)
-    return d.select("doc_id", F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("stage"), F.coalesce(F.when(number != "", number.cast("int")), F.lit(-1)).alias("percent"))
+    s = project(spark, sf_dir, "documents", _STATUS)
+    p = V.parse_progress(F.col("status"))
+    return s.select("doc_id", V.parse_stage(F.col("status")).alias("stage"), p["done"].alias("done"), p["total"].alias("total"))
 
 
 @query(
@@ -150,21 +157,19 @@ def q_progress_parse(spark, sf_dir):
 d AS (SELECT user_id, coalesce(a, []) AS a, list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)) AS left_ FROM k) SELECT user_id, array_to_string(CASE WHEN len(left_) = 0 THEN a ELSE left_ END, ',') AS swatches FROM d"""
 )
 def q_swatch_difference(spark, sf_dir):
-    """Colours claimed by both sides go, unless nothing would be left."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = e.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type")))).alias("a"), F.collect_set(F.when((F.col("event_id") % 2 == 1) & (F.col("event_id") % 3 == 0), F.col("event_type"))).alias("b"))
-    left = F.array_except("a", "b")
-    return k.select("user_id", F.array_join(F.when(F.size(left) == 0, F.col("a")).otherwise(left), ",").alias("swatches"))
+    k = e.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type")))).alias("mine"), F.collect_set(F.when((F.col("event_id") % 2 == 1) & (F.col("event_id") % 3 == 0), F.col("event_type"))).alias("other"))
+    return K.kit_swatches(k).select("user_id", F.array_join("swatches", ",").alias("swatches"))
 
 
 @query("SELECT p_partkey, '#' || lower(lpad(to_hex(p_partkey * 37 % 256), 2, '0') || lpad(to_hex(p_size * 5 % 256), 2, '0') || lpad(to_hex(p_partkey * 13 % 256), 2, '0')) AS hex FROM part")
 def q_color_hex(spark, sf_dir):
-    two = lambda c: F.lpad(F.hex(c), 2, "0")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("#"), F.lower(F.concat(two(F.col("p_partkey") * 37 % 256), two((F.col("p_size") * 5 % 256).cast("long")), two(F.col("p_partkey") * 13 % 256)))).alias("hex"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", X.rgb_to_hex(F.col("p_partkey") * 37 % 256, F.col("p_size") * 5 % 256, F.col("p_partkey") * 13 % 256).alias("hex"))
 
 
-@query("SELECT l_orderkey, l_linenumber, floor(l_quantity * 13) % 100 > 50 AND l_returnflag = 'A' OR NOT coalesce(l_discount < 0.02, false) AS kept FROM lineitem")
-def q_team_gate(spark, sf_dir):
-    """Null-safe gate: rows that are not known to fail stay."""
-    fails = F.coalesce(F.col("l_discount") < 0.02, F.lit(False))
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (((F.floor(F.col("l_quantity") * 13) % 100 > 50) & (F.col("l_returnflag") == "A")) | ~fails).alias("kept"))
+@query(
+    f"""WITH {_ST}, g AS (SELECT match_id, cut, coalesce(avg(motion), 0) AS motion, (max(t_ms) - min(t_ms)) / 1000.0::DOUBLE AS dur FROM cut GROUP BY ALL) SELECT match_id, cut, dur, dur >= 20 AND motion < 1.2::DOUBLE AS dead FROM g"""
+)
+def q_deadtime(spark, sf_dir):
+    return L.dead_time(L.cut_shots(project(spark, sf_dir, "events", STATS)), least_sec=20.0).select("match_id", "cut", "dur", "dead")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from touchline.plans import analysis, clips, state, trajectory
+from touchline.plans import analysis, clips, kits, players, service, state, trajectory
 
-QUERIES: dict = trajectory.QUERIES | analysis.QUERIES | state.QUERIES | clips.QUERIES
-ORACLES: dict = trajectory.ORACLES | analysis.ORACLES | state.ORACLES | clips.ORACLES
+_PARTS = (trajectory, analysis, state, clips, kits, players, service)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

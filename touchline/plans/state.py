@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import folds, identity, pitch
+from touchline.functions import columns as X
+from touchline.operators import folds, identity, pitch, smoothing, tracks
 from touchline.sources.projections import BOXES, SAMPLES, project
 from touchline.streaming import live
 
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
 @query()
 def q_smoother_fold(spark, sf_dir):
-    return folds.smooth_ball(project(spark, sf_dir, "events", SAMPLES))
+    return smoothing.smooth_ball(project(spark, sf_dir, "events", SAMPLES))
 
 
 def _vectors(spark, sf_dir):
@@ -46,9 +47,15 @@ def q_nms(spark, sf_dir):
     return folds.suppress_overlaps(project(spark, sf_dir, "lineitem", BOXES))
 
 
+_DET = (
+    "user_id % 64 AS match_id", "CAST((event_id - event_id % 6400) / 6400 AS BIGINT) AS shot_id", "CAST((event_id - event_id % 64) / 64 AS BIGINT) AS frame_index", "event_id AS det_id", "CAST((event_id - event_id % 64) / 64 AS BIGINT) * 320 AS t_ms",
+    "CAST((event_id * 3 + user_id * 7) % 600 AS DOUBLE) AS x1", "CAST((event_id * 2 + user_id * 5) % 300 AS DOUBLE) AS y1", "CAST((event_id * 3 + user_id * 7) % 600 + 12 AS DOUBLE) AS x2", "CAST((event_id * 2 + user_id * 5) % 300 + 20 + user_id % 30 AS DOUBLE) AS y2",
+)
+
+
 @query()
 def q_player_tracker(spark, sf_dir):
-    return folds.track_players(project(spark, sf_dir, "events", SAMPLES).filter("x is not null").select("match_id", (F.col("frame_index") / 64).cast("long").alias("frame_index"), F.col("frame_index").alias("det_id"), ((F.col("frame_index") / 64).cast("long") * 320).alias("t_ms"), "x", "y"))
+    return tracks.track_players(project(spark, sf_dir, "events", _DET))
 
 
 @query()
@@ -73,7 +80,7 @@ def _clicks(spark, sf_dir):
 
 @query()
 def q_homography(spark, sf_dir):
-    return pitch.fit_homographies(pitch.place(_clicks(spark, sf_dir))).select("match_id", "frame_index", (F.col("residual") < 1e-3).alias("exact"))
+    return pitch.fit_homographies(pitch.place(_clicks(spark, sf_dir), 105.0, 68.0)).select("match_id", "frame_index", F.transform("h", lambda v: F.floor(v / F.get("h", 8) * 1e6 + 0.5) / 1e6).alias("h"), X.rounded(F.col("residual")).alias("residual"))
 
 
 @query(

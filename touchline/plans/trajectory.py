@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from touchline.config import DEFAULT
 from touchline.functions.columns import rounded
 from touchline.operators import contacts as C
 from touchline.operators import intervals as I
@@ -63,8 +66,10 @@ zo AS (SELECT *, CASE WHEN t_ms - 2000 - (lag(t_ms) OVER (PARTITION BY match_id
 zg AS (SELECT *, sum(zopen) OVER (PARTITION BY match_id ORDER BY t_ms, frame_index) AS hotspot_id FROM zo),
 z0 AS (SELECT match_id, hotspot_id, min(t_ms) - 2000 AS a, max(t_ms) + 2000 AS b, count(*) AS n_contacts, max(t_ms) AS last_ms FROM zg GROUP BY ALL),
 zones AS (SELECT match_id, hotspot_id, greatest(0.0, a - greatest(0.0, (3000 - (b - a)) / 2.0)) / 1000.0::DOUBLE AS start_sec, (b + greatest(0.0, (3000 - (b - a)) / 2.0)) / 1000.0::DOUBLE AS end_sec, n_contacts, last_ms FROM z0)"""
-_N = """nn AS (SELECT match_id, greatest(0.0, least(start_sec, end_sec)) AS a, greatest(start_sec, end_sec) AS b FROM r),
-n1 AS (SELECT *, max(b) OVER (PARTITION BY match_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM nn WHERE b > a),
+_R3 = lambda c: f"floor(({c}) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE"
+_N = f"""n0 AS (SELECT match_id, greatest(0.0, least(start_sec, end_sec)) AS a, greatest(start_sec, end_sec) AS b FROM r),
+nn AS (SELECT match_id, {_R3('a')} AS a, {_R3('b')} AS b FROM n0 WHERE b > a),
+n1 AS (SELECT *, max(b) OVER (PARTITION BY match_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM nn),
 n2 AS (SELECT *, sum(CASE WHEN a <= reach + 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM n1),
 n AS (SELECT match_id, min(a) AS start_sec, max(b) AS end_sec FROM n2 GROUP BY match_id, g)"""
 _RN = f"{_R}, {_N}"
@@ -73,7 +78,7 @@ _R4 = lambda c: f"floor({c} * 10000 + 0.5) / 10000 AS {c}"
 
 @query(f"WITH {_ZONES} SELECT match_id, hotspot_id, start_sec, end_sec, n_contacts FROM zones")
 def q_contacts_hotspots(spark, sf_dir):
-    return C.hotspots(C.merge_contacts(C.candidates(samples(spark, sf_dir)))).drop("last_ms")
+    return C.hotspots(C.merge_contacts(C.candidates(samples(spark, sf_dir)))).drop("last_ms", "contact_ms")
 
 
 @query(f"WITH {_S} SELECT match_id, count(*) AS n, count(*) FILTER (WHERE detected) AS n_detected, count(*) FILTER (WHERE interpolated) AS n_interpolated, count(*) FILTER (WHERE x IS NULL) AS n_missing, floor(avg(detected::INT::DOUBLE) * 10000 + 0.5) / 10000 AS detected_ratio FROM s GROUP BY match_id")
@@ -115,6 +120,26 @@ def q_fair_cap(spark, sf_dir):
     return C.fair_cap(C.merge_contacts(C.candidates(samples(spark, sf_dir))), 5).select("match_id", "contact_id", "frame_index", "pick")
 
 
+_CAPPED = f"""{_MERGED}, du AS (SELECT match_id, (max(t_ms) - min(t_ms)) / 1000.0::DOUBLE AS duration_sec FROM s GROUP BY match_id), bu AS (SELECT match_id, least(7, greatest(3, floor(4 * duration_sec / 60)))::INT AS budget FROM du),
+b AS (SELECT *, floor(t_ms / 30000) AS bucket FROM merged), k AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY strength DESC, t_ms, frame_index) AS round FROM b),
+c AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round, bucket) AS pick FROM k)"""
+
+
+@query(f"WITH {_CAPPED} SELECT match_id, contact_id, frame_index, pick FROM c JOIN bu USING (match_id) WHERE pick <= budget")
+def q_candidate_budget(spark, sf_dir):
+    """The budget of a match by its length, with limits small enough to bite on these tables."""
+    s = samples(spark, sf_dir)
+    length = s.groupBy("match_id").agg(((F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("duration_sec"))
+    cfg = replace(DEFAULT, max_candidates=7, max_candidates_per_min=4)
+    return C.cap_candidates(C.merge_contacts(C.candidates(s)), length, cfg, least=3).select("match_id", "contact_id", "frame_index", "pick")
+
+
+@query(f"WITH {_ZONES} SELECT match_id, hotspot_id, start_sec AS start, end_sec AS end_, len(ms) AS n_ticks, ms[1] / 1000.0::DOUBLE AS first_tick FROM zones JOIN (SELECT match_id, hotspot_id, list(t_ms ORDER BY t_ms) AS ms FROM zg GROUP BY ALL) USING (match_id, hotspot_id)")
+def q_segments(spark, sf_dir):
+    out = C.segments(C.hotspots(C.merge_contacts(C.candidates(samples(spark, sf_dir)))))
+    return out.select("match_id", "hotspot_id", "start", F.col("end").alias("end_"), F.size("ticks").cast("long").alias("n_ticks"), F.get("ticks", 0).alias("first_tick"))
+
+
 @query(
     f"""WITH {_ZONES}, near AS (SELECT z.*, s.t_ms AS s_ms, s.frame_index, s.x, s.y FROM zones z JOIN s ON s.match_id = z.match_id AND s.x IS NOT NULL AND s.t_ms BETWEEN z.last_ms AND z.last_ms + 6000),
 o AS (SELECT *, first_value(x) OVER w AS ox, first_value(y) OVER w AS oy FROM near WINDOW w AS (PARTITION BY match_id, hotspot_id ORDER BY s_ms, frame_index)),
@@ -123,7 +148,7 @@ SELECT match_id, hotspot_id, start_sec, greatest(end_sec, coalesce((gone + 2000)
 )
 def q_possession_extend(spark, sf_dir):
     s = samples(spark, sf_dir)
-    return C.possession_end(C.hotspots(C.merge_contacts(C.candidates(s))), s)
+    return C.hotspots(C.merge_contacts(C.candidates(s)), samples=s).drop("last_ms", "contact_ms")
 
 
 @query(
@@ -182,10 +207,14 @@ def q_bench_anti(spark, sf_dir):
     return I.outside(points(spark, sf_dir), I.normalize(ranges(spark, sf_dir)))
 
 
-@query(f"WITH {_RN}, m AS (SELECT match_id, start_sec + 20 AS a, end_sec + 60 AS b FROM n) SELECT r.match_id, range_id, greatest(r.start_sec, m.a) AS start_sec, least(r.end_sec, m.b) AS end_sec FROM r JOIN m USING (match_id) WHERE least(r.end_sec, m.b) > greatest(r.start_sec, m.a)")
+@query(
+    f"""WITH {_RN}, m AS (SELECT match_id, start_sec + 20.1237 AS a, end_sec + 60 AS b FROM n WHERE match_id % 5 <> 0) SELECT r.match_id, range_id, {_R3('greatest(r.start_sec, m.a)')} AS start_sec, {_R3('least(r.end_sec, m.b)')} AS end_sec FROM r JOIN m USING (match_id)
+WHERE least(r.end_sec, m.b) > greatest(r.start_sec, m.a) UNION ALL SELECT match_id, range_id, start_sec, end_sec FROM r WHERE match_id NOT IN (SELECT match_id FROM m)"""
+)
 def q_range_intersect(spark, sf_dir):
+    """Shots cut to the playing time; every fifth match has none and keeps its shots whole."""
     r = ranges(spark, sf_dir)
-    return I.intersect(r, I.normalize(r).select("match_id", (F.col("start_sec") + 20).alias("start_sec"), (F.col("end_sec") + 60).alias("end_sec")))
+    return I.intersect(r, I.normalize(r).filter("match_id % 5 <> 0").select("match_id", (F.col("start_sec") + 20.1237).alias("start_sec"), (F.col("end_sec") + 60).alias("end_sec")))
 
 
 @query(
@@ -198,15 +227,18 @@ def q_range_clamp(spark, sf_dir):
 
 @query(
     f"""WITH {_RN}, c AS (SELECT *, sum(end_sec - start_sec) OVER (PARTITION BY match_id ORDER BY start_sec, end_sec) AS upto, sum(end_sec - start_sec) OVER (PARTITION BY match_id) AS total FROM n)
-SELECT match_id, floor(coalesce(min(CASE WHEN 0.6::DOUBLE * total <= upto THEN start_sec + 0.6::DOUBLE * total - (upto - (end_sec - start_sec)) END), max(end_sec)) * 10000 + 0.5) / 10000 AS t_sec FROM c GROUP BY match_id"""
+SELECT match_id, floor(coalesce(min(CASE WHEN 0.6::DOUBLE * total <= upto THEN start_sec + 0.6::DOUBLE * total - (upto - (end_sec - start_sec)) END), max(end_sec)) * 1000 + 0.5) / 1000 AS t_sec FROM c GROUP BY match_id"""
 )
 def q_time_at_fraction(spark, sf_dir):
-    return I.time_at_fraction(I.normalize(ranges(spark, sf_dir)), 0.6).withColumn("t_sec", rounded(F.col("t_sec")))
+    return I.time_at_fraction(I.normalize(ranges(spark, sf_dir)), 0.6)
 
 
-@query(f"WITH {_RN} SELECT match_id, substr(sha1(string_agg(format('{{:.1f}}-{{:.1f}}', start_sec, end_sec), ';' ORDER BY start_sec, end_sec)), 1, 8) AS hash FROM n GROUP BY match_id")
+@query(
+    f"""WITH {_RN}, m AS (SELECT DISTINCT c_custkey AS match_id FROM customer), h AS (SELECT match_id, substr(sha1(string_agg(format('{{:.1f}}-{{:.1f}}', start_sec, end_sec), ';' ORDER BY start_sec, end_sec)), 1, 8) AS hash FROM n GROUP BY match_id)
+SELECT match_id, coalesce(hash, 'all') AS hash FROM m LEFT JOIN h USING (match_id)"""
+)
 def q_range_hash(spark, sf_dir):
-    return I.ranges_hash(I.normalize(ranges(spark, sf_dir)))
+    return I.ranges_hash(I.normalize(ranges(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("match_id")))
 
 
 @query(
@@ -217,6 +249,32 @@ def q_widest_gap(spark, sf_dir):
     return I.widest_gap(I.normalize(ranges(spark, sf_dir)))
 
 
-@query(f"WITH {_R}, {_P} SELECT p.match_id, point_id, first(range_id ORDER BY start_sec, range_id) AS shot FROM p JOIN r ON p.match_id = r.match_id AND t_sec BETWEEN start_sec AND end_sec GROUP BY p.match_id, point_id")
+_HALVES = f"""{_RN}, h AS (SELECT match_id, start_sec, start_sec + floor((end_sec - start_sec) / 2) AS mid, end_sec FROM n),
+shots AS (SELECT match_id, start_sec, mid AS end_sec, start_sec * 2 AS range_id FROM h WHERE mid > start_sec UNION ALL SELECT match_id, mid, end_sec, start_sec * 2 + 1 FROM h)"""
+
+
+@query(f"WITH {_HALVES}, {_P} SELECT p.match_id, point_id, first(range_id ORDER BY start_sec, end_sec) AS shot FROM p JOIN shots s ON p.match_id = s.match_id AND t_sec BETWEEN start_sec AND end_sec GROUP BY p.match_id, point_id")
 def q_live_shot_join(spark, sf_dir):
-    return I.shot_of(points(spark, sf_dir), ranges(spark, sf_dir))
+    """Points in shots that touch: every range cut in two."""
+    n = I.normalize(ranges(spark, sf_dir)).withColumn("mid", F.col("start_sec") + F.floor((F.col("end_sec") - F.col("start_sec")) / 2))
+    first = n.filter("mid > start_sec").select("match_id", "start_sec", F.col("mid").alias("end_sec"), (F.col("start_sec") * 2).alias("range_id"))
+    return I.shot_of(points(spark, sf_dir), first.unionByName(n.select("match_id", F.col("mid").alias("start_sec"), "end_sec", (F.col("start_sec") * 2 + 1).alias("range_id"))))
+
+
+@query(f"WITH {_RN} SELECT match_id, count(*) = 1 AND min(start_sec) <= 1 AND max(end_sec) >= 399 AS whole FROM n GROUP BY match_id")
+def q_whole_match(spark, sf_dir):
+    return I.whole_match(I.normalize(ranges(spark, sf_dir)), 400.0)
+
+
+@query(
+    f"""WITH {_RN}, k AS (SELECT match_id, start_sec, end_sec FROM n WHERE start_sec < 2700), b AS (SELECT match_id, coalesce(lag(end_sec) OVER (PARTITION BY match_id ORDER BY start_sec, end_sec), 0.0) AS a, start_sec AS b FROM k UNION ALL SELECT match_id, max(end_sec), 3000.0 FROM k GROUP BY match_id),
+g AS (SELECT match_id, arg_max({{'a': a, 'b': b}}, {{'l': b - a, 'm': -a}}) AS g FROM b WHERE b - a > 20 GROUP BY match_id),
+w AS (SELECT match_id, (g.a + g.b) / 2 AS mid, least((g.b - g.a) * 0.6::DOUBLE, greatest(60.0, (g.b - g.a) * 0.4::DOUBLE)) AS span FROM g),
+f AS (SELECT k.*, row_number() OVER (PARTITION BY match_id ORDER BY end_sec - start_sec DESC, start_sec) AS rk, (end_sec - start_sec - greatest(20.0, least((end_sec - start_sec) * 0.2::DOUBLE, 300.0))) / 2 AS half FROM k WHERE match_id NOT IN (SELECT match_id FROM g)),
+u AS (SELECT match_id, start_sec, end_sec FROM k WHERE match_id IN (SELECT match_id FROM g) UNION ALL SELECT match_id, mid - span / 2, mid + span / 2 FROM w
+UNION ALL SELECT match_id, start_sec, CASE WHEN rk = 1 AND end_sec - start_sec >= 40 THEN start_sec + half ELSE end_sec END FROM f UNION ALL SELECT match_id, end_sec - half, end_sec FROM f WHERE rk = 1 AND end_sec - start_sec >= 40)
+SELECT match_id, floor(start_sec * 10000 + 0.5) / 10000 AS start_sec, floor(end_sec * 10000 + 0.5) / 10000 AS end_sec FROM u"""
+)
+def q_add_period(spark, sf_dir):
+    out = I.add_period(I.normalize(ranges(spark, sf_dir)).filter("start_sec < 2700"), 3000.0)
+    return out.select("match_id", rounded(F.col("start_sec")).alias("start_sec"), rounded(F.col("end_sec")).alias("end_sec"))

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="touchline-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that the driver and all executors share; a local session may do without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _own_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def local_session(cores: int = 8, app: str = "touchline") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -12,6 +31,7 @@ def local_session(cores: int = 8, app: str = "touchline") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", _own_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
