@@ -39,6 +39,16 @@ def test_without_labels_no_text_is_toxic(spark):
     assert all(r.score < 0.02 for r in toxicity.score_documents(docs, toxicity.train(docs, none)).collect())
 
 
+def test_sentences_are_located(spark):
+    model = ({zlib.crc32(b"wbad"): 9.0, zlib.crc32(b"wworse"): 12.0}, -6.0)
+    texts = ["Fine words. A bad one here. More! So worse.", "All fine. Really.", None, "", "bad. bad."]
+    rows = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()
+    assert [(r.toxic_sentences, r.worst_sentence) for r in rows] == [([1, 3], 3), ([], 0), ([], None), ([], None), ([0, 1], 0)]
+    assert rows[2].score == rows[3].score == 0.0 and rows[0].score > 0.99
+    located = {(r.doc_id, r.sentence) for r in toxicity.offending_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert located == {(r.doc_id, k) for r in rows for k in r.toxic_sentences}
+
+
 def test_bpe_digests(spark, tmp_path):
     import base64
 

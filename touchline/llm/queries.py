@@ -48,7 +48,8 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     from touchline.llm.training import held_out
 
-    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    own = [c for c in scores.columns if c not in ("doc_id", "score")]
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *own)
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ in one pass without a shuffle, by a model of fixed size.
 
 Defined results: a null or empty text has no sentences and the score 0; a null
 doc_id stays null; repeated rows give repeated results; an empty table gives an
-empty result; without any labels every score is the prior; other columns are
-ignored.
+empty result; without labels of both kinds no word counts and every sentence has
+the fixed odds of ``BIAS``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ ROUNDS = 120
 THRESHOLD = 0.5
 MIN_EVIDENCE = 20.0
 DECAY = 1e-6
+BIAS = -6.0  # log odds of a sentence before anything is learned
 MEMO_WORDS = 400_000
 _STRIP = ".,;:!?\"'()[]*#$%&|<>…«»¡¿"
 
@@ -53,10 +54,13 @@ def sentences_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np
     offsets = words.offsets.to_numpy().astype(np.int64)
     coded = words.flatten().dictionary_encode()
     names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if "" in names:  # what splitting leaves of white space at the ends and of texts without words
+        word = codes != names.index("")
+        codes, offsets = codes[word], np.concatenate([[0], np.cumsum(word)])[offsets]
     stop = np.fromiter((w[-1:] in (".", "!", "?", "…") for w in names), bool, len(names))
     first = np.zeros(len(codes) + 1, bool)
     first[1:] = stop[codes] if len(codes) else False
-    first[offsets[:-1]] = True
+    first[offsets[:-1]] = True  # a text without words marks the next one's first word, which is marked anyway
     first = first[: len(codes)]
     sentence = np.cumsum(first) - 1
     document = np.repeat(np.arange(len(texts)), np.diff(offsets))[first]
@@ -75,7 +79,7 @@ def evidence(in_1: np.ndarray, held: np.ndarray, n_1: float, n: int) -> np.ndarr
 
 def fit(sample: list[tuple[str, int]], rounds: int = ROUNDS) -> tuple[dict[int, float], float]:
     """Feature weights and the sentence bias, by full-batch Adam on the noisy-or likelihood."""
-    bias = -6.0
+    bias = BIAS
     y = np.array([v for _, v in sample], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return {}, bias
@@ -145,16 +149,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     return fit(training_sample(docs, labels, label, max_rows, max_chars))
 
 
-def score_documents(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
-    """``doc_id, score`` of every row."""
+def score_documents(docs: DataFrame, model: tuple[dict[int, float], float], threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, score, toxic_sentences, worst_sentence`` of every row: the numbers of the sentences that reach the threshold, and of the likeliest one (null without sentences)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "score", "toxic_sentences", "worst_sentence"]
 
     def step(batches):
         scorer = Scorer(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.documents(batch.column(1)), pa.float64())], ["doc_id", "score"])
-
-    return map_batches(docs.select("doc_id", "text"), step, "doc_id long, score double")
+            s, document, _ = scorer.sentences(batch.column(1))
+            n = batch.num_rows
+            score = -np.expm1(-np.bincount(document, np.logaddexp(0, s), n))
+            first = np.searchsorted(document, np.arange(n))
+            hit = np.flatnonzero(s >= np.log(threshold / (1 - threshold)))
+            bounds = np.searchsorted(document[hit], np.arange(n + 1)).astype(np.int32)
+            order = np.lexsort((-np.arange(len(s)), s, document))  # the last of each document is its likeliest sentence, the first of equals
+            last = np.searchsorted(document, np.arange(n), side="right") - 1
+            some = last >= first
+            worst = np.where(some, order[np.maximum(last, 0)] - first if len(order) else 0, 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(hit - first[document[hit]], pa.int64())), pa.array(worst, pa.int64(), mask=~some)], names
+            )
+
+    return map_batches(docs.select("doc_id", "text"), step, "doc_id long, score double, toxic_sentences array<long>, worst_sentence long")
 
 
 def keep_clean(docs: DataFrame, model: tuple[dict[int, float], float], threshold: float = THRESHOLD) -> DataFrame:
