@@ -87,7 +87,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op4_main_text, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op9_nearest, op10_bpe)}
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.turn_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from touchline.llm.pair_index import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_rules, op3_quality_rules, op4_main_text, op5_neardup, op6_quality_model, op7_toxicity, op8_substrings, op9_nearest, op10_bpe, op11_turn_trie, op12_pair_index, op13_whiten)}
 
 _URL_PARTS = r"""
 parts AS (
@@ -127,6 +147,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (word_chars / n_words < 2.0 OR word_chars / n_words > 14.0 OR n_symbols / n_words > 0.4 OR n_stop_words / n_words < 0.005
     OR coalesce(n_dup_lines / n_lines > 0.5, false) OR n_exclaimed / n_words > 0.5) AS kept
 FROM judged
+""",
+    "op11_turn_trie": """
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+  xor(list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END), 4294967295::BIGINT) % 9 AS h
+  FROM turns GROUP BY conv_id),
+whole AS (
+  SELECT c.conv_id, t.pos AS depth, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id) b ON b.conv_id = c.base),
+steps AS (SELECT conv_id, depth, strlen(text) AS bytes, string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM whole),
+paths AS (SELECT conv_id, depth, bytes, path FROM steps UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM paths),
+nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end), '') AS ends FROM ended GROUP BY depth, path),
+kids AS (SELECT depth - 1 AS depth, left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+tree AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (depth, path)),
+ups AS (SELECT t.*, unnest(range(0, t.depth + 1)) AS up FROM tree t),
+folded AS (SELECT up AS depth, left(path, up * 64) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM ups GROUP BY ALL)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, f.n_leaves, f.saved_tokens, sha256(t.ends) AS ends_sha256
+FROM tree t JOIN folded f USING (depth, path) LEFT JOIN nodes p ON p.depth = t.depth - 1 AND p.path = left(t.path, length(t.path) - 64)
 """,
 }
 
