@@ -5,9 +5,14 @@ boundaries before they are encoded: a white-space character that follows a
 character that is not white space always starts a new match of the pattern (a
 match is white space only, or one optional space before one class of
 characters), so encoding the parts one by one gives the ids of the whole.
+A run of ``RUN_CHARS`` white-space characters or more overflows the stack of the
+library's regular expressions, so it is taken out of them where the pattern ends
+in the usual way (``WHITE``): the run, without its last character if something
+follows, is one match, and its bytes are encoded as such by the same ranks.
 Decoding works on raw bytes, so ids that split a code point still round-trip.
 
-Defined results: a null text is encoded as the empty text (no ids); a null
+Defined results: a null text is encoded as the empty text (no ids); runs of any
+length of any character have the ids that the ranks give to the matches; a null
 ``doc_id`` stays null; repeated rows give repeated results; an empty table gives
 an empty result; other columns of the input are ignored.
 """
@@ -28,7 +33,11 @@ from touchline.llm.arrow import columns, map_batches
 PART_CHARS = 1 << 16  # texts beyond this are encoded in parts of about this size
 
 _SCHEMA = "doc_id long, ids array<int>, n_tokens long, decoded binary"
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+WHITE = r"|\s+(?!\S)|\s+"
+RUN_CHARS = 50_000  # of white space in a row
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what the library's patterns call white space
+_CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_RUN = re.compile(f"[{_SPACE}]{{{RUN_CHARS},}}")
 
 
 @lru_cache(maxsize=4)
@@ -54,9 +63,17 @@ def safe_parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 
 
 def encode(encoding, text: str) -> list[int]:
-    if len(text) <= PART_CHARS:
+    if len(text) <= PART_CHARS and len(text) < RUN_CHARS:
         return encoding.encode_ordinary(text)
-    return [i for part in safe_parts(text) for i in encoding.encode_ordinary(part)]
+    ids, start = [], 0
+    for run in _RUN.finditer(text) if encoding._pat_str.endswith(WHITE) else ():
+        for part in safe_parts(text[start : run.start()]):
+            ids += encoding.encode_ordinary(part)
+        start = run.end() - (run.end() < len(text))
+        ids += encoding._encode_single_piece(text[run.start() : start])
+    for part in safe_parts(text[start:]):
+        ids += encoding.encode_ordinary(part)
+    return ids
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
