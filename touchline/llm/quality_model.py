@@ -113,6 +113,15 @@ def raw_scores(model: Model, row: np.ndarray, feature: np.ndarray, value: np.nda
     return model.w0 + np.add.reduceat(model.w[feature] * value, starts) + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
 
+def slopes(model: Model, row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the mean log loss by w0, and by w and v of the features that occur (these come second)."""
+    z, sums = raw_scores(model, row, feature, value, len(y))
+    g = (1 / (1 + np.exp(-z)) - y) / len(y)
+    used, place = np.unique(feature, return_inverse=True)
+    each = (g[row] * value)[:, None] * (sums[row] - model.v[feature] * value[:, None])
+    return float(g.sum()), used, np.bincount(place, g[row] * value, len(used)), np.stack([np.bincount(place, each[:, j], len(used)) for j in range(model.v.shape[1])], axis=1)
+
+
 def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     rng = np.random.default_rng(7)
     model = Model(np.zeros((N_STATISTICS, BINS - 1)), 0.0, np.zeros(N_FEATURES), rng.normal(0, 0.01, (N_FEATURES, RANK)))
@@ -131,16 +140,13 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
             own = order[k : k + BATCH]
             at = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in own])
             r, f, x = np.repeat(np.arange(len(own)), starts[own + 1] - starts[own]), feature[at], value[at]
-            z, sums = raw_scores(model, r, f, x, len(own))
-            g = (1 / (1 + np.exp(-z)) - y[own]) / len(own)
-            used, place = np.unique(f, return_inverse=True)
-            dw = np.bincount(place, g[r] * x, len(used)) + DECAY * model.w[used]
-            each = (g[r] * x)[:, None] * (sums[r] - model.v[f] * x[:, None])
-            dv = np.stack([np.bincount(place, each[:, j], len(used)) for j in range(RANK)], axis=1) + DECAY * model.v[used]
-            g0 += g.sum() ** 2
+            g, used, dw, dv = slopes(model, r, f, x, y[own])
+            dw += DECAY * model.w[used]
+            dv += DECAY * model.v[used]
+            g0 += g**2
             gw[used] += dw**2
             gv[used] += dv**2
-            model.w0 -= RATE * g.sum() / np.sqrt(g0)
+            model.w0 -= RATE * g / np.sqrt(g0)
             model.w[used] -= RATE * dw / np.sqrt(gw[used])
             model.v[used] -= RATE * dv / np.sqrt(gv[used])
     return model
