@@ -40,7 +40,7 @@ def test_without_labels_no_text_is_toxic(spark):
 
 
 def test_sentences_are_located(spark):
-    model = ({zlib.crc32(b"wbad"): 9.0, zlib.crc32(b"wworse"): 12.0}, -6.0)
+    model = toxicity.Model({zlib.crc32(b"wbad"): 9.0, zlib.crc32(b"wworse"): 12.0}, -6.0, -6.0)
     texts = ["Fine words. A bad one here. More! So worse.", "All fine. Really.", None, "", "bad. bad."]
     rows = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()
     assert [(r.toxic_sentences, r.worst_sentence) for r in rows] == [([1, 3], 3), ([], 0), ([], None), ([], None), ([0, 1], 0)]
