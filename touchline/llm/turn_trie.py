@@ -37,6 +37,7 @@ from touchline.llm.staging import Stage
 
 MOST_TURNS = 64  # of a conversation in one round
 PIECE = 4096
+BROADCAST_CLASSES = 200_000  # of a round, about 80 bytes each
 FAMILY, LONGEST = 5, 9  # conversations of a family share up to LONGEST - 1 first turns of its first member
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -74,16 +75,19 @@ def rebuilt(turns: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     return stage.write(whole), convs.select("conv_id", "len")
 
 
-def split(active: DataFrame, turns: DataFrame, depth: int, k: int) -> DataFrame:
+def split(active: DataFrame, turns: DataFrame, depth: int, k: int, stage: Stage) -> DataFrame:
     """``conv_id, depth, label, n, n_bytes`` after splitting the classes (conv_id, label) by turns depth+1 to depth+k; classes of one are left out."""
     near = turns.filter((F.col("depth") > depth) & (F.col("depth") <= depth + k))
     ahead = active.join(near, "conv_id").groupBy("conv_id", "label").agg(F.array_sort(F.collect_list(F.struct("depth", "digest", "n_bytes"))).alias("next"))
     # the name of a path: a digest of the digests of its turns since the last round
     path = F.transform("next", lambda t, i: F.struct(t["depth"].alias("depth"), t["n_bytes"].alias("n_bytes"), F.unhex(F.sha2(F.to_binary(F.array_join(F.transform(F.slice("next", 1, i + 1), lambda s: F.hex(s["digest"])), ""), F.lit("hex")), 256)).alias("path")))
-    steps = ahead.select("conv_id", "label", F.inline(path))
+    steps = stage.write(ahead.select("conv_id", "label", F.inline(path)))
     keys = ["label", "depth", "path"]
-    classes = steps.groupBy(*keys).agg(F.min("conv_id").alias("own"), F.count("*").alias("n")).filter("n > 1")
-    return steps.join(classes, keys).select("conv_id", "depth", F.col("own").alias("label"), "n", "n_bytes")
+    classes = stage.write(steps.groupBy(*keys).agg(F.min("conv_id").alias("own"), F.count("*").alias("n")).filter("n > 1"))
+    named = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes.hint("merge")  # beyond that Spark splits the partitions of large classes
+    out = stage.write(steps.join(named, keys).select("conv_id", "depth", F.col("own").alias("label"), "n", "n_bytes"))
+    stage.free(steps, classes)
+    return out
 
 
 def refine(turns: DataFrame, convs: DataFrame, stage: Stage) -> DataFrame | None:
@@ -94,7 +98,7 @@ def refine(turns: DataFrame, convs: DataFrame, stage: Stage) -> DataFrame | None
     shared = convs.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(root.label).alias("label"), F.lit(root.n).alias("n"), F.lit(0).cast("long").alias("n_bytes"))
     rounds, depth, k = [stage.write(shared)], 0, 1
     while not (active := rounds[-1].filter(F.col("depth") == depth).select("conv_id", "label")).isEmpty():
-        rounds.append(stage.write(split(active, turns, depth, k)))
+        rounds.append(split(active, turns, depth, k, stage))
         depth, k = depth + k, min(2 * k, MOST_TURNS)
     whole = rounds[0]
     for r in rounds[1:]:
