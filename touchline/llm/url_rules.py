@@ -9,12 +9,13 @@ stack that still contain the url's key are the active ones. Among them the
 longest rule whose path starts the url's path decides.
 
 Skew: urls are dealt by salt, not by host, and every salt sorts all rules with
-its urls (rules times ``salts`` rows); a host with a third of all urls is spread
+its urls (rules times ``salts`` rows, and salts grow with the shuffle partitions
+only, so the bound is rules times partitions); a host with a third of all urls is spread
 evenly and the sweep streams, it holds no group. Everything is built-in
 expressions and one window function.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
-no rule and the default verdict; null rule hosts never match, a null rule path
+no rule and the default verdict; null or empty rule hosts never match, a null rule path
 is empty; repeated urls give repeated results; of rules with the same host and
 path the block rule comes first; empty tables work; other columns of the pages
 are kept as they are (names starting ``__url_`` are reserved).
@@ -47,12 +48,14 @@ def host_key(host: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as literals of the plan."""
+    rows = [F.struct(*(F.lit(v).cast("string").alias(c) for c, v in zip(("host", "path", "verdict"), rule))) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """``key, stack``: one row per host of the rules, with the rules of that host and of all hosts above it, longest first."""
-    own = rules.filter("host is not null").select(
+    own = rules.filter("host <> ''").select(
         host_key(F.translate("host", UPPER, LOWER)).alias("key"),
         F.struct(
             (-F.length(F.concat("host", F.coalesce("path", F.lit(""))))).alias("order"),
@@ -75,8 +78,9 @@ def apply_url_rules(pages: DataFrame, rules: DataFrame, url: str = "url", defaul
     names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     row = F.struct(*[F.col(f"`{c}`") for c in names], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     probes = pages.select(row.alias("__url_row"), F.pmod(F.xxhash64(url, F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("__url_salt"))
-    probes = probes.select("__url_salt", host_key(F.col("__url_row.host")).alias("__url_key"), F.lit(1).alias("__url_kind"), F.lit(None).cast(rule_stacks(rules).schema["stack"].dataType).alias("__url_stack"), "__url_row")
-    opens = rule_stacks(rules).select(
+    stacks = rule_stacks(rules)
+    probes = probes.select("__url_salt", host_key(F.col("__url_row.host")).alias("__url_key"), F.lit(1).alias("__url_kind"), F.lit(None).cast(stacks.schema["stack"].dataType).alias("__url_stack"), "__url_row")
+    opens = stacks.select(
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__url_salt"), F.col("key").alias("__url_key"), F.lit(0).alias("__url_kind"), F.col("stack").alias("__url_stack"), F.lit(None).cast(probes.schema["__url_row"].dataType).alias("__url_row")
     )
     sweep = Window.partitionBy("__url_salt").orderBy("__url_key", "__url_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
