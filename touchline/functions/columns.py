@@ -48,10 +48,6 @@ def centre(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Colu
     return (x1 + x2) / 2, (y1 + y2) / 2
 
 
-def diagonal(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return distance(x1, y1, x2, y2)
-
-
 def torso(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Whole-pixel bounds of the torso of a box: 15 to 55 % of its height, a fifth in from each side; null if nothing is left."""
     h, w = F.greatest(y2 - y1, F.lit(1.0)), F.greatest(x2 - x1, F.lit(1.0))
@@ -61,9 +57,10 @@ def torso(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def roi(x: Column, y: Column, half: float, width: int, height: int) -> Column:
-    """Whole-pixel bounds of a region around a point, clamped to the frame (half-even rounding)."""
-    edge = lambda c, most: F.least(F.lit(most), F.greatest(F.lit(0), F.bround(c).cast("int")))
-    return F.array(edge(x - half, width), edge(y - half, height), edge(x + half, width), edge(y + half, height))
+    """Whole-pixel bounds of a region around a point (half-even rounding), clamped to the frame and never empty."""
+    near = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most - 1), F.bround(c - half).cast("int")))
+    far = lambda c, most: F.greatest(near(c, most) + 1, F.least(F.lit(most), F.bround(c + half).cast("int")))
+    return F.array(near(x, width), near(y, height), far(x, width), far(y, height))
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -96,8 +96,13 @@ def ambiguity(points: DataFrame, ranked: DataFrame, cfg: Config = DEFAULT) -> Da
 
 
 def crowd(points: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """``frame_index, n_near``: eligible players around the ball of each frame, 0 where there is none."""
-    n = eligible(points, boxes, cfg).filter(F.col("d_box") <= cfg.crowd_radius_px).groupBy("frame_index").agg(F.count("*").alias("n"))
+    """``frame_index, n_near``: eligible players around the ball of each frame, 0 where there is none.
+
+    Where ``boxes`` have ``dist_m``, the distance on the pitch decides within the radius: far from the camera it spans half the pitch."""
+    near = eligible(points, boxes, cfg).filter(F.col("d_box") <= cfg.crowd_radius_px)
+    if "dist_m" in near.columns:
+        near = near.filter(metric_gate(F.col("d_box"), F.col("dist_m"), cfg))
+    n = near.groupBy("frame_index").agg(F.count("*").alias("n"))
     return points.select("frame_index").join(n, "frame_index", "left").select("frame_index", F.coalesce("n", F.lit(0)).alias("n_near"))
 
 

@@ -58,33 +58,45 @@ def kinematics(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def candidates(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return kinematics(samples, cfg).filter("size(kinds) > 0")
+    """Nodes that look like contacts; samples with shots also get ``clock_ms``, the time of play (the gaps between shots taken out)."""
+    found = kinematics(samples, cfg).filter("size(kinds) > 0")
+    if "shot_id" not in samples.columns:
+        return found
+    return found.join(shot_shifts(samples), ["match_id", "shot_id"]).withColumn("clock_ms", F.col("t_ms") + F.col("shift_ms")).drop("shift_ms")
+
+
+def clock(found: DataFrame) -> str:
+    """The time that merging and budgets go by: that of play, where it is known."""
+    return "clock_ms" if "clock_ms" in found.columns else "t_ms"
 
 
 def merge_contacts(found: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Candidates at most ``contact_merge_sec`` apart are one contact: the strongest stands for it, with all their kinds."""
-    w = Window.partitionBy("match_id").orderBy("t_ms", "frame_index")
-    opens = F.when(F.col("t_ms") - F.lag("t_ms").over(w) <= int(cfg.contact_merge_sec * 1000), 0).otherwise(1)
+    """Candidates at most ``contact_merge_sec`` of play apart are one contact: the strongest stands for it, with all their kinds."""
+    at = clock(found)
+    w = Window.partitionBy("match_id").orderBy(at, "frame_index")
+    opens = F.when(F.col(at) - F.lag(at).over(w) <= int(cfg.contact_merge_sec * 1000), 0).otherwise(1)
     groups = found.withColumn("opens", opens).withColumn("contact_id", F.sum("opens").over(w))
-    best = F.max_by(F.struct("frame_index", "t_ms", "x", "y", "strength"), F.struct("strength", -F.col("frame_index")))
+    best = F.max_by(F.struct("frame_index", *dict.fromkeys(("t_ms", at)), "x", "y", "strength"), F.struct("strength", -F.col("frame_index")))
     kinds = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "kinds"))), lambda s: s["kinds"])))
     out = groups.groupBy("match_id", "contact_id").agg(best.alias("r"), kinds.alias("kinds"), F.bool_or("from_gap").alias("from_gap"), F.count("*").alias("n_merged"))
     return out.select("match_id", "contact_id", "r.*", "kinds", "from_gap", "n_merged")
 
 
 def fair_cap(found: DataFrame, limit: int | str, cfg: Config = DEFAULT) -> DataFrame:
-    """At most ``limit`` (a number, or a column of the match) contacts of a match, taken round by round: the strongest of every time bucket first."""
-    bucket = F.floor(F.col("t_ms") / int(cfg.candidate_fair_window_sec * 1000))
+    """At most ``limit`` (a number, or a column of the match) contacts of a match, taken round by round: the strongest of every bucket of the time of play first."""
+    bucket = F.floor(F.col(clock(found)) / int(cfg.candidate_fair_window_sec * 1000))
     ranked = found.withColumn("bucket", bucket).withColumn("round", F.row_number().over(Window.partitionBy("match_id", "bucket").orderBy(F.desc("strength"), "t_ms", "frame_index")))
     most = F.col(limit) if isinstance(limit, str) else F.lit(limit)
     return ranked.withColumn("pick", F.row_number().over(Window.partitionBy("match_id").orderBy("round", "bucket"))).filter(F.col("pick") <= most)
 
 
 def cap_candidates(found: DataFrame, durations: DataFrame, cfg: Config = DEFAULT, least: int = 60) -> DataFrame:
-    """Contacts within the budget of their match: so many a minute of its ``duration_sec``, ``least`` at least, and never more than ``max_candidates``."""
-    scaled = F.greatest(F.lit(least), F.floor(cfg.max_candidates_per_min * F.col("duration_sec") / 60.0))
-    budget = durations.select("match_id", F.least(F.lit(cfg.max_candidates), scaled).cast("int").alias("budget"))
-    return fair_cap(found.join(budget, "match_id"), "budget", cfg)
+    """Contacts within the budget of their match: so many a minute of its ``duration_sec``, ``least`` at least, and never more than ``max_candidates``.
+
+    Where the duration is unknown or zero, ``max_candidates`` alone counts."""
+    scaled = F.when(F.col("duration_sec") > 0, F.greatest(F.lit(least), F.floor(cfg.max_candidates_per_min * F.col("duration_sec") / 60.0)))
+    known = found.join(durations.select("match_id", "duration_sec"), "match_id", "left")
+    return fair_cap(known.withColumn("budget", F.least(F.lit(cfg.max_candidates), scaled).cast("int")).drop("duration_sec"), "budget", cfg)
 
 
 def touch_windows(contacts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -127,6 +139,12 @@ def hotspots(contacts: DataFrame, cfg: Config = DEFAULT, samples: DataFrame | No
     return finished(windows if samples is None else run_on(windows, samples, cfg), durations, cfg)
 
 
+def first_hotspots(zones: DataFrame, most: int = 10) -> DataFrame:
+    """Adds ``place``: the first windows of each match, as its summary lists them."""
+    w = Window.partitionBy("match_id").orderBy("start_sec", "hotspot_id")
+    return zones.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
 def segments(zones: DataFrame) -> DataFrame:
     """Windows in the shape of the workspace: the window as core, the contact times (or its middle) as ticks."""
     ticks = F.transform("contact_ms", lambda t: t / 1000.0)
@@ -152,22 +170,40 @@ def reject_alternation(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return marked.select("match_id", "frame_index", hit.alias("rejected"))
 
 
+def without_rejected(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Samples whose alternating detections (``reject_alternation``) have become misses: rows without a position."""
+    marked = samples.join(reject_alternation(samples, cfg).filter("rejected"), ["match_id", "frame_index"], "left")
+    gone = F.coalesce(F.col("rejected"), F.lit(False))
+    return marked.withColumns({"x": F.when(~gone, F.col("x")), "y": F.when(~gone, F.col("y")), "detected": F.col("detected") & ~gone}).drop("rejected")
+
+
 def hold_positions(samples: DataFrame) -> DataFrame:
-    """Positions of interpolated samples on the line between the detections around them in the same shot."""
+    """``hx, hy``: held positions between two detections on the line between them, all others as they are.
+
+    Held samples are interpolated ones with a position; a run of them counts only where a detection stands directly on both sides in
+    the same shot. A hold that ends otherwise has nothing to go by and keeps its place."""
     w = Window.partitionBy("match_id", "shot_id").orderBy("frame_index")
-    known = F.when(F.col("detected"), F.struct("t_ms", "x", "y"))
-    both = samples.withColumns({"before": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    share = (F.col("t_ms") - F.col("before.t_ms")) / (F.col("after.t_ms") - F.col("before.t_ms"))
-    lerp = lambda c: F.when(F.col("detected"), F.col(c)).when(F.col("interpolated") & F.col("before").isNotNull() & F.col("after").isNotNull(), F.col(f"before.{c}") + share * (F.col(f"after.{c}") - F.col(f"before.{c}")))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    held = F.col("interpolated") & ~F.col("detected") & placed
+    edge = F.when(~held, F.struct("t_ms", "x", "y", (F.col("detected") & placed).alias("seen")))
+    both = samples.withColumns({"held": held, "before": F.last(edge, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(edge, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    span = F.col("after.t_ms") - F.col("before.t_ms")
+    share = (F.col("t_ms") - F.col("before.t_ms")) / span
+    moved = F.col("held") & F.coalesce(F.col("before.seen") & F.col("after.seen") & (span > 0), F.lit(False))
+    lerp = lambda c: F.when(moved, F.col(f"before.{c}") + share * (F.col(f"after.{c}") - F.col(f"before.{c}"))).otherwise(F.col(c))
     return both.select("match_id", "frame_index", lerp("x").alias("hx"), lerp("y").alias("hy"))
 
 
-def processed_clock(samples: DataFrame) -> DataFrame:
-    """Time with the gaps between shots taken out: the spans of earlier shots plus the time since this one began."""
+def shot_shifts(samples: DataFrame) -> DataFrame:
+    """``match_id, shot_id, shift_ms``: what to add to a time in a shot to get that of play, in which shots follow each other directly."""
     shots = samples.groupBy("match_id", "shot_id").agg(F.min("t_ms").alias("first_ms"), (F.max("t_ms") - F.min("t_ms")).alias("span"))
     w = Window.partitionBy("match_id").orderBy("shot_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = shots.withColumn("before_ms", F.coalesce(F.sum("span").over(w), F.lit(0)))
-    return samples.join(before, ["match_id", "shot_id"]).select("match_id", "frame_index", ((F.col("before_ms") + F.col("t_ms") - F.col("first_ms")) / 1000.0).alias("processed_sec"))
+    return shots.select("match_id", "shot_id", (F.coalesce(F.sum("span").over(w), F.lit(0)) - F.col("first_ms")).alias("shift_ms"))
+
+
+def processed_clock(samples: DataFrame) -> DataFrame:
+    """Time with the gaps between shots taken out: the spans of earlier shots plus the time since this one began."""
+    return samples.join(shot_shifts(samples), ["match_id", "shot_id"]).select("match_id", "frame_index", ((F.col("t_ms") + F.col("shift_ms")) / 1000.0).alias("processed_sec"))
 
 
 def summary(samples: DataFrame) -> DataFrame:

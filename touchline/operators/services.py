@@ -67,9 +67,11 @@ def broken_circuit(events: DataFrame, failed: Column, cooldown: str = "INTERVAL
 
 
 def scan_schedule(frames: DataFrame, after: int = 4, every: int = 3) -> DataFrame:
-    """Adds ``scanned``: after some misses in a row only every n-th frame is scanned, until the ball is seen again."""
+    """Adds ``scanned``: after some misses in a row only every n-th frame is scanned, until the ball is seen again.
+
+    What counts are the misses before a frame: of twelve misses the frames 1 to 4, 5, 8 and 11 are scanned."""
     runs = frames.withColumn("run", F.sum(F.when(F.col("detected"), 1).otherwise(0)).over(Window.partitionBy("match_id").orderBy("frame_index")))
-    miss = F.row_number().over(Window.partitionBy("match_id", "run").orderBy("frame_index")) - F.when(F.col("run") == 0, 0).otherwise(1)
+    miss = F.row_number().over(Window.partitionBy("match_id", "run").orderBy("frame_index")) - F.when(F.col("run") == 0, 1).otherwise(2)
     return runs.withColumn("miss", miss).withColumn("scanned", F.col("detected") | (F.col("miss") < after) | ((F.col("miss") - after) % every == 0)).drop("run", "miss")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import columns as X
 from touchline.operators import attribution as A
 from touchline.operators import appearance as AP
+from touchline.operators import folds, pitch
 from touchline.operators import review as R
 from touchline.operators import services as V_
 from touchline.operators import valuation as V
@@ -80,6 +81,53 @@ def q_crowd_count(spark, sf_dir):
     return A.crowd(balls(spark, sf_dir), boxes(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_RANKED}, a AS (SELECT * FROM ranked WHERE place = 1), c AS (SELECT * FROM ranked WHERE place = 2), n AS (SELECT frame_index, count(*) AS n FROM el WHERE d_box <= 90 GROUP BY frame_index),
+am AS (SELECT ball.frame_index, coalesce(n, 0) AS n_near, a.player IS NULL OR coalesce(c.d_box - a.d_box < 0.8::DOUBLE * a.height, false) AS ambiguous FROM ball LEFT JOIN a USING (frame_index) LEFT JOIN c ON c.frame_index = ball.frame_index LEFT JOIN n ON n.frame_index = ball.frame_index)
+SELECT o_custkey AS contact_id, max(n_near) AS n_near, bool_or(ambiguous) AS ambiguous, max(n_near) >= 4 AND bool_or(ambiguous) AS crowded FROM am JOIN orders ON o_orderkey = frame_index GROUP BY o_custkey"""
+)
+def q_crowded_contacts(spark, sf_dir):
+    """Each customer's orders are the sampled frames of one contact."""
+    b, x = balls(spark, sf_dir), boxes(spark, sf_dir)
+    seen = A.crowd(b, x).join(A.ambiguity(b, A.contesting(b, x, 80.0)), "frame_index")
+    frames = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("contact_id"), F.col("o_orderkey").alias("frame_index"))
+    return A.crowded_contacts(seen, frames)
+
+
+@query(
+    f"""WITH {_ELIGIBLE}, g AS (SELECT *, CASE WHEN player % 3 = 0 THEN NULL ELSE ((frame_index * 7 + player * 5) % 20)::DOUBLE END AS dist_m FROM el WHERE d_box <= 90),
+n AS (SELECT frame_index, count(*) AS n FROM g WHERE coalesce(d_box <= 25 OR dist_m <= 8, true) GROUP BY frame_index) SELECT frame_index, coalesce(n, 0) AS n_near FROM ball LEFT JOIN n USING (frame_index)"""
+)
+def q_metric_crowd(spark, sf_dir):
+    """The same where the distance on the pitch is known for two players in three."""
+    metres = F.when(F.col("det_id") % 3 != 0, ((F.col("frame_index") * 7 + F.col("det_id") * 5) % 20).cast("double"))
+    return A.crowd(balls(spark, sf_dir), boxes(spark, sf_dir).withColumn("dist_m", metres))
+
+
+@query(f"WITH {_B} SELECT frame_index, det_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY conf DESC, det_id) AS k FROM b) WHERE k <= 3")
+def q_most_confident(spark, sf_dir):
+    """At most three boxes a frame; the limit of the detector itself is 300."""
+    return folds.most_confident(boxes(spark, sf_dir), 3).select("frame_index", "det_id")
+
+
+_CLIP = lambda c, off, most, gain: f"floor(least({most}.0, greatest(0.0, ({c} - {off}) / ({gain}))) * 10000 + 0.5) / 10000 AS {c}"
+
+
+@query(f"WITH {_B} SELECT frame_index, det_id, {_CLIP('x1', '0.0', 1280, '640 / 1280.0::DOUBLE')}, {_CLIP('y1', '140.0', 720, '640 / 1280.0::DOUBLE')}, {_CLIP('x2', '0.0', 1280, '640 / 1280.0::DOUBLE')}, {_CLIP('y2', '140.0', 720, '640 / 1280.0::DOUBLE')} FROM b")
+def q_unletterbox(spark, sf_dir):
+    out = pitch.unletterbox(boxes(spark, sf_dir), 1280, 720, 640)
+    return out.select("frame_index", "det_id", *[X.rounded(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(
+    f"""WITH {_BALL}, e AS (SELECT frame_index, greatest(0, least(639, round_even(x * 1.1::DOUBLE - 90.5::DOUBLE, 0)))::INT AS l, greatest(0, least(359, round_even(y * 1.1::DOUBLE - 90.5::DOUBLE, 0)))::INT AS t, round_even(x * 1.1::DOUBLE + 90.5::DOUBLE, 0)::INT AS r, round_even(y * 1.1::DOUBLE + 90.5::DOUBLE, 0)::INT AS b FROM ball)
+SELECT frame_index, l || ',' || t || ',' || greatest(l + 1, least(640, r)) || ',' || greatest(t + 1, least(360, b)) AS roi FROM e"""
+)
+def q_roi(spark, sf_dir):
+    """The region around the last place of the ball, some of it beyond the frame."""
+    return balls(spark, sf_dir).select("frame_index", F.array_join(X.roi(F.col("x") * 1.1, F.col("y") * 1.1, 90.5, 640, 360), ",").alias("roi"))
+
+
 @query(
     f"""WITH {_B}, p AS (SELECT a.frame_index, a.det_id AS a, c.det_id AS c, greatest(0.0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0.0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) AS s
 FROM b a JOIN b c ON a.frame_index = c.frame_index AND a.det_id < c.det_id) SELECT frame_index, a, c, floor(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0.0 END * 10000 + 0.5) / 10000 AS iou FROM p WHERE i > 0"""
@@ -302,7 +350,7 @@ def q_circuit_breaker(spark, sf_dir):
 
 @query(
     f"""WITH s AS {duck('events', SAMPLES)}, m AS (SELECT *, sum(CASE WHEN detected THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame_index) AS run FROM s),
-k AS (SELECT *, row_number() OVER (PARTITION BY match_id, run ORDER BY frame_index) - CASE WHEN run = 0 THEN 0 ELSE 1 END AS miss FROM m) SELECT match_id, frame_index, detected OR miss < 4 OR (miss - 4) % 3 = 0 AS scanned FROM k"""
+k AS (SELECT *, row_number() OVER (PARTITION BY match_id, run ORDER BY frame_index) - CASE WHEN run = 0 THEN 1 ELSE 2 END AS miss FROM m) SELECT match_id, frame_index, detected OR miss < 4 OR (miss - 4) % 3 = 0 AS scanned FROM k"""
 )
 def q_backoff(spark, sf_dir):
     return V_.scan_schedule(project(spark, sf_dir, "events", SAMPLES)).select("match_id", "frame_index", "scanned")

@@ -57,10 +57,22 @@ kin AS (SELECT *, list_filter([CASE WHEN turn THEN 'direction_change' END, CASE
   greatest(CASE WHEN turn THEN least(1.0, angle_deg / 180.0) ELSE 0 END, CASE WHEN stop THEN least(1.0, 1 - speed_after / greatest(speed_before, 1e-6)) ELSE 0 END, CASE WHEN kick THEN least(1.0, 1 - speed_before / greatest(speed_after, 1e-6)) ELSE 0 END) * (CASE WHEN from_gap THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS strength FROM kin1),
 cand AS (SELECT * FROM kin WHERE len(kinds) > 0)"""
 _MERGED = f"""{_KIN},
-opened AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY match_id ORDER BY t_ms, frame_index) <= 300 THEN 0 ELSE 1 END AS opens FROM cand),
-grouped AS (SELECT *, sum(opens) OVER (PARTITION BY match_id ORDER BY t_ms, frame_index) AS contact_id FROM opened),
-merged AS (SELECT match_id, contact_id, arg_max(frame_index, {{'s': strength, 'f': -frame_index}}) AS frame_index, arg_max(t_ms, {{'s': strength, 'f': -frame_index}}) AS t_ms, max(strength) AS strength,
+shots AS (SELECT match_id, shot_id, min(t_ms) AS f, max(t_ms) - min(t_ms) AS span FROM s GROUP BY ALL),
+shifts AS (SELECT match_id, shot_id, coalesce(sum(span) OVER (PARTITION BY match_id ORDER BY shot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - f AS shift FROM shots),
+played AS (SELECT cand.*, (t_ms + shift)::BIGINT AS c_ms FROM cand JOIN shifts USING (match_id, shot_id)),
+opened AS (SELECT *, CASE WHEN c_ms - lag(c_ms) OVER (PARTITION BY match_id ORDER BY c_ms, frame_index) <= 300 THEN 0 ELSE 1 END AS opens FROM played),
+grouped AS (SELECT *, sum(opens) OVER (PARTITION BY match_id ORDER BY c_ms, frame_index) AS contact_id FROM opened),
+merged AS (SELECT match_id, contact_id, arg_max(frame_index, {{'s': strength, 'f': -frame_index}}) AS frame_index, arg_max(t_ms, {{'s': strength, 'f': -frame_index}}) AS t_ms, arg_max(c_ms, {{'s': strength, 'f': -frame_index}}) AS c_ms, max(strength) AS strength,
   bool_or(from_gap) AS from_gap, count(*) AS n_merged FROM grouped GROUP BY ALL)"""
+_PINGPONG = """d AS (SELECT *, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS cy, lead(x) OVER w - lag(x) OVER w AS rx, lead(y) OVER w - lag(y) OVER w AS ry,
+  t_ms - lag(t_ms) OVER w AS g1, lead(t_ms) OVER w - t_ms AS g2 FROM s0 WHERE detected WINDOW w AS (PARTITION BY match_id ORDER BY frame_index)),
+e AS (SELECT *, sqrt(ax * ax + ay * ay) AS o, sqrt(bx * bx + cy * cy) AS q FROM d),
+f AS (SELECT *, coalesce(g1 <= 600 AND g2 <= 600 AND o >= 40 AND (CASE WHEN o <= 1e-6 OR q <= 1e-6 THEN 0.0 ELSE degrees(acos(least(1.0, greatest(-1.0, (ax * bx + ay * cy) / (o * q))))) END) >= 165 AND sqrt(rx * rx + ry * ry) <= 0.35::DOUBLE * o, false) AS bad FROM e),
+r AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY frame_index) AS run FROM f),
+h AS (SELECT *, bad AND sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, run) >= 2 AS hit FROM r),
+rej AS (SELECT match_id, frame_index, hit OR coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS rejected FROM h WINDOW w AS (PARTITION BY match_id ORDER BY frame_index)),
+s AS (SELECT s0.* REPLACE (CASE WHEN coalesce(rejected, false) THEN NULL ELSE x END AS x, CASE WHEN coalesce(rejected, false) THEN NULL ELSE y END AS y, detected AND NOT coalesce(rejected, false) AS detected) FROM s0 LEFT JOIN rej USING (match_id, frame_index))"""
+_PLAYED = "WITH " + _MERGED.replace(_S, _S.replace("s AS", "s0 AS", 1) + ", " + _PINGPONG, 1) + " SELECT match_id, contact_id, frame_index, n_merged, round(c_ms / 1000.0::DOUBLE, 3) AS processed_sec FROM merged"
 _ZONES = f"""{_MERGED},
 zo AS (SELECT *, CASE WHEN t_ms - 2000 - (lag(t_ms) OVER (PARTITION BY match_id ORDER BY t_ms, frame_index) + 2000) <= 5000 THEN 0 ELSE 1 END AS zopen FROM merged),
 zg AS (SELECT *, sum(zopen) OVER (PARTITION BY match_id ORDER BY t_ms, frame_index) AS hotspot_id FROM zo),
@@ -113,7 +125,7 @@ def q_kind_hist(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MERGED}, b AS (SELECT *, floor(t_ms / 30000) AS bucket FROM merged), k AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY strength DESC, t_ms, frame_index) AS round FROM b),
+    f"""WITH {_MERGED}, b AS (SELECT *, floor(c_ms / 30000) AS bucket FROM merged), k AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY strength DESC, t_ms, frame_index) AS round FROM b),
 c AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round, bucket) AS pick FROM k) SELECT match_id, contact_id, frame_index, pick FROM c WHERE pick <= 5"""
 )
 def q_fair_cap(spark, sf_dir):
@@ -121,7 +133,7 @@ def q_fair_cap(spark, sf_dir):
 
 
 _CAPPED = f"""{_MERGED}, du AS (SELECT match_id, (max(t_ms) - min(t_ms)) / 1000.0::DOUBLE AS duration_sec FROM s GROUP BY match_id), bu AS (SELECT match_id, least(7, greatest(3, floor(4 * duration_sec / 60)))::INT AS budget FROM du),
-b AS (SELECT *, floor(t_ms / 30000) AS bucket FROM merged), k AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY strength DESC, t_ms, frame_index) AS round FROM b),
+b AS (SELECT *, floor(c_ms / 30000) AS bucket FROM merged), k AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY strength DESC, t_ms, frame_index) AS round FROM b),
 c AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round, bucket) AS pick FROM k)"""
 
 
@@ -165,15 +177,29 @@ def q_pingpong(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_S}, b AS (SELECT *, last_value(CASE WHEN detected THEN {{'t': t_ms, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY match_id, shot_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS p,
-  first_value(CASE WHEN detected THEN {{'t': t_ms, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY match_id, shot_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM s)
-SELECT match_id, frame_index, floor((CASE WHEN detected THEN x WHEN interpolated AND p IS NOT NULL AND n IS NOT NULL THEN p.x + ((t_ms - p.t) / (n.t - p.t)) * (n.x - p.x) END) * 10000 + 0.5) / 10000 AS hx,
-  floor((CASE WHEN detected THEN y WHEN interpolated AND p IS NOT NULL AND n IS NOT NULL THEN p.y + ((t_ms - p.t) / (n.t - p.t)) * (n.y - p.y) END) * 10000 + 0.5) / 10000 AS hy FROM b"""
+    f"""WITH {_S}, k AS (SELECT *, interpolated AND NOT detected AND x IS NOT NULL AS held FROM s), e AS (SELECT *, CASE WHEN NOT held THEN {{'t': t_ms, 'x': x, 'y': y, 'd': detected AND x IS NOT NULL}} END AS edge FROM k),
+b AS (SELECT *, last_value(edge IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(edge IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM e WINDOW w AS (PARTITION BY match_id, shot_id ORDER BY frame_index)),
+m AS (SELECT *, held AND coalesce(p.d AND n.d AND n.t > p.t, false) AS moved FROM b)
+SELECT match_id, frame_index, floor((CASE WHEN moved THEN p.x + ((t_ms - p.t) / (n.t - p.t)) * (n.x - p.x) ELSE x END) * 10000 + 0.5) / 10000 AS hx, floor((CASE WHEN moved THEN p.y + ((t_ms - p.t) / (n.t - p.t)) * (n.y - p.y) ELSE y END) * 10000 + 0.5) / 10000 AS hy FROM m"""
 )
 def q_hold_interp(spark, sf_dir):
     return C.hold_positions(samples(spark, sf_dir)).select("match_id", "frame_index", rounded(F.col("hx")).alias("hx"), rounded(F.col("hy")).alias("hy"))
 
 
+@query(
+    _PLAYED
+)
+def q_played_contacts(spark, sf_dir):
+    """Contacts of trajectories whose alternating detections have become misses first."""
+    return C.merge_contacts(C.candidates(C.without_rejected(samples(spark, sf_dir)))).select("match_id", "contact_id", "frame_index", "n_merged", F.round(F.col("clock_ms") / 1000.0, 3).alias("processed_sec"))
+
+
+@query(f"WITH {_ZONES}, k AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY start_sec, hotspot_id) AS place FROM zones) SELECT match_id, place::BIGINT AS place, start_sec, end_sec, n_contacts FROM k WHERE place <= 10")
+def q_top_hotspots(spark, sf_dir):
+    """The ten windows that the summary of a match lists."""
+    return C.first_hotspots(C.hotspots(C.merge_contacts(C.candidates(samples(spark, sf_dir))))).select("match_id", F.col("place").cast("long").alias("place"), "start_sec", "end_sec", "n_contacts")
+
+
 @query(
     f"""WITH {_S}, k AS (SELECT match_id, shot_id, min(t_ms) AS f, max(t_ms) - min(t_ms) AS span FROM s GROUP BY ALL), c AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY match_id ORDER BY shot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k)
 SELECT match_id, frame_index, (b + t_ms - f)::DOUBLE / 1000.0::DOUBLE AS processed_sec FROM s JOIN c USING (match_id, shot_id)"""
