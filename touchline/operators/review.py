@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def settled_by(items: DataFrame, rank: int, choice: str) -> DataFrame:
     Not me on the other team settles that team's same kit; within the own kit a look-alike group is settled either way; crowded items
     neither give nor take. Items are (match_id, rank, crowded, is_other_team, kit_group, appearance_group, decision)."""
     given = items.filter(F.col("rank") == rank).select("match_id", *[F.col(c).alias(f"g_{c}") for c in ("crowded", "is_other_team", "kit_group", "appearance_group")])
-    both = items.join(F.broadcast(given), "match_id", "left")  # one row a match
+    both = items.join(given, "match_id", "left")
     hard = F.lit(choice == "not_me") & F.col("g_is_other_team") & F.col("is_other_team") & (F.col("kit_group") >= 0) & (F.col("kit_group") == F.col("g_kit_group"))
     soft = ~F.col("g_is_other_team") & ~F.col("is_other_team") & (F.col("appearance_group") >= 0) & (F.col("appearance_group") == F.col("g_appearance_group"))
     auto = F.coalesce((F.col("rank") > rank) & F.col("decision").isNull() & ~F.col("crowded") & ~F.col("g_crowded") & (hard | soft), F.lit(False))
@@ -89,6 +90,67 @@ def settled_by(items: DataFrame, rank: int, choice: str) -> DataFrame:
     return out.select(*items.columns, "auto")
 
 
+def replayed(items: DataFrame, log: DataFrame) -> DataFrame:
+    """``match_id, rank, decision, settled_by`` after a log of choices (match_id, seq, choice: me, not_me or undo).
+
+    Items without a decision wait in the order of their ranks. A choice decides the one in front and settles those waiting ones that
+    ``settled_by`` would, which leave the queue; undo puts what the last choice settled back in front, undecided, in its order, once. A
+    later choice so meets only what earlier ones have left, and falls silent on an empty queue. ``settled_by`` is the rank whose decision
+    settled an item by itself.
+
+    Folded per match over its review queue, which budgets bound before, and its choices; each choice looks at its own group only."""
+
+    def fold(key: tuple, queue: pd.DataFrame, choices: pd.DataFrame) -> pd.DataFrame:
+        rows = queue.sort_values("rank").to_dict("records")
+        items = {r["rank"]: r for r in rows}
+        groups: dict[tuple, list[int]] = {}
+        for r in rows:
+            for kind in _kinds(r):
+                groups.setdefault(kind, []).append(r["rank"])
+        front: list[int] = []  # taken back, before all others
+        waiting = [r["rank"] for r in rows if r["decision"] is None]
+        open_, at, last = set(waiting), 0, []
+        by: dict[int, int] = {}
+        for choice in choices.sort_values("seq")["choice"]:
+            if choice == "undo":
+                for rank in last:
+                    items[rank]["decision"] = None
+                    by.pop(rank)
+                    open_.add(rank)
+                front, last = last + front, []
+                continue
+            if choice not in ("me", "not_me"):
+                continue
+            front = [r for r in front if r in open_]
+            while at < len(waiting) and (waiting[at] not in open_ or waiting[at] in front):
+                at += 1
+            if not front and at == len(waiting):
+                continue
+            own = items[front[0] if front else waiting[at]]
+            open_.discard(own["rank"])
+            own["decision"] = choice
+            place = {r: k for k, r in enumerate(front)}
+            found = [r for kind in _kinds(own) if kind[0] == "look" or choice == "not_me" for r in groups[kind] if r in open_]
+            last = sorted(found, key=lambda r: (place.get(r, len(place)), r))
+            for rank in last:
+                items[rank]["decision"], by[rank] = choice, own["rank"]
+                open_.discard(rank)
+        out = [(r["match_id"], r["rank"], r["decision"], by.get(r["rank"])) for r in rows]
+        return pd.DataFrame(out, columns=["match_id", "rank", "decision", "settled_by"])
+
+    columns = ["match_id", "rank", "crowded", "is_other_team", "kit_group", "appearance_group", "decision"]
+    return items.select(*columns).groupBy("match_id").cogroup(log.select("match_id", "seq", "choice").groupBy("match_id")).applyInPandas(fold, "match_id long, rank int, decision string, settled_by int")
+
+
+def _kinds(item: dict) -> list[tuple]:
+    """The groups through which an item gives and takes decisions."""
+    if item["crowded"]:
+        return []
+    if item["is_other_team"]:
+        return [("kit", item["kit_group"])] if item["kit_group"] >= 0 else []
+    return [("look", item["appearance_group"])] if item["appearance_group"] >= 0 else []
+
+
 def undone(items: DataFrame) -> DataFrame:
     """Items with what the last decision settled by itself taken back; the decision itself stays."""
     return items.withColumn("decision", F.when(~F.col("auto"), F.col("decision"))).drop("auto")

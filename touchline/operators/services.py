@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # fixed values
@@ -75,6 +75,17 @@ def scan_schedule(frames: DataFrame, after: int = 4, every: int = 3) -> DataFram
     return runs.withColumn("miss", miss).withColumn("scanned", F.col("detected") | (F.col("miss") < after) | ((F.col("miss") - after) % every == 0)).drop("run", "miss")
 
 
+def counted_scans(frames: DataFrame) -> tuple[DataFrame, Observation]:
+    """The schedule of ``scan_schedule`` with ``roi`` and ``hit``, and counters of it that any action on it fills.
+
+    A frame is first searched around the ball's place in the frame before (``roi``), if the shot has one; ``hit`` is the ball found there."""
+    known = F.lag("x").over(Window.partitionBy("match_id", "shot_id").orderBy("frame_index")).isNotNull()
+    out = scan_schedule(frames).withColumn("roi", F.coalesce(known, F.lit(False))).withColumn("hit", F.col("roi") & F.col("detected"))
+    counters = Observation()
+    counts = {"roi_hits": F.col("hit"), "roi_misses": F.col("roi") & ~F.col("hit"), "full_scans": ~F.col("hit") & F.col("scanned"), "skipped_full_scans": ~F.col("hit") & ~F.col("scanned")}
+    return out.observe(counters, F.count("*").alias("frames"), *[F.count_if(c).alias(n) for n, c in counts.items()]), counters
+
+
 def chat_errors(messages: DataFrame, max_messages: int = MAX_MESSAGES, max_chars: int = MAX_CHARS, max_images: int = MAX_IMAGES) -> DataFrame:
     """``conv_id, error, n_messages``: the first thing wrong with each conversation (conv_id, turn, role, text, and n_images if known)."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

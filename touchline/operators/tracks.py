@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import colour_gap, distance, hsv_distance, upper_median
+from touchline.operators import colour
+from touchline.tables import Stage
 
 # fixed values: metres, metres a second, and milliseconds
 HEIGHT_M, SLACK_M, SPEED_M_S, SILENCE_MS = 1.75, 1.2, 11.0, 2000
@@ -160,6 +162,59 @@ def same_player(points: DataFrame, width: float, least_shared: int = 3, share: f
     return both.filter(F.coalesce(gap <= apart, F.lit(True))).select("match_id", "track_id", "other")
 
 
+def merge_parallel(points: DataFrame, width: float, least_shared: int = 3, share: float = 0.035, apart: float = 60.0, stage: Stage | None = None) -> DataFrame:
+    """``match_id, track_id, player, t_ms, x, y, kept``: tracks that run side by side as one player, merged until no pair is left.
+
+    ``points`` are (match_id, track_id, t_ms, x, y, h, s, v), one a track and time; h is null where the colour can't be read. A pair
+    is judged as in ``same_player``, by the circular median of all its colours. The longer track takes in the other (the first of equal
+    ones) with the times that it lacks itself, so its length, places and colour change and pairs are judged again. Each round merges the
+    first pair of every match that has one; matches without one are done. Every round is a written table, so a match takes as many
+    rounds as it has tracks to merge, some dozen, whatever the number of matches."""
+    stage = stage or Stage(points.sparkSession)
+    active = stage.write(points.select("match_id", "track_id", F.col("track_id").alias("player"), "t_ms", "x", "y", "h", "s", "v", F.lit(True).alias("kept")))
+    done = []
+    while True:
+        pick = stage.write(_first_pairs(active, share * width, least_shared, apart))
+        if pick.isEmpty():
+            break
+        whole = active
+        done.append(stage.write(whole.join(pick.select("match_id"), "match_id", "left_anti")))
+        active = stage.write(_absorbed(whole.join(pick, "match_id")))
+        stage.free(whole, pick)
+    out = active
+    for part in done:
+        out = out.unionByName(part)
+    return out.select("match_id", "track_id", "player", "t_ms", "x", "y", "kept")
+
+
+def _first_pairs(rows: DataFrame, reach: float, least_shared: int, apart: float) -> DataFrame:
+    """``match_id, taker, taken`` of the first pair of each match that is one player."""
+    own = ["match_id", "player"]
+    kit = colour.representative(rows.filter("h is not null and s is not null and v is not null"), *own)
+    p = rows.filter("kept").select(*own, "t_ms", "x", "y")
+    size = p.groupBy(*own).agg(F.count("*").alias("n"))
+    q = p.select("match_id", "t_ms", F.col("player").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    met = p.join(q, ["match_id", "t_ms"]).filter("player < other").withColumn("d", distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))
+    pair = Window.partitionBy("match_id", "player", "other")
+    middle = met.withColumns({"shared": F.count("*").over(pair), "place": F.row_number().over(pair.orderBy("d")) - 1}).filter(F.col("place") == F.floor(F.col("shared") / 2))  # the upper median, by a sort that can spill
+    near = middle.filter((F.col("shared") >= least_shared) & (F.col("d") <= reach)).select(*own, "other")
+    as_other = lambda df, **names: df.select("match_id", F.col("player").alias("other"), *[F.col(c).alias(n) for c, n in names.items()])
+    both = near.join(size, own).join(as_other(size, n="m"), ["match_id", "other"]).join(kit, own, "left").join(as_other(kit, h="oh", s="os", v="ov"), ["match_id", "other"], "left")
+    alike = F.coalesce(hsv_distance(tuple(F.col(c) for c in "hsv"), tuple(F.col(f"o{c}") for c in "hsv")) <= apart, F.lit(True))
+    taker, taken = F.when(F.col("n") >= F.col("m"), F.col("player")).otherwise(F.col("other")), F.when(F.col("n") >= F.col("m"), F.col("other")).otherwise(F.col("player"))
+    first = both.filter(alike).groupBy("match_id").agg(F.min_by(F.struct(taker.alias("taker"), taken.alias("taken")), F.struct("player", "other")).alias("p"))
+    return first.select("match_id", "p.*")
+
+
+def _absorbed(rows: DataFrame) -> DataFrame:
+    """``rows`` (with the pair of their match) after the merge: a time that both have stays with the taker."""
+    at = Window.partitionBy("match_id", "t_ms")
+    has = F.max(F.col("kept") & (F.col("player") == F.col("taker"))).over(at)
+    goes = F.col("player") == F.col("taken")
+    merged = rows.withColumns({"kept": F.col("kept") & ~(goes & has), "player": F.when(goes, F.col("taker")).otherwise(F.col("player"))})
+    return merged.drop("taker", "taken")
+
+
 def displacement(frames: DataFrame) -> DataFrame:
     """``pair_id, moved``: the upper median over the players of the first frame of the way to the nearest of the second one.
 

@@ -97,8 +97,8 @@ def q_colour_flip(spark, sf_dir):
 
 
 SIDE = (
-    "user_id % 8 AS match_id", "user_id % 24 AS track_id", "CAST((event_id - event_id % 8) / 8 AS BIGINT) * 100 AS t_ms", "CAST(CASE WHEN user_id % 3 = 0 THEN 100 ELSE user_id * 37 % 640 END + event_id % 9 AS DOUBLE) AS x", "CAST(100 + event_id % 7 AS DOUBLE) AS y",
-    "CAST(60 + event_id % 5 AS DOUBLE) AS h", "CAST(100 + user_id % 3 AS DOUBLE) AS s", "CAST(100 + user_id % 5 AS DOUBLE) AS v",
+    "user_id % 8 AS match_id", "user_id % 24 AS track_id", "CAST((event_id - event_id % 8) / 8 AS BIGINT) * 100 AS t_ms", "CAST(60 * (user_id % 8) + CASE WHEN user_id % 24 >= 16 THEN 300 ELSE 0 END + event_id % 9 AS DOUBLE) AS x", "CAST(100 + event_id % 7 AS DOUBLE) AS y",
+    "CAST(60 + event_id % 5 + CASE WHEN user_id % 8 = 3 AND user_id % 24 >= 8 THEN 60 ELSE 0 END AS DOUBLE) AS h", "CAST(100 + user_id % 3 AS DOUBLE) AS s", "CAST(100 + user_id % 5 AS DOUBLE) AS v",
 )
 _GAP = lambda a, b: f"sqrt(4 * pow(CASE WHEN abs({a}h - {b}h) > 90 THEN 180 - abs({a}h - {b}h) ELSE abs({a}h - {b}h) END, 2) + pow({a}s - {b}s, 2) + 0.25 * pow({a}v - {b}v, 2))"
 
@@ -110,9 +110,17 @@ g AS (SELECT match_id, track_id, other, count(*) AS n, list_sort(list(d))[len(li
 SELECT g.match_id, g.track_id, g.other FROM g JOIN k a ON a.match_id = g.match_id AND a.track_id = g.track_id JOIN k b ON b.match_id = g.match_id AND b.track_id = g.other WHERE n >= 3 AND d <= 0.035::DOUBLE * 640 AND {_GAP('a.', 'b.')} <= 60"""
 )
 def q_same_player(spark, sf_dir):
+    """Two tracks of each match run side by side, those of every eighth match in unlike kits."""
     return T.same_player(project(spark, sf_dir, "events", SIDE), 640.0)
 
 
+@query()
+def q_merged_tracks(spark, sf_dir):
+    """Parallel tracks merged until no pair is left; a match's tracks at a time, one point each."""
+    p = project(spark, sf_dir, "events", SIDE).groupBy("match_id", "track_id", "t_ms").agg(*[F.avg(c).alias(c) for c in "xyhsv"])
+    return T.merge_parallel(p, 640.0).groupBy("match_id", "track_id", "player").agg(F.count("*").alias("n_points"), F.count_if("kept").alias("n_kept"))
+
+
 @query(
     f"""WITH b AS {duck('lineitem', BOXES)}, f AS (SELECT (frame_index - frame_index % 2) / 2 AS pair_id, CASE frame_index % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM b),
 n AS (SELECT a.pair_id, a.x, a.y, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM (SELECT * FROM f WHERE side = 'a') a JOIN (SELECT * FROM f WHERE side = 'b') b ON a.pair_id = b.pair_id GROUP BY ALL)

@@ -125,6 +125,43 @@ def q_undone(spark, sf_dir):
     return R.undone(R.settled_by(project(spark, sf_dir, "events", QUEUE), 33, "not_me")).select("match_id", "rank", "decision")
 
 
+CHOICES = ("o_custkey % 64 AS match_id", "o_orderkey AS seq", "CASE o_orderkey % 5 WHEN 0 THEN 'undo' WHEN 1 THEN 'me' WHEN 2 THEN 'me' ELSE 'not_me' END AS choice")
+
+
+@query()
+def q_review_replay(spark, sf_dir):
+    """A log of choices and undos, replayed over the review queue of each match."""
+    return R.replayed(project(spark, sf_dir, "events", QUEUE), project(spark, sf_dir, "orders", CHOICES))
+
+
+_COUNTED = f"""s AS {duck('events', SAMPLES)}, m AS (SELECT *, sum(CASE WHEN detected THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame_index) AS run, coalesce(lag(x) OVER (PARTITION BY match_id, shot_id ORDER BY frame_index) IS NOT NULL, false) AS roi FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY match_id, run ORDER BY frame_index) - CASE WHEN run = 0 THEN 1 ELSE 2 END AS miss FROM m), c AS (SELECT *, detected OR miss < 4 OR (miss - 4) % 3 = 0 AS scanned, roi AND detected AS hit FROM k)"""
+
+
+@query(f"WITH {_COUNTED} SELECT count(*) AS frames, count(*) FILTER (WHERE hit) AS roi_hits, count(*) FILTER (WHERE roi AND NOT hit) AS roi_misses, count(*) FILTER (WHERE NOT hit AND scanned) AS full_scans, count(*) FILTER (WHERE NOT hit AND NOT scanned) AS skipped_full_scans FROM c")
+def q_detector_counters(spark, sf_dir):
+    """Counters that come with the writing of the schedule, without a second scan."""
+    counted, counters = S.counted_scans(project(spark, sf_dir, "events", SAMPLES))
+    counted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([counters.get], "frames long, roi_hits long, roi_misses long, full_scans long, skipped_full_scans long")
+
+
+_STATES = "SELECT o_orderkey AS job_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'queued' END AS state, 'job ' || o_orderkey AS status FROM orders"
+
+
+@query(f"SELECT job_id::VARCHAR AS job_id, CASE WHEN state = 'running' THEN 'interrupted' ELSE state END AS state, CASE WHEN state = 'running' THEN 'Analysis was interrupted (server restarted)' ELSE status END AS status FROM ({_STATES}) WHERE job_id % 11 <> 0")
+def q_hydrated_jobs(spark, sf_dir):
+    """Job states written as JSON, every eleventh cut off in the middle, and read again; what can't be read is set aside."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    state = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("queued")
+    doc = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("job_id"), state.alias("state"), F.concat(F.lit("job "), F.col("o_orderkey").cast("string")).alias("status")))
+    text = o.select(F.when(F.col("o_orderkey") % 11 == 0, F.substring(doc, 1, 25)).otherwise(doc).alias("value"))
+    at = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    text.write.text(at)
+    states, _ = D.hydrate(spark, at, lines=True)
+    return states.select("job_id", "state", "status")
+
+
 _REPLY = "CASE doc_id % 8 WHEN 0 THEN '{\"team_one\":\"A\",\"team_two\":\"c\",\"confident\":true}' WHEN 1 THEN '<think>{\"team_one\":\"B\"}</think> {\"team_one\":\"B\",\"team_two\":\"A\"}' WHEN 2 THEN '<think>cut off {\"team_one\":\"B\",\"team_two\":\"A\"}' WHEN 3 THEN '```json {\"team_one\":\"D\",\"team_two\":\"B\"} ```' WHEN 4 THEN '{\"team_one\":\"A\",\"team_two\":\"A\"}' WHEN 5 THEN '{\"team_one\":\"A\",\"team_two\":\"Z\"}' WHEN 6 THEN '{\"team_one\":\"A\",\"team_two\":\"B\",\"confident\":false}' ELSE text END"
 
 

@@ -70,6 +70,28 @@ def reloaded_jobs(jobs: DataFrame) -> DataFrame:
     return last.withColumns({"state": F.when(was, "interrupted").otherwise(F.col("state")), "stage": F.when(was, "error").otherwise(F.col("stage"))})
 
 
+INTERRUPTED = {"state": "interrupted", "stage": "error", "status": "Analysis was interrupted (server restarted)", "error": "The analysis stopped when the server restarted. Start a new run."}
+
+
+def hydrate(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Job states found below a folder after a restart, and what could not be read there (``file, text``).
+
+    Each job has a folder of its own with one document ``job_state.json``; with ``lines`` the files hold one document a line instead.
+    Jobs that were running are interrupted, with a status that says so. A document without a job_id belongs to the job that its folder
+    is named after; one that is cut off or no JSON is set aside, and so is one without a state. Unknown keys are ignored."""
+    fields = "job_id string, token string, state string, stage string, status string, error string, started_at double, finished_at double, _broken string"
+    reader = spark.read.option("wholetext", not lines)
+    if not lines:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "job_state.json")
+    text = reader.text(folder).select("value", F.col("_metadata.file_path").alias("file")).filter("trim(value) <> ''")
+    read = text.withColumn("d", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})).select("file", "value", "d.*")
+    whole = F.col("_broken").isNull() & F.col("state").isNotNull()
+    was = F.col("state") == "running"
+    own = F.coalesce("job_id", F.lit(None) if lines else F.regexp_extract("file", "([^/]+)/[^/]+$", 1))
+    states = read.filter(whole).withColumns({"job_id": own, **{c: F.when(was, v).otherwise(F.col(c)) for c, v in INTERRUPTED.items()}})
+    return states.drop("_broken", "file", "value"), read.filter(~whole).select("file", F.col("value").alias("text"))
+
+
 def running_job(jobs: DataFrame) -> DataFrame:
     """``token, job_id``: the first running job of each upload."""
     return jobs.filter("state = 'running'").groupBy("token").agg(F.min("job_id").alias("job_id"))
