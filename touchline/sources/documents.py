@@ -80,10 +80,10 @@ def hydrate(spark: SparkSession, folder: str, lines: bool = False) -> tuple[Data
     Jobs that were running are interrupted, with a status that says so. A document without a job_id belongs to the job that its folder
     is named after; one that is cut off or no JSON is set aside, and so is one without a state. Unknown keys are ignored."""
     fields = "job_id string, token string, state string, stage string, status string, error string, started_at double, finished_at double, _broken string"
-    reader = spark.read.option("wholetext", not lines)
+    reader = spark.read
     if not lines:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "job_state.json")
-    text = reader.text(folder).select("value", F.col("_metadata.file_path").alias("file")).filter("trim(value) <> ''")
+    text = reader.text(folder, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file")).filter("trim(value) <> ''")
     read = text.withColumn("d", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})).select("file", "value", "d.*")
     whole = F.col("_broken").isNull() & F.col("state").isNotNull()
     was = F.col("state") == "running"
