@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from touchline.functions import columns as X
 from touchline.operators import colour
+from touchline.tables import Stage
 
 # fixed values
 PITCH_K, PITCH_SHARE, PITCH_RADIUS, PITCH_TOLERANCE = 3, 0.08, 26.0, 26.0
@@ -193,20 +194,22 @@ def swatches(readings: DataFrame, *key: str) -> DataFrame:
     return out.select(*own, F.when(F.col("good2") & F.col("good3"), F.col("hexes3")).when(F.col("good2"), F.col("hexes2")).otherwise(F.array(hex_(larger))).alias("hexes"))
 
 
-def kit_vote(pixels: DataFrame, palette: DataFrame) -> DataFrame:
+def kit_vote(pixels: DataFrame, palette: DataFrame, stage: Stage | None = None) -> DataFrame:
     """``match_id, team, hex, hexes, n_crops``: the two kits of each match; nothing where they can't be told apart.
 
     Crops of referees, of no colour or of the pitch itself don't vote. A colour that both sides claim is taken from the smaller one,
-    unless it has no other; sides with the same first colour are no two kits."""
+    unless it has no other; sides with the same first colour are no two kits. Readings, a few a crop, are written between the steps."""
+    stage = stage or Stage(pixels.sparkSession)
+    palette = stage.write(palette)
     crops = pixels.groupBy("match_id", "crop_id").agg(*[F.median(X.let(X.rgb_to_hsv(F.struct("r", "g", "b")), part(v))).alias(v) for v in "hsv"])
     whole = [F.floor(F.col(v)) for v in "hsv"]
     voting = crops.filter(~colour.referee_crop(*whole) & ~colour.neutral_crop(*whole[1:])).select("match_id", "crop_id")
-    readings = standout_colours(pixels.join(voting, ["match_id", "crop_id"]), palette)
+    readings = stage.write(standout_colours(pixels.join(voting, ["match_id", "crop_id"]), palette))
     first = readings.filter("place = 1").join(references(palette), "match_id", "left")
     ground = F.coalesce(pitch_gap(lab(*[F.floor(F.col(v)) for v in "rgb"]), F.col("refs")) < PITCH_TOLERANCE, F.lit(False))
-    worn = readings.join(first.filter(~ground).select("match_id", "crop_id"), ["match_id", "crop_id"])
-    teams = lab_kits(worn)
-    sets = swatches(worn.join(teams, ["match_id", "crop_id"]), "match_id", "team").join(teams.groupBy("match_id", "team").agg(F.count("*").alias("n_crops")), ["match_id", "team"])
+    worn = stage.write(readings.join(first.filter(~ground).select("match_id", "crop_id"), ["match_id", "crop_id"]))
+    teams = stage.write(lab_kits(worn))
+    sets = stage.write(swatches(worn.join(teams, ["match_id", "crop_id"]), "match_id", "team").join(teams.groupBy("match_id", "team").agg(F.count("*").alias("n_crops")), ["match_id", "team"]))
     side = lambda t: sets.filter(F.col("team") == t).select("match_id", F.col("hexes").alias(f"h{t}"), F.col("n_crops").alias(f"n{t}"))
     rest = F.array_except("h1", "h0")
     both = side(0).join(side(1), "match_id").withColumn("h1", F.when(F.size(rest) > 0, rest).otherwise(F.col("h1"))).filter("h0[0] <> h1[0]")
