@@ -129,21 +129,15 @@ XYZ = ((0.412453 / 0.950456, 0.357580 / 0.950456, 0.180423 / 0.950456), (0.21267
 
 
 def rgb_to_lab(rgb: Column) -> Column:
-    """(l, a, b) in 8 bits each, as image libraries scale them: lightness of 100 is 255, and no colour is 128."""
-
-    def converted(c: Column) -> Column:
-        line = [let(c[k].cast("double") / 255.0, lambda v: F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, 2.4)).otherwise(v / 12.92)) for k in "rgb"]
-        xyz = [let(sum(m * v for m, v in zip(row, line)), lambda t: F.struct(t.alias("t"), F.when(t > 0.008856, F.pow(t, 1 / 3)).otherwise(7.787 * t + 16.0 / 116.0).alias("f"))) for row in XYZ]
-
-        def packed(parts: Column) -> Column:
-            x, y, z = (parts[k]["f"] for k in "xyz")
-            light = F.when(parts["y"]["t"] > 0.008856, 116.0 * y - 16.0).otherwise(903.3 * parts["y"]["t"])
-            whole = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(v + 0.5).cast("double")))
-            return F.named_struct(F.lit("l"), whole(light * 255.0 / 100.0), F.lit("a"), whole(500.0 * (x - y) + 128.0), F.lit("b"), whole(200.0 * (y - z) + 128.0))
-
-        return F.when(c.isNotNull(), let(F.struct(*[v.alias(n) for v, n in zip(xyz, "xyz")]), packed))
-
-    return let(rgb, converted)
+    """(l, a, b) in 8 bits each, as image libraries scale them: lightness of 100 is 255, and no colour is 128.
+
+    Plain expressions, as the planner takes long over nested lambdas; common parts are computed once in generated code."""
+    line = [F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92) for v in (rgb[k].cast("double") / 255.0 for k in "rgb")]
+    x, y, z = (sum(m * v for m, v in zip(row, line)) for row in XYZ)
+    fx, fy, fz = (F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16.0 / 116.0) for t in (x, y, z))
+    light = F.when(y > 0.008856, 116.0 * fy - 16.0).otherwise(903.3 * y)
+    whole = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(v + 0.5).cast("double")))
+    return F.when(rgb.isNotNull(), F.named_struct(F.lit("l"), whole(light * 255.0 / 100.0), F.lit("a"), whole(500.0 * (fx - fy) + 128.0), F.lit("b"), whole(200.0 * (fy - fz) + 128.0)))
 
 
 def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:

@@ -123,9 +123,10 @@ def pitch_gap(c: Column, refs: Column) -> Column:
 def without_pitch(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """Pixels of crops that are not the pitch of their match (the band of grass where that is unknown), of crops that keep enough; adds ``refs``."""
     own = pixels.join(references(palette), "match_id", "left")
-    hsv = X.rgb_to_hsv(F.struct("r", "g", "b"))
-    away = F.coalesce(pitch_gap(lab(F.col("r"), F.col("g"), F.col("b")), F.col("refs")) > PITCH_RADIUS, ~X.let(hsv, lambda c: colour.is_grass(c["h"], c["s"], c["v"])))
-    marked = own.groupBy("match_id", "crop_id", "r", "g", "b").agg(F.count("*").alias("n"), F.first("refs").alias("refs")).withColumn("away", away)
+    counted = own.groupBy("match_id", "crop_id", "r", "g", "b").agg(F.count("*").alias("n"), F.first("refs").alias("refs"))
+    seen = counted.withColumns({"hsv": X.rgb_to_hsv(F.struct("r", "g", "b")), "lab": lab(F.col("r"), F.col("g"), F.col("b"))})
+    away = F.coalesce(pitch_gap(F.col("lab"), F.col("refs")) > PITCH_RADIUS, ~colour.is_grass(F.col("hsv.h"), F.col("hsv.s"), F.col("hsv.v")))
+    marked = seen.withColumn("away", away).drop("hsv", "lab")
     crop = Window.partitionBy("match_id", "crop_id")
     sized = marked.withColumns({"size": F.sum("n").over(crop), "kept": F.sum(F.when(F.col("away"), F.col("n")).otherwise(0)).over(crop)})
     enough = F.col("kept") >= F.greatest(F.lit(KEPT_PIXELS), F.floor(KEPT_SHARE * F.col("size")))
@@ -181,11 +182,12 @@ def swatches(readings: DataFrame, *key: str) -> DataFrame:
     out = clusters(whole, own, F.lit(1)).groupBy(*own).agg(F.first("total").alias("total"), F.struct(*[middle(c).alias(v) for c, v in zip("xyz", "rgb")]).alias("all"))
     for k in range(2, MOST_SWATCHES + 1):
         g = clusters(whole, own, F.lit(k)).groupBy(*own, "cluster").agg(F.sum("n").alias("n"), F.first("total").alias("total"), F.struct(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(v) for c, v in zip("xyz", "rgb")]).alias("centre"), F.struct(*[middle(c).alias(v) for c, v in zip("xyz", "rgb")]).alias("median"))
-        ranked = g.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "cluster", "n", "centre", "median"))).alias("c"), F.first("total").alias("total"))
+        g = g.withColumn("lab", lab(*[F.floor(F.col(f"centre.{v}")) for v in "rgb"]))
+        ranked = g.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "cluster", "n", "centre", "median", "lab"))).alias("c"), F.first("total").alias("total"))
         pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
         at = lambda i: F.get("c", i)["centre"]
         apart = [F.sqrt(sum((at(i)[v] - at(j)[v]) * (at(i)[v] - at(j)[v]) for v in "rgb")) >= SWATCH_APART for i, j in pairs]
-        kits = [second_colour(lab(*[F.floor(at(i)[v]) for v in "rgb"]), lab(*[F.floor(at(j)[v]) for v in "rgb"])) for i, j in pairs]
+        kits = [second_colour(F.get("c", i)["lab"], F.get("c", j)["lab"]) for i, j in pairs]
         good = (F.size("c") == k) & (F.col("total") >= max(8, 4 * k)) & (F.array_min(F.transform("c", lambda s: s["n"])) >= SWATCH_SHARE * F.col("total"))
         for test in (*apart, *kits):
             good = good & test
@@ -201,12 +203,12 @@ def kit_vote(pixels: DataFrame, palette: DataFrame, stage: Stage | None = None)
     unless it has no other; sides with the same first colour are no two kits. Readings, a few a crop, are written between the steps."""
     stage = stage or Stage(pixels.sparkSession)
     palette = stage.write(palette)
-    crops = pixels.groupBy("match_id", "crop_id").agg(*[F.median(X.let(X.rgb_to_hsv(F.struct("r", "g", "b")), part(v))).alias(v) for v in "hsv"])
+    crops = pixels.withColumn("c", X.rgb_to_hsv(F.struct("r", "g", "b"))).groupBy("match_id", "crop_id").agg(*[F.median(f"c.{v}").alias(v) for v in "hsv"])
     whole = [F.floor(F.col(v)) for v in "hsv"]
     voting = crops.filter(~colour.referee_crop(*whole) & ~colour.neutral_crop(*whole[1:])).select("match_id", "crop_id")
     readings = stage.write(standout_colours(pixels.join(voting, ["match_id", "crop_id"]), palette))
-    first = readings.filter("place = 1").join(references(palette), "match_id", "left")
-    ground = F.coalesce(pitch_gap(lab(*[F.floor(F.col(v)) for v in "rgb"]), F.col("refs")) < PITCH_TOLERANCE, F.lit(False))
+    first = readings.filter("place = 1").join(references(palette), "match_id", "left").withColumn("lab", lab(*[F.floor(F.col(v)) for v in "rgb"]))
+    ground = F.coalesce(pitch_gap(F.col("lab"), F.col("refs")) < PITCH_TOLERANCE, F.lit(False))
     worn = stage.write(readings.join(first.filter(~ground).select("match_id", "crop_id"), ["match_id", "crop_id"]))
     teams = stage.write(lab_kits(worn))
     sets = stage.write(swatches(worn.join(teams, ["match_id", "crop_id"]), "match_id", "team").join(teams.groupBy("match_id", "team").agg(F.count("*").alias("n_crops")), ["match_id", "team"]))
