@@ -171,9 +171,12 @@ def test_two_dyes_and_one(spark):
 
     rng = np.random.default_rng(5)
     red, blue = (np.column_stack([(h + rng.normal(0, 3, 100)) % 180, rng.uniform(120, 220, 100), rng.uniform(100, 220, 100)]) for h in (178, 88))
-    both = colour.colours_of(np.concatenate([red, blue[:60]]))
-    assert len(both) == 2 and min(both[0][0], 180 - both[0][0]) < 6 and abs(both[1][0] - 88) < 4
-    assert len(colour.colours_of(red)) == 1 and len(colour.colours_of(np.concatenate([red, blue[:10]]))) == 1
+    crops = [np.concatenate([red, blue[:60]]), red, np.concatenate([red, blue[:10]])]
+    rows = [(k, *map(float, p)) for k, crop in enumerate(crops) for p in crop]
+    found = colour.shirt_colours(spark.createDataFrame(rows, "crop_id long, h double, s double, v double"), "crop_id").orderBy("crop_id", "place").collect()
+    both = [r for r in found if r.crop_id == 0]
+    assert len(both) == 2 and min(both[0].h, 180 - both[0].h) < 6 and abs(both[1].h - 88) < 4
+    assert [r.crop_id for r in found] == [0, 0, 1, 2]
 
 
 def test_density_clusters(spark):

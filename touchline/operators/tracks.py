@@ -6,6 +6,7 @@ windows over track points (match_id, track_id, frame_index, t_ms, x, y, height).
 from __future__ import annotations
 
 import math
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import colour_gap, distance, hsv_distance, upper_median
-from touchline.operators import colour
+from touchline.operators import clips, colour
 from touchline.tables import Stage
 
 # fixed values: metres, metres a second, and milliseconds
@@ -38,39 +39,86 @@ def nearest_first(gaps: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]
     return out
 
 
-def track_players(detections: DataFrame) -> DataFrame:
+class Middle:
+    """The median colour of those added so far; each channel is kept in order, so one more costs a search and a shift."""
+
+    def __init__(self) -> None:
+        self.n, self.channels = 0, ([], [], [])
+
+    def add(self, kit: tuple[float, float, float]) -> None:
+        self.n += 1
+        for own, value in zip(self.channels, kit):
+            insort(own, value)
+
+    def middle(self) -> tuple[float, ...]:
+        return tuple((own[(self.n - 1) // 2] + own[self.n // 2]) / 2 for own in self.channels)
+
+
+def _under_camera(detections: DataFrame, camera: DataFrame) -> DataFrame:
+    """Detections with the ``scene`` (shot of the camera) and ``lens`` (map from that scene to this picture) of the camera row nearest to their frame.
+
+    Frames, not detections, look for their row. A match without camera rows has no lens."""
+    frames = detections.select("match_id", F.col("frame_index").alias("point_id")).distinct().withColumn("t_ms", F.col("point_id"))
+    track = camera.select("match_id", F.col("frame_index").alias("t_ms"), F.col("shot_id").alias("scene"), F.col("matrix").alias("lens"))
+    near = clips.as_of_nearest(frames, track, ["scene", "lens"])
+    return detections.join(near.select("match_id", F.col("point_id").alias("frame_index"), "scene", "lens"), ["match_id", "frame_index"])
+
+
+def _carried(anchors: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Where places of the scene (homogeneous) lie in a picture; not a number at or beyond its horizon."""
+    q = anchors @ lens.T
+    depth = np.where(np.abs(q[:, 2:]) < 1e-9, np.nan, q[:, 2:])
+    return q[:, :2] / depth
+
+
+def _lens(given: object) -> tuple[np.ndarray, np.ndarray]:
+    """A map and its inverse; both are not numbers where the picture can't be related to others."""
+    m = np.full((3, 3), np.nan) if given is None else np.array(given, float).reshape(3, 3)
+    return (m, np.linalg.inv(m)) if np.isfinite(m).all() and abs(np.linalg.det(m)) > 1e-12 else (np.full((3, 3), np.nan),) * 2
+
+
+def track_players(detections: DataFrame, camera: DataFrame | None = None) -> DataFrame:
     """``match_id, shot_id, frame_index, det_id, track_id`` of boxes (match_id, shot_id, frame_index, det_id, t_ms, x1, y1, x2, y2).
 
-    Live tracks take the detections of each frame, nearest first and within reach; a track that saw nothing for two seconds ends."""
+    Live tracks take the detections of each frame, nearest first and within reach; a track that saw nothing for two seconds ends.
+    With ``camera`` (match_id, frame_index, shot_id, matrix: from the start of its shot to the picture, as ``clips.compose_steps``
+    gives it) a track keeps its place in the scene and is looked for where the camera now shows that place, so a pan moves nobody.
+    Nothing links across shots of the camera, nor in frames whose map is missing or has no inverse. Each shot and scene is a group."""
+    moving = camera is not None
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, places, times, n = np.zeros(0, int), np.zeros((0, 2)), np.zeros(0), 0
+        ids, anchors, times, n = np.zeros(0, int), np.zeros((0, 3)), np.zeros(0), 0
         rows = []
         for frame, own in pdf.sort_values(["frame_index", "det_id"]).groupby("frame_index", sort=True):
             t = float(own.t_ms.iloc[0])
             live = t - times <= SILENCE_MS
-            ids, places, times = ids[live], places[live], times[live]
-            here = np.stack([(own.x1 + own.x2) / 2, (own.y1 + own.y2) / 2], axis=1).astype(float)
+            ids, anchors, times = ids[live], anchors[live], times[live]
+            lens, back = _lens(own.lens.iloc[0]) if moving else (np.eye(3),) * 2
+            here = np.stack([(own.x1 + own.x2) / 2, (own.y1 + own.y2) / 2, np.ones(len(own))], axis=1).astype(float)
             height = np.maximum((own.y2 - own.y1).to_numpy(float), 1.0)
-            gaps = np.sqrt(((places[:, None] - here[None]) ** 2).sum(axis=2))
+            gaps = np.sqrt(((_carried(anchors, lens)[:, None] - here[None, :, :2]) ** 2).sum(axis=2))
+            here = here @ back.T
             taken = np.full(len(own), -1)
             for r, c in nearest_first(gaps, gaps <= reach_px(height[None], (t - times[:, None]) / 1000)):
-                taken[c], places[r], times[r] = ids[r], here[c], t
+                taken[c], anchors[r], times[r] = ids[r], here[c], t
             fresh = np.flatnonzero(taken < 0)
             taken[fresh] = n + np.arange(len(fresh))
             n += len(fresh)
-            ids, places, times = np.concatenate([ids, taken[fresh]]), np.concatenate([places, here[fresh]]), np.concatenate([times, np.full(len(fresh), t)])
+            ids, anchors, times = np.concatenate([ids, taken[fresh]]), np.concatenate([anchors, here[fresh]]), np.concatenate([times, np.full(len(fresh), t)])
             rows.append(pd.DataFrame({"frame_index": frame, "det_id": own.det_id.to_numpy(), "track_id": taken}))
         out = pd.concat(rows)
-        out.insert(0, "match_id", key[0])
-        out.insert(1, "shot_id", key[1])
+        for at, (name, value) in enumerate(zip(own_key, key)):
+            out.insert(at, name, value)
         return out
 
-    schema = "match_id long, shot_id long, frame_index long, det_id long, track_id long"
-    own = detections.select("match_id", "shot_id", "frame_index", "det_id", "t_ms", "x1", "y1", "x2", "y2").groupBy("match_id", "shot_id").applyInPandas(fold, schema)
-    n = own.groupBy("match_id", "shot_id").agg((F.max("track_id") + 1).alias("n"))
-    before = n.select("match_id", "shot_id", F.coalesce(F.sum("n").over(Window.partitionBy("match_id").orderBy("shot_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return own.join(before, ["match_id", "shot_id"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("before")
+    own_key = ["match_id", "shot_id", "scene"]
+    own = detections.select("match_id", "shot_id", "frame_index", "det_id", "t_ms", "x1", "y1", "x2", "y2")
+    own = _under_camera(own, camera).withColumn("scene", F.coalesce("scene", F.lit(-1))) if moving else own.withColumn("scene", F.lit(0).cast("long"))
+    own = own.groupBy(*own_key).applyInPandas(fold, "match_id long, shot_id long, scene long, frame_index long, det_id long, track_id long")
+    n = own.groupBy(*own_key).agg((F.max("track_id") + 1).alias("n"))
+    earlier = Window.partitionBy("match_id").orderBy("shot_id", "scene").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.select(*own_key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return own.join(before, own_key).withColumn("track_id", F.col("track_id") + F.col("before")).drop("before", "scene")
 
 
 def summaries(points: DataFrame) -> DataFrame:
@@ -228,31 +276,40 @@ def chain_broken(tracks: DataFrame, width: float, gap_sec: float = 0.5, share: f
     """``match_id, track_id, chain_id``: tracks that begin where another ended just before are its continuation.
 
     ``tracks`` are (match_id, track_id, start_sec, end_sec, x0, y0, x1, y1, h, s, v). In order of their starts each takes the nearest
-    chain that ended at most ``gap_sec`` before, near enough for that gap and of a like colour. Folded per match: its tracks, not points."""
+    chain that ended at most ``gap_sec`` before, near enough for that gap and of a like colour. Chains that ended earlier are let go.
+    A match is cut where no track is seen for longer than ``gap_sec``: nothing is chained across, so each stretch is folded by itself."""
+    by_start = Window.partitionBy("match_id").orderBy("start_sec", "track_id")
+    seen_to = F.max("end_sec").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.when(F.col("start_sec") - seen_to <= gap_sec, 0).otherwise(1)
+    columns = ["match_id", "track_id", "start_sec", "end_sec", "x0", "y0", "x1", "y1", "h", "s", "v"]
+    parts = tracks.select(*columns, cut.alias("cut")).withColumn("stretch", F.sum("cut").over(by_start.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chains: list[dict] = []
+        chains: dict[int, dict] = {}
         out = []
+        n = 0
         for r in pdf.sort_values(["start_sec", "track_id"]).itertuples():
             kit = None if pd.isna(r.h) else (r.h, r.s, r.v)
+            chains = {k: c for k, c in chains.items() if r.start_sec - c["end"] <= gap_sec}
             fitting = []
-            for k, c in enumerate(chains):
+            for k, c in chains.items():
                 gap, d = r.start_sec - c["end"], math.dist((r.x0, r.y0), c["at"])
-                like = kit is None or c["kit"] is None or colour_gap(kit, c["kit"]) <= apart
-                if 0 < gap <= gap_sec and like and d <= share * width * (1 + gap / gap_sec):
+                if gap > 0 and d <= share * width * (1 + gap / gap_sec) and (kit is None or c["kits"].n == 0 or colour_gap(kit, c["kits"].middle()) <= apart):
                     fitting.append((d, k))
-            if fitting:
-                k = min(fitting)[1]
-            else:
-                k = len(chains)
-                chains.append({"kits": []})
-            c = chains[k]
-            c["kits"] += [kit] if kit else []
-            c |= {"end": r.end_sec, "at": (r.x1, r.y1), "kit": tuple(np.median(c["kits"], axis=0)) if c["kits"] else None}
-            out.append((key[0], r.track_id, k))
-        return pd.DataFrame(out, columns=["match_id", "track_id", "chain_id"])
-
-    return tracks.groupBy("match_id").applyInPandas(fold, "match_id long, track_id long, chain_id long")
+            k = min(fitting)[1] if fitting else n
+            if not fitting:
+                chains[k] = {"kits": Middle()}
+                n += 1
+            if kit:
+                chains[k]["kits"].add(kit)
+            chains[k] |= {"end": r.end_sec, "at": (r.x1, r.y1)}
+            out.append((*key, r.track_id, k))
+        return pd.DataFrame(out, columns=["match_id", "stretch", "track_id", "chain_id"])
+
+    own = parts.groupBy("match_id", "stretch").applyInPandas(fold, "match_id long, stretch long, track_id long, chain_id long")
+    n = own.groupBy("match_id", "stretch").agg((F.max("chain_id") + 1).alias("n"))
+    before = n.select("match_id", "stretch", F.coalesce(F.sum("n").over(Window.partitionBy("match_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return own.join(before, ["match_id", "stretch"]).select("match_id", "track_id", (F.col("chain_id") + F.col("before")).alias("chain_id"))
 
 
 def seed_tracks(detections: DataFrame, width: float, share: float = 0.08, apart: float = 60.0) -> DataFrame:
@@ -266,17 +323,20 @@ def seed_tracks(detections: DataFrame, width: float, share: float = 0.08, apart:
         for frame, own in pdf.sort_values(["frame_index", "det_id"]).groupby("frame_index", sort=True):
             free = {r.det_id: ((r.x, r.y), None if pd.isna(r.h) else (r.h, r.s, r.v)) for r in own.itertuples()}
             for k, t in enumerate(tracks):
-                kit = tuple(np.median(t["kits"], axis=0)) if t["kits"] else None
+                kit = t["kits"].middle() if t["kits"].n else None
                 like = [(math.dist(at, t["at"]), i) for i, (at, own_kit) in free.items() if kit is None or own_kit is None or colour_gap(own_kit, kit) <= apart]
                 best = min(like, default=None)
                 if best and best[0] <= share * width:
                     at, own_kit = free.pop(best[1])
                     t["at"] = at
-                    t["kits"] += [own_kit] if own_kit else []
+                    if own_kit:
+                        t["kits"].add(own_kit)
                     out.append((key[0], frame, best[1], k))
             for i, (at, own_kit) in free.items():
                 out.append((key[0], frame, i, len(tracks)))
-                tracks.append({"at": at, "kits": [own_kit] if own_kit else []})
+                tracks.append({"at": at, "kits": Middle()})
+                if own_kit:
+                    tracks[-1]["kits"].add(own_kit)
         return pd.DataFrame(out, columns=["clip_id", "frame_index", "det_id", "track_id"])
 
     return detections.groupBy("clip_id").applyInPandas(fold, "clip_id long, frame_index long, det_id long, track_id long")

@@ -58,6 +58,23 @@ def q_player_tracker(spark, sf_dir):
     return tracks.track_players(project(spark, sf_dir, "events", _DET))
 
 
+# one body a match, still in the scene, under a camera that swings by more than a player can run; scenes of 512 frames
+_PAN = "CAST(event_id * 37 % 400 AS DOUBLE)"
+_STILL = (
+    "user_id % 8 AS match_id", "0L AS shot_id", "event_id AS frame_index", "event_id AS det_id", "event_id * 100 AS t_ms", f"300 + {_PAN} AS x1", "100.0D + event_id % 3 AS y1", f"312 + {_PAN} AS x2", "130.0D + event_id % 3 AS y2",
+)
+_SWINGS = ("user_id % 8 AS match_id", "event_id AS frame_index", "CAST((event_id - event_id % 512) / 512 AS BIGINT) AS shot_id", f"array(1.0D, 0.0D, {_PAN}, 0.0D, 1.0D, 0.0D, 0.0D, 0.0D, 1.0D) AS matrix")
+
+
+@query(
+    """WITH d AS (SELECT user_id % 8 AS match_id, event_id AS f, (event_id - event_id % 512) // 512 AS scene FROM events),
+b AS (SELECT *, CASE WHEN lag(scene) OVER w = scene AND (f - lag(f) OVER w) * 100 <= 2000 THEN 0 ELSE 1 END AS opens FROM d WINDOW w AS (PARTITION BY match_id ORDER BY f))
+SELECT match_id, 0::BIGINT AS shot_id, f AS frame_index, f AS det_id, (sum(opens) OVER (PARTITION BY match_id ORDER BY f) - 1)::BIGINT AS track_id FROM b"""
+)
+def q_panned_tracks(spark, sf_dir):
+    return tracks.track_players(project(spark, sf_dir, "events", _STILL), project(spark, sf_dir, "events", _SWINGS))
+
+
 @query()
 def q_identity_fold(spark, sf_dir):
     expressions = (
