@@ -90,7 +90,9 @@ def test_many_bodies_under_a_camera_equal_a_plain_replay(spark):
     assert len(got) == len(dets) and groups([((r.frame_index, r.det_id), r.track_id) for r in got]) == groups(list(want.items()))
 
 
-def test_chains_equal_a_plain_replay(spark):
+@pytest.mark.parametrize("part_rows", [1, 512])
+def test_chains_equal_a_plain_replay(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(tracks, "PART_ROWS", part_rows)
     rng = random.Random(9)
     rows = []
     for m in range(4):

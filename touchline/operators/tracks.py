@@ -20,6 +20,8 @@ from touchline.tables import Stage
 # fixed values: metres, metres a second, and milliseconds
 HEIGHT_M, SLACK_M, SPEED_M_S, SILENCE_MS = 1.75, 1.2, 11.0, 2000
 
+PART_ROWS = 512  # a group of fewer rows costs more to hand over than to fold
+
 
 def reach_px(height: np.ndarray, seconds: np.ndarray) -> np.ndarray:
     """How far a player of this height in the picture can have come."""
@@ -87,38 +89,41 @@ def track_players(detections: DataFrame, camera: DataFrame | None = None) -> Dat
     moving = camera is not None
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_index", "det_id"], ignore_index=True)
+        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        centres = np.column_stack([boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3], np.full(len(pdf), 2.0)]) / 2
+        heights, at = np.maximum(boxes[:, 3] - boxes[:, 1], 1.0), pdf.t_ms.to_numpy(float)
+        taken, opens = np.full(len(pdf), -1), np.zeros(len(pdf), int)
         ids, anchors, times, n = np.zeros(0, int), np.zeros((0, 3)), np.zeros(0), 0
-        rows = []
-        for frame, own in pdf.sort_values(["frame_index", "det_id"]).groupby("frame_index", sort=True):
-            t = float(own.t_ms.iloc[0])
+        starts = np.flatnonzero(np.diff(pdf.frame_index.to_numpy(), prepend=-1 - abs(pdf.frame_index.iloc[0])))
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            t, here, own = at[a], centres[a:b], taken[a:b]
             live = t - times <= SILENCE_MS
             ids, anchors, times = ids[live], anchors[live], times[live]
-            lens, back = _lens(own.lens.iloc[0]) if moving else (np.eye(3),) * 2
-            here = np.stack([(own.x1 + own.x2) / 2, (own.y1 + own.y2) / 2, np.ones(len(own))], axis=1).astype(float)
-            height = np.maximum((own.y2 - own.y1).to_numpy(float), 1.0)
+            lens, back = _lens(pdf.lens.iloc[a]) if moving else (np.eye(3),) * 2
             gaps = np.sqrt(((_carried(anchors, lens)[:, None] - here[None, :, :2]) ** 2).sum(axis=2))
             here = here @ back.T
-            taken = np.full(len(own), -1)
-            for r, c in nearest_first(gaps, gaps <= reach_px(height[None], (t - times[:, None]) / 1000)):
-                taken[c], anchors[r], times[r] = ids[r], here[c], t
-            fresh = np.flatnonzero(taken < 0)
-            taken[fresh] = n + np.arange(len(fresh))
+            for r, c in nearest_first(gaps, gaps <= reach_px(heights[None, a:b], (t - times[:, None]) / 1000)):
+                own[c], anchors[r], times[r] = ids[r], here[c], t
+            fresh = np.flatnonzero(own < 0)
+            own[fresh] = n + np.arange(len(fresh))
+            opens[a + fresh] = 1
             n += len(fresh)
-            ids, anchors, times = np.concatenate([ids, taken[fresh]]), np.concatenate([anchors, here[fresh]]), np.concatenate([times, np.full(len(fresh), t)])
-            rows.append(pd.DataFrame({"frame_index": frame, "det_id": own.det_id.to_numpy(), "track_id": taken}))
-        out = pd.concat(rows)
-        for at, (name, value) in enumerate(zip(own_key, key)):
-            out.insert(at, name, value)
-        return out
+            ids, anchors, times = np.concatenate([ids, own[fresh]]), np.concatenate([anchors, here[fresh]]), np.concatenate([times, np.full(len(fresh), t)])
+        return pdf[[*own_key, "frame_index", "det_id"]].assign(track_id=taken, opens=opens)
 
     own_key = ["match_id", "shot_id", "scene"]
     own = detections.select("match_id", "shot_id", "frame_index", "det_id", "t_ms", "x1", "y1", "x2", "y2")
     own = _under_camera(own, camera).withColumn("scene", F.coalesce("scene", F.lit(-1))) if moving else own.withColumn("scene", F.lit(0).cast("long"))
-    own = own.groupBy(*own_key).applyInPandas(fold, "match_id long, shot_id long, scene long, frame_index long, det_id long, track_id long")
-    n = own.groupBy(*own_key).agg((F.max("track_id") + 1).alias("n"))
-    earlier = Window.partitionBy("match_id").orderBy("shot_id", "scene").rowsBetween(Window.unboundedPreceding, -1)
-    before = n.select(*own_key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return own.join(before, own_key).withColumn("track_id", F.col("track_id") + F.col("before")).drop("before", "scene")
+    own = own.groupBy(*own_key).applyInPandas(fold, "match_id long, shot_id long, scene long, frame_index long, det_id long, track_id long, opens long")
+    return _numbered_through(own, "track_id", "shot_id", "scene").drop("scene")
+
+
+def _numbered_through(rows: DataFrame, number: str, *part: str) -> DataFrame:
+    """Numbers that begin at 0 in each part of a match, raised by what the parts before have; ``opens`` is 1 where a number is first used."""
+    to_here = F.sum("opens").over(Window.partitionBy("match_id").orderBy(*part))  # with all rows of the same part
+    here = F.sum("opens").over(Window.partitionBy("match_id", *part))
+    return rows.withColumn(number, F.col(number) + to_here - here).drop("opens")
 
 
 def summaries(points: DataFrame) -> DataFrame:
@@ -277,12 +282,15 @@ def chain_broken(tracks: DataFrame, width: float, gap_sec: float = 0.5, share: f
 
     ``tracks`` are (match_id, track_id, start_sec, end_sec, x0, y0, x1, y1, h, s, v). In order of their starts each takes the nearest
     chain that ended at most ``gap_sec`` before, near enough for that gap and of a like colour. Chains that ended earlier are let go.
-    A match is cut where no track is seen for longer than ``gap_sec``: nothing is chained across, so each stretch is folded by itself."""
+    A match is cut where no track is seen for longer than ``gap_sec``, as nothing is chained across; stretches that begin within the
+    same ``PART_ROWS`` tracks of a match are folded together, the others by themselves."""
     by_start = Window.partitionBy("match_id").orderBy("start_sec", "track_id")
+    so_far = by_start.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(by_start) - 1
     seen_to = F.max("end_sec").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(F.col("start_sec") - seen_to <= gap_sec, 0).otherwise(1)
+    opening = F.when(F.coalesce(F.col("start_sec") - seen_to > gap_sec, F.lit(True)), place)
     columns = ["match_id", "track_id", "start_sec", "end_sec", "x0", "y0", "x1", "y1", "h", "s", "v"]
-    parts = tracks.select(*columns, cut.alias("cut")).withColumn("stretch", F.sum("cut").over(by_start.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    parts = tracks.select(*columns, opening.alias("opening")).withColumn("part", F.floor(F.max("opening").over(so_far) / PART_ROWS)).drop("opening")
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         chains: dict[int, dict] = {}
@@ -303,13 +311,11 @@ def chain_broken(tracks: DataFrame, width: float, gap_sec: float = 0.5, share: f
             if kit:
                 chains[k]["kits"].add(kit)
             chains[k] |= {"end": r.end_sec, "at": (r.x1, r.y1)}
-            out.append((*key, r.track_id, k))
-        return pd.DataFrame(out, columns=["match_id", "stretch", "track_id", "chain_id"])
+            out.append((*key, r.track_id, k, 0 if fitting else 1))
+        return pd.DataFrame(out, columns=["match_id", "part", "track_id", "chain_id", "opens"])
 
-    own = parts.groupBy("match_id", "stretch").applyInPandas(fold, "match_id long, stretch long, track_id long, chain_id long")
-    n = own.groupBy("match_id", "stretch").agg((F.max("chain_id") + 1).alias("n"))
-    before = n.select("match_id", "stretch", F.coalesce(F.sum("n").over(Window.partitionBy("match_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return own.join(before, ["match_id", "stretch"]).select("match_id", "track_id", (F.col("chain_id") + F.col("before")).alias("chain_id"))
+    own = parts.groupBy("match_id", "part").applyInPandas(fold, "match_id long, part long, track_id long, chain_id long, opens long")
+    return _numbered_through(own, "chain_id", "part").drop("part")
 
 
 def seed_tracks(detections: DataFrame, width: float, share: float = 0.08, apart: float = 60.0) -> DataFrame:
