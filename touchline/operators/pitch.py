@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.tables import Stage
+
 # The 33 spots of a pitch as (name, share of the length, share of the width, metres added along, metres added across).
 LANDMARKS = (
     ("corner_near_left", 0.0, 0.0, 0.0, 0.0),
@@ -52,8 +54,8 @@ def landmarks(spark: SparkSession) -> DataFrame:
 
 
 def place(clicks: DataFrame, length: float = LENGTH, width: float = WIDTH) -> DataFrame:
-    """Clicks (match_id, frame_index, landmark, x, y) with the spot of their landmark; unknown landmarks drop out."""
-    spots = landmarks(clicks.sparkSession).select("landmark", (F.col("l") * length + F.col("dx")).alias("px"), (F.col("w") * width + F.col("dy")).alias("py"))
+    """Clicks (match_id, frame_index, landmark, x, y) with the spot (px, py) of their landmark and its parts; unknown landmarks drop out."""
+    spots = landmarks(clicks.sparkSession).select("*", (F.col("l") * length + F.col("dx")).alias("px"), (F.col("w") * width + F.col("dy")).alias("py"))
     return clicks.join(F.broadcast(spots), "landmark")  # 33 rows, always
 
 
@@ -170,35 +172,49 @@ def camera_map(pose: np.ndarray, centre: tuple[float, float]) -> np.ndarray:
     return lens @ np.column_stack([axes[:, 0], axes[:, 1], -axes @ np.array([x, y, height])])
 
 
+def look_from(turns: np.ndarray, roll: float) -> np.ndarray:
+    """The axes right, down and forward (n, 3, 3) of cameras by pan and tilt (n, 2) and a shared roll."""
+    (sp, st), (cp, ct) = np.sin(turns).T, np.cos(turns).T
+    flat = np.zeros_like(sp)
+    right, down, forward = np.stack([sp, -cp, flat], -1), np.stack([-cp * st, -sp * st, -ct], -1), np.stack([cp * ct, sp * ct, -st], -1)
+    return np.stack([np.cos(roll) * right + np.sin(roll) * down, np.cos(roll) * down - np.sin(roll) * right, forward], 1)
+
+
 class PoseProblem:
     """Clicks of one match against one camera whose place, height, focal length and roll are shared, with pan and tilt per frame.
 
-    The vector of unknowns is x, y, height, focal length, roll, then pan and tilt of each frame."""
+    The vector of unknowns is x, y, height, focal length, roll, then pan and tilt of each frame and, with ``shares``, the length and
+    width of the pitch at the end: a spot is then its shares (l, w) of these plus the metres of its landmark (given in ``metres``)."""
 
     LOW, HIGH = (-40.0, -60.0, 1.2, 150.0, np.radians(-12.0)), (160.0, -0.5, 45.0, 6000.0, np.radians(12.0))
-    BEHIND, SOFT = 1e4, 6.0
+    SIZES = ((60.0, 40.0), (125.0, 90.0))
+    FAR, NEAR_M, SOFT = 1e4, 0.5, 6.0
 
-    def __init__(self, frame: np.ndarray, metres: np.ndarray, pixels: np.ndarray, centre: tuple[float, float]) -> None:
+    def __init__(self, frame: np.ndarray, metres: np.ndarray, pixels: np.ndarray, centre: tuple[float, float], shares: np.ndarray | None = None) -> None:
         self.frames, self.of = np.unique(frame, return_inverse=True)
-        self.metres, self.pixels, self.centre = metres, pixels, centre
+        self.metres, self.pixels, self.centre, self.shares = metres, pixels, centre, shares
         n = len(self.frames)
-        self.low = np.concatenate([self.LOW, np.tile([-np.pi, np.radians(1.0)], n)])
-        self.high = np.concatenate([self.HIGH, np.tile([np.pi, np.radians(85.0)], n)])
+        sizes = self.SIZES if shares is not None else ((), ())
+        self.low = np.concatenate([self.LOW, np.tile([-np.pi, np.radians(1.0)], n), sizes[0]])
+        self.high = np.concatenate([self.HIGH, np.tile([np.pi, np.radians(85.0)], n), sizes[1]])
 
-    def start(self, pan: float, tilt: float, length: float = LENGTH) -> np.ndarray:
-        return np.clip(np.concatenate([[length / 2, -12.0, 8.0, 800.0, 0.0], np.tile([pan, tilt], len(self.frames))]), self.low, self.high)
+    def start(self, pan: float, tilt: float, length: float = LENGTH, width: float = WIDTH) -> np.ndarray:
+        size = [length, width] if self.shares is not None else []
+        return np.clip(np.concatenate([[length / 2, -12.0, 8.0, 800.0, 0.0], np.tile([pan, tilt], len(self.frames)), size]), self.low, self.high)
 
     def errors(self, v: np.ndarray) -> np.ndarray:
-        """Differences in pixels, two a click; a point behind the camera is far off."""
-        out = np.full_like(self.pixels, self.BEHIND)
-        for k in range(len(self.frames)):
-            own = self.of == k
-            q = np.column_stack([self.metres[own], np.ones(own.sum())]) @ camera_map(np.array([*v[:3], v[5 + 2 * k], v[6 + 2 * k], *v[3:5]]), self.centre).T
-            seen = np.full((own.sum(), 2), self.BEHIND)
-            ahead = q[:, 2] > 1e-9
-            seen[ahead] = q[ahead, :2] / q[ahead, 2:]
-            out[own] = seen
-        return np.clip(out - self.pixels, -self.BEHIND, self.BEHIND)
+        """Differences in pixels, two a click, at most ``FAR``: all clicks at once, each along the axes of its frame.
+
+        Depths below ``NEAR_M`` go on as an exponential, and what they lack is added downwards squared. So a point behind the camera
+        lies ever further below the picture, value and slope change without a jump, and the fit can climb back from there."""
+        k = len(self.frames)
+        spots = self.metres if self.shares is None else self.metres + self.shares * v[-2:]
+        rays = np.column_stack([spots, np.zeros(len(spots))]) - v[:3]
+        right, down, depth = np.einsum("nij,nj->in", look_from(v[5 : 5 + 2 * k].reshape(k, 2), v[4])[self.of], rays)
+        lack = np.maximum(self.NEAR_M - depth, 0.0)
+        depth = np.where(lack > 0, self.NEAR_M * np.exp(-np.minimum(lack / self.NEAR_M, 60.0)), depth)
+        seen = np.stack([right, down + lack**2], axis=1) * (v[3] / depth)[:, None] + self.centre
+        return np.clip(seen - self.pixels, -self.FAR, self.FAR)
 
     def solve(self, v: np.ndarray, rounds: int) -> tuple[np.ndarray, float, float]:
         """Damped least squares on errors that count less the larger they are; the unknowns, the median and the root mean square."""
@@ -229,28 +245,49 @@ class PoseProblem:
 PANS, TILTS, COARSE_ROUNDS, FINE_ROUNDS, FINALISTS = 12, (10.0, 28.0), 12, 120, 3
 
 
-def fit_poses(placed: DataFrame, centre: tuple[float, float] = (320.0, 180.0)) -> DataFrame:
-    """``match_id, pose, frames, median_px, rms_px``: the camera of each match from placed clicks (match_id, frame_index, x, y, px, py).
+GOOD_SEED_PX = 12.0  # fixed value: a seed that ends above this median is not trusted
 
-    Twelve pans and two tilts are rows of their own: each match and start is solved coarsely by itself, the three best starts are
-    solved to the end, and the best of those stands. A match has a few dozen clicks."""
-    starts = placed.sparkSession.createDataFrame([(k * len(TILTS) + j, float(np.radians(30.0 * k - 150)), float(np.radians(t))) for k in range(PANS) for j, t in enumerate(TILTS)], "start int, pan double, tilt double")
-    usable = placed.groupBy("match_id").agg(F.count("*").alias("n")).filter("n >= 4").select("match_id")
-    clicks = placed.join(usable, "match_id").select("match_id", "frame_index", "x", "y", "px", "py")
 
-    def problem(pdf: pd.DataFrame) -> PoseProblem:
-        pdf = pdf.sort_values(["frame_index", "px", "py"])
-        return PoseProblem(pdf["frame_index"].to_numpy(), pdf[["px", "py"]].to_numpy(float), pdf[["x", "y"]].to_numpy(float), centre)
+def fit_poses(placed: DataFrame, centre: tuple[float, float] = (320.0, 180.0), seeds: DataFrame | None = None, free_size: bool = False, stage: Stage | None = None) -> DataFrame:
+    """``match_id, pose, frames, median_px, rms_px, seeded``: the camera of each match from placed clicks (match_id, frame_index, x, y, px, py).
 
-    def solved(pdf: pd.DataFrame, v: np.ndarray, rounds: int) -> pd.DataFrame:
-        p = problem(pdf)
-        v, median, rms = p.solve(v if v is not None else p.start(pdf["pan"].iloc[0], pdf["tilt"].iloc[0]), rounds)
+    Twelve pans and two tilts are rows of their own: each match and start is solved coarsely by itself, the three best starts are
+    solved to the end, and the best of those stands. A match has a few dozen clicks. ``seeds`` (match_id, pose; one a match) are
+    solved first: matches whose seed ends well are done, those whose seed doesn't, or is null or not of the right length, are
+    searched as if they had none, and the better of the two stands. With ``free_size`` (clicks as from ``place``, with l, w, dx, dy) the
+    length and width of the pitch are the last two unknowns of ``pose``."""
+    stage = stage or Stage(placed.sparkSession)
+    starts = F.explode(F.array(*[F.struct(F.lit(k * len(TILTS) + j).alias("start"), F.lit(float(np.radians(30.0 * k - 150))).alias("pan"), F.lit(float(np.radians(t))).alias("tilt")) for k in range(PANS) for j, t in enumerate(TILTS)]))
+    usable = placed.groupBy("match_id").agg(F.count("*").alias("n")).filter("n >= 4").select("match_id")
+    parts = ("dx", "dy", "l", "w") if free_size else ("px", "py")
+    clicks = placed.join(usable, "match_id").select("match_id", "frame_index", "x", "y", *parts)
+
+    def solved(pdf: pd.DataFrame, rounds: int) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_index", *parts, "x", "y"])
+        p = PoseProblem(pdf["frame_index"].to_numpy(), pdf[[*parts[:2]]].to_numpy(float), pdf[["x", "y"]].to_numpy(float), centre, pdf[["l", "w"]].to_numpy(float) if free_size else None)
+        if "begin" in pdf:
+            begin = np.array([] if pdf["begin"].iloc[0] is None else pdf["begin"].iloc[0], float)
+            if len(begin) != len(p.low) or not np.isfinite(begin).all():
+                return pd.DataFrame(columns=["match_id", "start", "pose", "frames", "median_px", "rms_px"])
+            begin = np.clip(begin, p.low, p.high)
+        else:
+            begin = p.start(pdf["pan"].iloc[0], pdf["tilt"].iloc[0])
+        v, median, rms = p.solve(begin, rounds)
         return pd.DataFrame({"match_id": [pdf["match_id"].iloc[0]], "start": [pdf["start"].iloc[0]], "pose": [v.tolist()], "frames": [p.frames.tolist()], "median_px": [median], "rms_px": [rms]})
 
     schema = "match_id long, start int, pose array<double>, frames array<long>, median_px double, rms_px double"
-    coarse = clicks.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(PANS * len(TILTS) - 1)))).join(F.broadcast(starts), "start")  # 24 rows
-    coarse = coarse.groupBy("match_id", "start").applyInPandas(lambda pdf: solved(pdf, None, COARSE_ROUNDS), schema)
+
+    def fit(rows: DataFrame, rounds: int) -> DataFrame:
+        return rows.groupBy("match_id", "start").applyInPandas(lambda pdf: solved(pdf, rounds), schema)
+
+    polished = None
+    if seeds is not None:
+        given = clicks.join(seeds.select("match_id", F.col("pose").alias("begin")), "match_id").withColumn("start", F.lit(-1))
+        polished = stage.write(fit(given, FINE_ROUNDS))
+        clicks = clicks.join(polished.filter(F.col("median_px") <= GOOD_SEED_PX).select("match_id"), "match_id", "left_anti")
+    coarse = fit(clicks.select("*", starts.alias("o")).select("*", "o.*").drop("o"), COARSE_ROUNDS)
     ranked = coarse.withColumn("k", F.row_number().over(Window.partitionBy("match_id").orderBy("median_px", "start"))).filter(F.col("k") <= FINALISTS)
-    again = clicks.join(ranked.select("match_id", "start", F.col("pose").alias("begin")), "match_id")
-    fine = again.groupBy("match_id", "start").applyInPandas(lambda pdf: solved(pdf, np.array(pdf["begin"].iloc[0], float), FINE_ROUNDS), schema)
-    return fine.groupBy("match_id").agg(F.min_by(F.struct("pose", "frames", "median_px", "rms_px"), F.struct("median_px", "start")).alias("b")).select("match_id", "b.*")
+    fine = fit(clicks.join(ranked.select("match_id", "start", F.col("pose").alias("begin")), "match_id"), FINE_ROUNDS)
+    fine = fine if polished is None else fine.unionByName(polished)
+    best = fine.groupBy("match_id").agg(F.min_by(F.struct("pose", "frames", "median_px", "rms_px", (F.col("start") < 0).alias("seeded")), F.struct("median_px", "start")).alias("b"))
+    return best.select("match_id", "b.*")
