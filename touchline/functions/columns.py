@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from touchline.config import DEFAULT, Config
@@ -16,6 +16,15 @@ def rounded(value: Column, places: int = 4) -> Column:
     return F.floor(value * 10.0**places + 0.5) / 10.0**places
 
 
+def both_ways(keys: tuple[str, ...], order: tuple[str, ...], own: bool = True) -> tuple[WindowSpec, WindowSpec]:
+    """Windows over the rows up to each row (itself included if ``own``), in order and from the end; ``F.last`` over the second is the next one.
+
+    A frame that ends unbounded is read anew for each row, which makes a group quadratic; from the end it is one pass."""
+    to = 0 if own else -1
+    back, ahead = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return back.rowsBetween(Window.unboundedPreceding, to), ahead.rowsBetween(Window.unboundedPreceding, to)
+
+
 def angle_between(ax: Column, ay: Column, bx: Column, by: Column, least: float = 0.0) -> Column:
     """Degrees between two vectors; 0 if one of them is null-length."""
     n1, n2 = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by * by)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.columns import both_ways
+from touchline.operators.grouped import fold_groups
 from touchline.operators.pitch import inverse, multiply
 
 
@@ -31,10 +32,8 @@ def as_of_nearest(points: DataFrame, track: DataFrame, values: list[str]) -> Dat
     both = points.select("match_id", "point_id", "t_ms", F.lit(None).cast(track.select(held.alias("s")).schema["s"].dataType).alias("s"), F.lit(1).alias("kind")).unionByName(
         track.select("match_id", F.lit(None).cast("long").alias("point_id"), "t_ms", held.alias("s"), F.lit(0).alias("kind"))
     )
-    w = Window.partitionBy("match_id").orderBy("t_ms", "kind")
-    before = F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"b": before, "a": after}).filter("kind = 1")
+    back, ahead = both_ways(("match_id",), ("t_ms", "kind"))
+    found = both.withColumns({"b": F.last("s", True).over(back), "a": F.last("s", True).over(ahead)}).filter("kind = 1")
     near = F.when(F.col("a").isNull() | (F.col("t_ms") - F.col("b.at") <= F.col("a.at") - F.col("t_ms")), F.col("b")).otherwise(F.col("a"))
     return found.withColumn("n", near).select("match_id", "point_id", "t_ms", F.col("n.at").alias("at_ms"), *[F.col(f"n.{v}").alias(v) for v in values])
 
@@ -44,9 +43,8 @@ def interpolate(points: DataFrame, track: DataFrame, value: str) -> DataFrame:
     both = points.select("match_id", "point_id", "t_ms", F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind")).unionByName(
         track.select("match_id", F.lit(None).cast("long").alias("point_id"), "t_ms", F.col("t_ms").alias("at"), F.col(value).cast("double").alias("v"), F.lit(0).alias("kind"))
     )
-    w = Window.partitionBy("match_id").orderBy("t_ms", "kind")
-    back, fore = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    s = both.withColumns({"t0": F.last("at", True).over(back), "v0": F.last("v", True).over(back), "t1": F.first("at", True).over(fore), "v1": F.first("v", True).over(fore)}).filter("kind = 1")
+    back, ahead = both_ways(("match_id",), ("t_ms", "kind"))
+    s = both.withColumns({"t0": F.last("at", True).over(back), "v0": F.last("v", True).over(back), "t1": F.last("at", True).over(ahead), "v1": F.last("v", True).over(ahead)}).filter("kind = 1")
     share = (F.col("t_ms") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     out = F.when(F.col("t1").isNull(), F.col("v0")).when(F.col("t0").isNull(), F.col("v1")).when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + share * (F.col("v1") - F.col("v0")))
     return s.select("match_id", "point_id", out.alias(value))
@@ -61,15 +59,14 @@ def accumulate(track: DataFrame) -> DataFrame:
 def compose_steps(steps: DataFrame) -> DataFrame:
     """``match_id, shot_id, frame_index, matrix``: the product of the 3x3 steps (``step``, nine numbers) since the shot began; an unmeasured step is none."""
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
+    def fold(key: tuple, c: dict[str, np.ndarray]) -> tuple:
         now, out = np.eye(3), []
-        for s in pdf["step"]:
+        for s in c["step"]:
             now = now if s is None else np.asarray(s, float).reshape(3, 3) @ now
             out.append(now.ravel().tolist())
-        return pd.DataFrame({"match_id": key[0], "shot_id": key[1], "frame_index": pdf["frame_index"].to_numpy(), "matrix": out})
+        return *([k] * len(out) for k in key), c["frame_index"], out
 
-    return steps.select("match_id", "shot_id", "frame_index", "step").groupBy("match_id", "shot_id").applyInPandas(fold, "match_id long, shot_id long, frame_index long, matrix array<double>")
+    return fold_groups(steps.select("match_id", "shot_id", "frame_index", "step"), ("match_id", "shot_id"), ("frame_index",), fold, "match_id long, shot_id long, frame_index long, matrix array<double>")
 
 
 def relative_maps(pairs: DataFrame, track: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.config import DEFAULT, Config
-from touchline.functions.columns import angle_between, distance, listed
+from touchline.functions.columns import angle_between, both_ways, distance, listed
 
 
 def split_tracks(samples: DataFrame) -> DataFrame:
@@ -182,11 +182,11 @@ def hold_positions(samples: DataFrame) -> DataFrame:
 
     Held samples are interpolated ones with a position; a run of them counts only where a detection stands directly on both sides in
     the same shot. A hold that ends otherwise has nothing to go by and keeps its place."""
-    w = Window.partitionBy("match_id", "shot_id").orderBy("frame_index")
+    back, ahead = both_ways(("match_id", "shot_id"), ("frame_index",), own=False)
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
     held = F.col("interpolated") & ~F.col("detected") & placed
     edge = F.when(~held, F.struct("t_ms", "x", "y", (F.col("detected") & placed).alias("seen")))
-    both = samples.withColumns({"held": held, "before": F.last(edge, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(edge, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    both = samples.withColumns({"held": held, "before": F.last(edge, True).over(back), "after": F.last(edge, True).over(ahead)})
     span = F.col("after.t_ms") - F.col("before.t_ms")
     share = (F.col("t_ms") - F.col("before.t_ms")) / span
     moved = F.col("held") & F.coalesce(F.col("before.seen") & F.col("after.seen") & (span > 0), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.config import DEFAULT, Config
-from touchline.functions.columns import rounded
+from touchline.functions.columns import both_ways, rounded
 
 BIN_SEC = 60.0  # ranges are met in bins of this length
 
@@ -46,8 +46,7 @@ def _beside(points: DataFrame, ranges: DataFrame, at: str, *extra: str):
     """Points and ranges of a match sorted together: the points as rows, and windows that look back and ahead over the ranges."""
     r = ranges.select("match_id", F.struct(F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), *extra).alias("__r"), F.col("start_sec").cast("double").alias("__at"))
     both = points.withColumn("__at", F.col(at).cast("double")).withColumn("__p", F.lit(1)).unionByName(r.withColumn("__p", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("match_id").orderBy("__at", "__p")
-    return both, w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    return both, *both_ways(("match_id",), ("__at", "__p"))
 
 
 def _flagged(points: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
@@ -88,7 +87,7 @@ def intersect(pieces: DataFrame, ranges: DataFrame, width: float = BIN_SEC) -> D
 def clamp(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each time moved to the nearest place in the ranges of its match (the earlier range if two are as near); ranges are disjoint."""
     both, back, ahead = _beside(points.select("match_id", "point_id", "t_sec"), ranges, "t_sec")
-    seen = both.withColumns({"__before": F.last("__r", True).over(back), "__after": F.first("__r", True).over(ahead)}).filter("__p = 1")
+    seen = both.withColumns({"__before": F.last("__r", True).over(back), "__after": F.last("__r", True).over(ahead)}).filter("__p = 1")
     t, low, high = F.col("t_sec"), F.when(F.col("__before").isNotNull(), F.least(F.col("t_sec"), F.col("__before.b"))), F.col("__after.a")
     near = F.when(high.isNull() | (low.isNotNull() & (t - low <= high - t)), low).otherwise(high)
     moved = F.when(near == t, t).otherwise(rounded(near, 3))
