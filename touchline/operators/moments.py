@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.columns import both_ways
+
 # fixed values
 SLOTS, GOLDEN, BAND = (0.10, 0.35, 0.60, 0.85), 0.6180339887498949, (0.03, 0.95)
 ZOOM_HEIGHT, LEAST_GRASS, STILL_PX, CUT, LEAST_PLAYERS = 0.35, 0.12, 6.0, 0.4, 6
@@ -86,7 +88,6 @@ def spread(clips: DataFrame, n: int) -> DataFrame:
 def nearby(candidates: DataFrame, avoid: DataFrame, within: float = SEPARATION_SEC) -> DataFrame:
     """Adds ``near_others``: whether a moment to avoid (match_id, t_sec) lies within some seconds; one sorted union per match."""
     both = candidates.withColumn("__c", F.lit(1)).unionByName(avoid.select("match_id", "t_sec", F.col("t_sec").alias("__a"), F.lit(0).alias("__c")), allowMissingColumns=True)
-    w = Window.partitionBy("match_id").orderBy("t_sec", "__c")
-    back, ahead = F.last("__a", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("__a", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = (F.last("__a", True).over(w) for w in both_ways(("match_id",), ("t_sec", "__c")))
     near = F.coalesce(F.col("t_sec") - back < within, F.lit(False)) | F.coalesce(ahead - F.col("t_sec") < within, F.lit(False))
     return both.withColumn("near_others", near).filter("__c = 1").drop("__c", "__a")
