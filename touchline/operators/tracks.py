@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import colour_gap, distance, hsv_distance, upper_median
+from touchline.functions.columns import both_ways, colour_gap, distance, hsv_distance, upper_median
 from touchline.operators import clips, colour
+from touchline.operators.grouped import fold_groups
 from touchline.tables import Stage
 
 # fixed values: metres, metres a second, and milliseconds
@@ -88,34 +89,34 @@ def track_players(detections: DataFrame, camera: DataFrame | None = None) -> Dat
     Nothing links across shots of the camera, nor in frames whose map is missing or has no inverse. Each shot and scene is a group."""
     moving = camera is not None
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "det_id"], ignore_index=True)
-        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        centres = np.column_stack([boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3], np.full(len(pdf), 2.0)]) / 2
-        heights, at = np.maximum(boxes[:, 3] - boxes[:, 1], 1.0), pdf.t_ms.to_numpy(float)
-        taken, opens = np.full(len(pdf), -1), np.zeros(len(pdf), int)
+    def fold(key: tuple, c: dict[str, np.ndarray]) -> tuple:
+        size, frames = len(c["frame_index"]), c["frame_index"]
+        boxes = np.column_stack([c[k] for k in ("x1", "y1", "x2", "y2")]).astype(float)
+        centres = np.column_stack([boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3], np.full(size, 2.0)]) / 2
+        heights, at = np.maximum(boxes[:, 3] - boxes[:, 1], 1.0), c["t_ms"].astype(float)
+        taken, opens = np.full(size, -1), np.zeros(size, int)
         ids, anchors, times, n = np.zeros(0, int), np.zeros((0, 3)), np.zeros(0), 0
-        starts = np.flatnonzero(np.diff(pdf.frame_index.to_numpy(), prepend=-1 - abs(pdf.frame_index.iloc[0])))
-        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+        starts = np.flatnonzero(np.diff(frames, prepend=-1 - abs(frames[0])))
+        for a, b in zip(starts, [*starts[1:], size]):
             t, here, own = at[a], centres[a:b], taken[a:b]
             live = t - times <= SILENCE_MS
             ids, anchors, times = ids[live], anchors[live], times[live]
-            lens, back = _lens(pdf.lens.iloc[a]) if moving else (np.eye(3),) * 2
+            lens, back = _lens(c["lens"][a]) if moving else (np.eye(3),) * 2
             gaps = np.sqrt(((_carried(anchors, lens)[:, None] - here[None, :, :2]) ** 2).sum(axis=2))
             here = here @ back.T
-            for r, c in nearest_first(gaps, gaps <= reach_px(heights[None, a:b], (t - times[:, None]) / 1000)):
-                own[c], anchors[r], times[r] = ids[r], here[c], t
+            for r, k in nearest_first(gaps, gaps <= reach_px(heights[None, a:b], (t - times[:, None]) / 1000)):
+                own[k], anchors[r], times[r] = ids[r], here[k], t
             fresh = np.flatnonzero(own < 0)
             own[fresh] = n + np.arange(len(fresh))
             opens[a + fresh] = 1
             n += len(fresh)
             ids, anchors, times = np.concatenate([ids, own[fresh]]), np.concatenate([anchors, here[fresh]]), np.concatenate([times, np.full(len(fresh), t)])
-        return pdf[[*own_key, "frame_index", "det_id"]].assign(track_id=taken, opens=opens)
+        return *([k] * size for k in key), frames, c["det_id"], taken, opens
 
-    own_key = ["match_id", "shot_id", "scene"]
+    own_key = ("match_id", "shot_id", "scene")
     own = detections.select("match_id", "shot_id", "frame_index", "det_id", "t_ms", "x1", "y1", "x2", "y2")
     own = _under_camera(own, camera).withColumn("scene", F.coalesce("scene", F.lit(-1))) if moving else own.withColumn("scene", F.lit(0).cast("long"))
-    own = own.groupBy(*own_key).applyInPandas(fold, "match_id long, shot_id long, scene long, frame_index long, det_id long, track_id long, opens long")
+    own = fold_groups(own, own_key, ("frame_index", "det_id"), fold, "match_id long, shot_id long, scene long, frame_index long, det_id long, track_id long, opens long")
     return _numbered_through(own, "track_id", "shot_id", "scene").drop("scene")
 
 
@@ -167,8 +168,8 @@ def position_at(asked: DataFrame, points: DataFrame, edge_ms: int = 400, most_ga
     q = asked.select("match_id", "track_id", "t_ms", "point_id", F.lit(1).alias("kind"))
     here = F.struct(F.col("t_ms").alias("t"), "x", "y")
     both = q.unionByName(points.select("match_id", "track_id", "t_ms", here.alias("p"), F.lit(0).alias("kind")), allowMissingColumns=True)
-    w = Window.partitionBy("match_id", "track_id").orderBy("t_ms", "kind")
-    seen = both.withColumns({"a": F.last("p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("p", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("kind = 1")
+    back, ahead = both_ways(("match_id", "track_id"), ("t_ms", "kind"))
+    seen = both.withColumns({"a": F.last("p", True).over(back), "b": F.last("p", True).over(ahead)}).filter("kind = 1")
     a, b, t = F.col("a"), F.col("b"), F.col("t_ms")
     share = F.when(b["t"] > a["t"], (t - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
     open_ = F.lit(True) if most_gap_ms is None else b["t"] - a["t"] <= most_gap_ms
@@ -321,31 +322,46 @@ def chain_broken(tracks: DataFrame, width: float, gap_sec: float = 0.5, share: f
 def seed_tracks(detections: DataFrame, width: float, share: float = 0.08, apart: float = 60.0) -> DataFrame:
     """``clip_id, frame_index, det_id, track_id``: in each frame every track in turn takes the nearest detection of its colour.
 
-    ``detections`` are (clip_id, frame_index, det_id, x, y, h, s, v) of clips of some seconds; each clip is folded by itself."""
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
-        out = []
-        for frame, own in pdf.sort_values(["frame_index", "det_id"]).groupby("frame_index", sort=True):
-            free = {r.det_id: ((r.x, r.y), None if pd.isna(r.h) else (r.h, r.s, r.v)) for r in own.itertuples()}
-            for k, t in enumerate(tracks):
-                kit = t["kits"].middle() if t["kits"].n else None
-                like = [(math.dist(at, t["at"]), i) for i, (at, own_kit) in free.items() if kit is None or own_kit is None or colour_gap(own_kit, kit) <= apart]
+    ``detections`` are (clip_id, frame_index, det_id, x, y, h, s, v) of clips of some seconds; each clip is folded by itself.
+    Of rows with the same frame and ``det_id`` one counts: that with the largest place and colour, unread colours last."""
+
+    def fold(key: tuple, c: dict[str, np.ndarray]) -> tuple:
+        frames, dets = c["frame_index"].tolist(), c["det_id"].tolist()
+        at = list(zip(c["x"].tolist(), c["y"].tolist()))
+        kits = [None if h is None or h != h else (h, s, v) for h, s, v in zip(c["h"].tolist(), c["s"].tolist(), c["v"].tolist())]
+        places: list[tuple] = []
+        colours: list[Middle] = []
+        taken, seen = [-1] * len(dets), []
+        a = 0
+        while a < len(dets):
+            b = a + 1
+            while b < len(dets) and frames[b] == frames[a]:
+                b += 1
+            free = [i for i in range(a, b) if i + 1 == b or dets[i + 1] != dets[i]]
+            seen += free
+            for k, place in enumerate(places):
+                if not free:
+                    break
+                kit = colours[k].middle() if colours[k].n else None
+                like = [(math.dist(at[i], place), i) for i in free if kit is None or kits[i] is None or colour_gap(kits[i], kit) <= apart]
                 best = min(like, default=None)
                 if best and best[0] <= share * width:
-                    at, own_kit = free.pop(best[1])
-                    t["at"] = at
-                    if own_kit:
-                        t["kits"].add(own_kit)
-                    out.append((key[0], frame, best[1], k))
-            for i, (at, own_kit) in free.items():
-                out.append((key[0], frame, i, len(tracks)))
-                tracks.append({"at": at, "kits": Middle()})
-                if own_kit:
-                    tracks[-1]["kits"].add(own_kit)
-        return pd.DataFrame(out, columns=["clip_id", "frame_index", "det_id", "track_id"])
-
-    return detections.groupBy("clip_id").applyInPandas(fold, "clip_id long, frame_index long, det_id long, track_id long")
+                    i = best[1]
+                    free.remove(i)
+                    places[k], taken[i] = at[i], k
+                    if kits[i]:
+                        colours[k].add(kits[i])
+            for i in free:
+                taken[i] = len(places)
+                places.append(at[i])
+                colours.append(Middle())
+                if kits[i]:
+                    colours[-1].add(kits[i])
+            a = b
+        return [key[0]] * len(seen), *([column[i] for i in seen] for column in (frames, dets, taken))
+
+    rows = detections.select("clip_id", "frame_index", "det_id", "x", "y", "h", "s", "v")
+    return fold_groups(rows, ("clip_id",), ("frame_index", "det_id", "x", "y", "h", "s", "v"), fold, "clip_id long, frame_index long, det_id long, track_id long")
 
 
 def until_loss(steps: DataFrame) -> DataFrame:
