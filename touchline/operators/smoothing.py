@@ -19,10 +19,12 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.grouped import fold_groups
+
 # fixed values, in pixels of a frame 640 wide, degrees and frames
 MAX_STEP, MAX_JUMP, TURN, RATIO, HOLD, FADE = 120.0, 500.0, 45.0, 1.6, 10, 0.6
 
@@ -68,13 +70,13 @@ def advance(track: Track, sight: tuple[float, float] | None, conf: float) -> tup
 def smooth_ball(samples: DataFrame) -> DataFrame:
     """``match_id, shot_id, frame_index, x, y, conf, seen`` after smoothing; one fold per match and shot, where the state begins anew."""
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, c: dict[str, np.ndarray]) -> tuple:
         track, rows = LOST, []
-        for frame, x, y, conf in pdf.sort_values("frame_index").itertuples(index=False):
-            track, out = advance(track, None if pd.isna(x) or pd.isna(y) else (float(x), float(y)), float(conf))
-            rows.append((*key, frame, *(out or (None, None, 0.0, False))))
-        return pd.DataFrame(rows, columns=["match_id", "shot_id", "frame_index", "x", "y", "conf", "seen"])
+        for x, y, conf in zip(c["x"].tolist(), c["y"].tolist(), c["conf"].tolist()):
+            track, out = advance(track, None if x is None or y is None or x != x or y != y else (x, y), conf)
+            rows.append(out or (None, None, 0.0, False))
+        return *([k] * len(rows) for k in key), c["frame_index"], *zip(*rows)
 
     schema = "match_id long, shot_id long, frame_index long, x double, y double, conf double, seen boolean"
     keyed = samples.select("match_id", "shot_id", "frame_index", "x", "y", F.coalesce("conf", F.lit(0.0)).alias("conf"))
-    return keyed.groupBy("match_id", "shot_id").applyInPandas(lambda key, pdf: fold(key, pdf[["frame_index", "x", "y", "conf"]]), schema)
+    return fold_groups(keyed, ("match_id", "shot_id"), ("frame_index",), fold, schema)
