@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.grouped import fold_groups
 from touchline.tables import Stage
 
 # The 33 spots of a pitch as (name, share of the length, share of the width, metres added along, metres added across).
@@ -82,19 +83,20 @@ def solve(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
 def fit_homographies(placed: DataFrame) -> DataFrame:
     """``match_id, frame_index, h, residual``: pitch metres to pixels and the median error; frames of four distinct spots or more."""
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["match_id", "frame_index", "h", "residual"])
-        if pdf.landmark.nunique() < 4:
+    def fit(key: tuple, c: dict[str, np.ndarray]) -> tuple:
+        empty = ([], [], [], [])
+        if len(set(c["landmark"])) < 4:
             return empty
-        src, dst = pdf[["px", "py"]].to_numpy(float), pdf[["x", "y"]].to_numpy(float)
+        src, dst = np.column_stack([c["px"], c["py"]]).astype(float), np.column_stack([c["x"], c["y"]]).astype(float)
         h = solve(src, dst)
         if h is None:
             return empty
         q = np.hstack([src, np.ones((len(src), 1))]) @ h.T
         error = np.sqrt(((q[:, :2] / q[:, 2:] - dst) ** 2).sum(axis=1))
-        return pd.DataFrame({"match_id": [key[0]], "frame_index": [key[1]], "h": [h.ravel().tolist()], "residual": [float(np.median(error))]})
+        return [key[0]], [key[1]], [h.ravel().tolist()], [float(np.median(error))]
 
-    return placed.groupBy("match_id", "frame_index").applyInPandas(fit, "match_id long, frame_index long, h array<double>, residual double")
+    rows = placed.select("match_id", "frame_index", "landmark", "px", "py", "x", "y")
+    return fold_groups(rows, ("match_id", "frame_index"), ("landmark", "x", "y"), fit, "match_id long, frame_index long, h array<double>, residual double")
 
 
 def apply_map(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
