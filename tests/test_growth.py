@@ -62,3 +62,16 @@ def test_folds_of_shots_clips_and_frames_are_not_handed_over_one_by_one(spark):
     for out in (smoothing.smooth_ball(frames), tracks.seed_tracks(dets, 640.0), tracks.track_players(boxes), pitch.fit_homographies(clicks)):
         assert not _grouped_by_python(out)
     assert [r.track_id for r in tracks.seed_tracks(dets.unionByName(dets.withColumn("h", F.lit(None).cast("double"))), 640.0).collect()] == [0] * 4
+
+
+def test_slopes_of_a_camera_are_found_in_one_pass():
+    """Errors of many vectors at once are those of each by itself."""
+    import numpy as np
+
+    from touchline.operators import pitch
+
+    rng = np.random.default_rng(1)
+    for shares in (None, rng.random((8, 2))):
+        p = pitch.PoseProblem(np.repeat([3, 7], 4), rng.random((8, 2)) * 60, rng.random((8, 2)) * 300, (320.0, 180.0), shares)
+        many = p.start(1.4, 0.2) + rng.random((5, len(p.low)))
+        assert np.allclose(p.errors(many), [p.errors(v) for v in many], rtol=1e-12)

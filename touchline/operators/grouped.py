@@ -19,18 +19,20 @@ def _differs(values: np.ndarray) -> np.ndarray:
     return ~((values[1:] == values[:-1]) | (empty[1:] & empty[:-1]))
 
 
-def fold_groups(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold: Callable, schema: str) -> DataFrame:
+def fold_groups(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold: Callable, schema: str, tasks: int | None = None) -> DataFrame:
     """``fold(key, columns)`` over the rows of each group in order; ``columns`` are arrays by name, what comes back are equally long lists or arrays in the order of ``schema``.
 
     ``applyInPandas`` hands over and takes back every group by itself, which costs milliseconds each; here a group is a slice of its
     batch, and only one that goes on in the next batch is kept until it is whole."""
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = (rows.repartition(tasks, *keys) if tasks else rows.repartition(*keys)).sortWithinPartitions(*keys, *order)
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    def folded(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+    def folded(pdf: pd.DataFrame, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
         columns = {c: pdf[c].to_numpy() for c in pdf.columns}
         parts = [fold(tuple(columns[k][a] for k in keys), {c: v[a:b] for c, v in columns.items()}) for a, b in zip(bounds, bounds[1:])]
-        return pd.DataFrame({n: _joined([p[i] for p in parts]) for i, n in enumerate(names)}, columns=names)
+        out = pd.DataFrame({n: _joined([p[i] for p in parts]) for i, n in enumerate(names)}, columns=names)
+        if len(out):  # a frame without rows has no types of its own
+            yield out
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -47,9 +49,9 @@ def fold_groups(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...],
             bounds = np.concatenate([[0], np.flatnonzero(changed) + 1])
             held = [pdf.iloc[bounds[-1] :]]
             if len(bounds) > 1:
-                yield folded(pdf.iloc[: bounds[-1]], bounds)
+                yield from folded(pdf.iloc[: bounds[-1]], bounds)
         if held:
             pdf = pd.concat(held, ignore_index=True)
-            yield folded(pdf, np.array([0, len(pdf)]))
+            yield from folded(pdf, np.array([0, len(pdf)]))
 
     return dealt.mapInPandas(step, schema)

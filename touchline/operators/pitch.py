@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,11 +174,12 @@ def camera_map(pose: np.ndarray, centre: tuple[float, float]) -> np.ndarray:
 
 
 def look_from(turns: np.ndarray, roll: float) -> np.ndarray:
-    """The axes right, down and forward (n, 3, 3) of cameras by pan and tilt (n, 2) and a shared roll."""
-    (sp, st), (cp, ct) = np.sin(turns).T, np.cos(turns).T
+    """The axes right, down and forward (..., n, 3, 3) of cameras by pan and tilt (..., n, 2) and a shared roll."""
+    sp, st, cp, ct = np.sin(turns[..., 0]), np.sin(turns[..., 1]), np.cos(turns[..., 0]), np.cos(turns[..., 1])
+    roll = np.asarray(roll)[..., None, None]
     flat = np.zeros_like(sp)
     right, down, forward = np.stack([sp, -cp, flat], -1), np.stack([-cp * st, -sp * st, -ct], -1), np.stack([cp * ct, sp * ct, -st], -1)
-    return np.stack([np.cos(roll) * right + np.sin(roll) * down, np.cos(roll) * down - np.sin(roll) * right, forward], 1)
+    return np.stack([np.cos(roll) * right + np.sin(roll) * down, np.cos(roll) * down - np.sin(roll) * right, forward], -2)
 
 
 class PoseProblem:
@@ -205,17 +205,18 @@ class PoseProblem:
         return np.clip(np.concatenate([[length / 2, -12.0, 8.0, 800.0, 0.0], np.tile([pan, tilt], len(self.frames)), size]), self.low, self.high)
 
     def errors(self, v: np.ndarray) -> np.ndarray:
-        """Differences in pixels, two a click, at most ``FAR``: all clicks at once, each along the axes of its frame.
+        """Differences in pixels, two a click, at most ``FAR``: all clicks at once, each along the axes of its frame, and for any number of vectors ``v``.
 
         Depths below ``NEAR_M`` go on as an exponential, and what they lack is added downwards squared. So a point behind the camera
         lies ever further below the picture, value and slope change without a jump, and the fit can climb back from there."""
         k = len(self.frames)
-        spots = self.metres if self.shares is None else self.metres + self.shares * v[-2:]
-        rays = np.column_stack([spots, np.zeros(len(spots))]) - v[:3]
-        right, down, depth = np.einsum("nij,nj->in", look_from(v[5 : 5 + 2 * k].reshape(k, 2), v[4])[self.of], rays)
+        spots = self.metres if self.shares is None else self.metres + self.shares * v[..., None, -2:]
+        rays = np.concatenate([spots, np.zeros((*spots.shape[:-1], 1))], axis=-1) - v[..., None, :3]
+        axes = look_from(v[..., 5 : 5 + 2 * k].reshape(*v.shape[:-1], k, 2), v[..., 4])[..., self.of, :, :]
+        right, down, depth = np.moveaxis(np.einsum("...nij,...nj->...ni", axes, rays), -1, 0)
         lack = np.maximum(self.NEAR_M - depth, 0.0)
         depth = np.where(lack > 0, self.NEAR_M * np.exp(-np.minimum(lack / self.NEAR_M, 60.0)), depth)
-        seen = np.stack([right, down + lack**2], axis=1) * (v[3] / depth)[:, None] + self.centre
+        seen = np.stack([right, down + lack**2], axis=-1) * (v[..., None, 3] / depth)[..., None] + self.centre
         return np.clip(seen - self.pixels, -self.FAR, self.FAR)
 
     def solve(self, v: np.ndarray, rounds: int) -> tuple[np.ndarray, float, float]:
@@ -226,7 +227,7 @@ class PoseProblem:
         best = loss(e)
         for _ in range(rounds):
             step = 1e-6 * np.maximum(np.abs(v), 1e-2)
-            jac = np.stack([(self.errors(v + np.eye(len(v))[k] * step[k]) - e).ravel() / step[k] for k in range(len(v))], axis=1)
+            jac = (self.errors(v + np.diag(step)) - e).reshape(len(v), -1).T / step
             weight = 1 / np.sqrt(1 + (e.ravel() / self.SOFT) ** 2)
             normal, slope = (jac * weight[:, None]).T @ jac, (jac * weight[:, None]).T @ e.ravel()
             for _ in range(8):
@@ -264,23 +265,24 @@ def fit_poses(placed: DataFrame, centre: tuple[float, float] = (320.0, 180.0), s
     parts = ("dx", "dy", "l", "w") if free_size else ("px", "py")
     clicks = placed.join(usable, "match_id").select("match_id", "frame_index", "x", "y", *parts)
 
-    def solved(pdf: pd.DataFrame, rounds: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", *parts, "x", "y"])
-        p = PoseProblem(pdf["frame_index"].to_numpy(), pdf[[*parts[:2]]].to_numpy(float), pdf[["x", "y"]].to_numpy(float), centre, pdf[["l", "w"]].to_numpy(float) if free_size else None)
-        if "begin" in pdf:
-            begin = np.array([] if pdf["begin"].iloc[0] is None else pdf["begin"].iloc[0], float)
+    def solved(key: tuple, c: dict[str, np.ndarray], rounds: int) -> tuple:
+        pairs = lambda a, b: np.column_stack([c[a], c[b]]).astype(float)
+        p = PoseProblem(c["frame_index"], pairs(*parts[:2]), pairs("x", "y"), centre, pairs("l", "w") if free_size else None)
+        if "begin" in c:
+            begin = np.array([] if c["begin"][0] is None else c["begin"][0], float)
             if len(begin) != len(p.low) or not np.isfinite(begin).all():
-                return pd.DataFrame(columns=["match_id", "start", "pose", "frames", "median_px", "rms_px"])
+                return ([],) * 6
             begin = np.clip(begin, p.low, p.high)
         else:
-            begin = p.start(pdf["pan"].iloc[0], pdf["tilt"].iloc[0])
+            begin = p.start(c["pan"][0], c["tilt"][0])
         v, median, rms = p.solve(begin, rounds)
-        return pd.DataFrame({"match_id": [pdf["match_id"].iloc[0]], "start": [pdf["start"].iloc[0]], "pose": [v.tolist()], "frames": [p.frames.tolist()], "median_px": [median], "rms_px": [rms]})
+        return [key[0]], [key[1]], [v.tolist()], [p.frames.tolist()], [median], [rms]
 
     schema = "match_id long, start int, pose array<double>, frames array<long>, median_px double, rms_px double"
 
     def fit(rows: DataFrame, rounds: int) -> DataFrame:
-        return rows.groupBy("match_id", "start").applyInPandas(lambda pdf: solved(pdf, rounds), schema)
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much to solve: not to be put together
+        return fold_groups(rows, ("match_id", "start"), ("frame_index", *parts, "x", "y"), lambda key, c: solved(key, c, rounds), schema, tasks)
 
     polished = None
     if seeds is not None:
