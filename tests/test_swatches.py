@@ -106,6 +106,20 @@ def test_without_a_palette_the_band_of_grass_is_left_out(spark, palette):
     assert len(rows) == 1 and _near((rows[0].r, rows[0].g, rows[0].b), BLUE)
 
 
+def test_readings_do_not_read_the_pixels_again(spark, palette):
+    """What uses readings several times (kits, swatches) must not count and cluster all pixels each time."""
+    out = W.standout_colours(_frame(spark, {(0, 1): _mix(random.Random(5), (TURF, 60), (RED, 50))}), palette)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "logicalrdd" not in plan and "aggregate" not in plan and out.count() == 1
+
+
+def test_medians_of_counted_values():
+    rng = np.random.default_rng(8)
+    for size in range(1, 30):
+        values, counts = rng.integers(0, 9, size), rng.integers(1, 5, size)
+        assert W.weighted_median(values, counts) == np.median(np.repeat(values, counts))
+
+
 def _match(m, kits, rng, crops=9):
     out = {}
     for c in range(crops):

@@ -7,6 +7,8 @@ differ in lightness and yellow and blue in colour."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from touchline.functions import columns as X
 from touchline.operators import colour
+from touchline.operators.grouped import fold_groups
 from touchline.tables import Stage
 
 # fixed values
@@ -27,6 +30,7 @@ LEAST_CROPS = 4  # of a match to tell two kits
 SWATCH_SHARE, SWATCH_APART, MOST_SWATCHES = 0.18, 60.0, 3
 ROUNDS = 8
 STEP = 4  # of Lab in the sketch of a pitch
+BROADCAST_ROWS = 100_000  # of a palette; longer ones are joined by shuffle
 
 
 def lloyd(points: np.ndarray, counts: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -58,11 +62,12 @@ def part(name: str):
     return lambda s: s[name]
 
 
-def sketch(rows: DataFrame, key: list[str], names: tuple[str, str, str], step: int = 1, sums: bool = False) -> DataFrame:
-    """One row a key: arrays ``x, y, z`` of its colours (in steps) and ``n`` of their numbers, the most frequent first; with ``sums`` also those of the colours themselves."""
+def sketch(rows: DataFrame, key: list[str], names: tuple[str, str, str], step: int = 1, weight: Column | None = None) -> DataFrame:
+    """One row a key: arrays ``x, y, z`` of its colours (in steps) and ``n`` of their numbers, the most frequent first; rows that count ``weight`` times also give the sums of the colours themselves."""
     q = [F.floor(F.col(c) / step).cast("int") for c in names]
-    bins = rows.groupBy(*key, *[c.alias(a) for c, a in zip(q, "xyz")]).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(f"s{a}") for c, a in zip(names, "xyz") if sums])
-    fields = [a for a in "xyz"] + ["n"] + [f"s{a}" for a in "xyz" if sums]
+    sums = [] if weight is None else [F.sum(weight * F.col(c).cast("long")).alias(f"s{a}") for c, a in zip(names, "xyz")]
+    bins = rows.groupBy(*key, *[c.alias(a) for c, a in zip(q, "xyz")]).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"), *sums)
+    fields = [*"xyz", "n"] + [f"s{a}" for a in "xyz" if sums]
     whole = bins.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), *fields))).alias("bins"))
     return whole.select(*key, *[F.transform("bins", part(f)).alias(f) for f in fields], F.aggregate("bins", F.lit(0).cast("long"), lambda t, b: t + b["n"]).alias("total"))
 
@@ -95,8 +100,9 @@ def second_colour(a: Column, b: Column) -> Column:
 
 def pitch_palette(pixels: DataFrame) -> DataFrame:
     """``match_id, place, l, a, b, share``: what the pitch of each match is made of, from the pixels (match_id, r, g, b) of its lower middle."""
-    coloured = pixels.select("match_id", lab(F.col("r"), F.col("g"), F.col("b")).alias("c")).select("match_id", "c.*")
-    whole = sketch(coloured, ["match_id"], ("l", "a", "b"), STEP, sums=True)
+    counted = pixels.groupBy("match_id", *"rgb").agg(F.count("*").alias("n"))
+    coloured = counted.select("match_id", "n", lab(F.col("r"), F.col("g"), F.col("b")).alias("c")).select("match_id", "n", "c.*")
+    whole = sketch(coloured, ["match_id"], ("l", "a", "b"), STEP, F.col("n"))
     parts = clusters(whole, ["match_id"], F.least(F.lit(PITCH_K), F.greatest(F.lit(1), F.floor(F.col("total") / 50))).cast("int"))
     g = parts.groupBy("match_id", "cluster").agg(F.sum("n").alias("n"), F.first("total").alias("total"), *[F.sum(f"s{c}").alias(f"s{c}") for c in "xyz"]).withColumn("share", F.col("n") / F.col("total"))
     place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("n"), "cluster"))
@@ -120,43 +126,81 @@ def pitch_gap(c: Column, refs: Column) -> Column:
     return F.array_min(F.transform(refs, lambda p: lab_gap(c, p)))
 
 
-def without_pitch(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """Pixels of crops that are not the pitch of their match (the band of grass where that is unknown), of crops that keep enough; adds ``refs``."""
-    own = pixels.join(references(palette), "match_id", "left")
-    counted = own.groupBy("match_id", "crop_id", "r", "g", "b").agg(F.count("*").alias("n"), F.first("refs").alias("refs"))
-    seen = counted.withColumns({"hsv": X.rgb_to_hsv(F.struct("r", "g", "b")), "lab": lab(F.col("r"), F.col("g"), F.col("b"))})
-    away = F.coalesce(pitch_gap(F.col("lab"), F.col("refs")) > PITCH_RADIUS, ~colour.is_grass(F.col("hsv.h"), F.col("hsv.s"), F.col("hsv.v")))
-    marked = seen.withColumn("away", away).drop("hsv", "lab")
-    crop = Window.partitionBy("match_id", "crop_id")
-    sized = marked.withColumns({"size": F.sum("n").over(crop), "kept": F.sum(F.when(F.col("away"), F.col("n")).otherwise(0)).over(crop)})
-    enough = F.col("kept") >= F.greatest(F.lit(KEPT_PIXELS), F.floor(KEPT_SHARE * F.col("size")))
-    return sized.filter(F.col("away") & enough).drop("away", "size")
+def with_references(rows: DataFrame, palette: DataFrame) -> DataFrame:
+    """``rows`` with the ``refs`` of their match; ``palette`` is a written table, so it is counted before it is broadcast."""
+    refs = references(palette)
+    return rows.join(F.broadcast(refs) if palette.count() <= BROADCAST_ROWS else refs, "match_id", "left")
 
 
-def standout_colours(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """``match_id, crop_id, place, r, g, b, score``: the one or two colours of each crop that stand out from the pitch.
+def weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
+    """The median of counted values, halfway between the two in the middle."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(counts[order])
+    low, high = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
+    return (float(values[order[low]]) + float(values[order[high]])) / 2
 
-    A colour's score is its distance from the pitch times the root of its share, so neither a big drab part nor a few bright pixels win.
-    A second colour is reported only if it is one of the kit's, not the first in other light."""
+
+def crop_parts(pixels: DataFrame, palette: DataFrame, hues: bool = False) -> DataFrame:
+    """The clusters of what each readable crop shows beside the pitch of its match (the band of grass where that is unknown).
+
+    ``match_id, crop_id, cluster, n, total``, the medians ``x, y, z`` of the cluster, ``mx, my, mz`` of all that is kept and, with
+    ``hues``, ``mh, ms, mv`` of the whole crop. Pixels are read once: counted, then folded crop by crop in shared Arrow batches, so a
+    crop in memory is as large as its number of colours. Pixels without a colour, crop or match count for nothing."""
+    key = ["match_id", "crop_id"]
+    counted = pixels.na.drop(subset=[*key, *"rgb"]).groupBy(*key, *"rgb").agg(F.count("*").alias("n"))
+    seen = with_references(counted, palette)
+    hsv = X.rgb_to_hsv(F.struct("r", "g", "b"))
+    seen = seen.withColumns({"hsv": hsv if hues else F.when(F.col("refs").isNull(), hsv), "lab": lab(F.col("r"), F.col("g"), F.col("b"))})
+    away = F.coalesce(pitch_gap(F.col("lab"), F.col("refs")) > PITCH_RADIUS, ~colour.is_grass(F.col("hsv.h"), F.col("hsv.s"), F.col("hsv.v")))
+    rows = seen.select(*key, *[F.col(c).cast("long").alias(c) for c in "rgb"], "n", away.alias("away"), *[F.col(f"hsv.{c}").alias(c) for c in "hsv" if hues])
+
+    def fold(k: tuple, c: dict[str, np.ndarray]) -> list:
+        n, away = c["n"], c["away"].astype(bool)
+        total = int(n[away].sum())
+        if total < max(KEPT_PIXELS, READABLE, math.floor(KEPT_SHARE * int(n.sum()))):
+            return [[] for _ in names]
+        points, counts = np.stack([c[v][away] for v in "rgb"], axis=1), n[away]
+        order = np.lexsort((points[:, 2], points[:, 1], points[:, 0], -counts))
+        points, counts = points[order], counts[order]
+        label = lloyd(points, counts, 3 if total >= 60 else 2)
+        whole = [weighted_median(points[:, j], counts) for j in range(3)] + [weighted_median(c[v], n) for v in "hsv" if hues]
+        out = []
+        for j in np.unique(label):
+            own = label == j
+            out.append([*k, int(j), int(counts[own].sum()), total, *[weighted_median(points[own, i], counts[own]) for i in range(3)], *whole])
+        return [list(v) for v in zip(*out)]
+
+    fields = [f"{c} {pixels.schema[c].dataType.simpleString()}" for c in key] + ["cluster int", "n long", "total long"] + [f"{c} double" for c in ("x", "y", "z", "mx", "my", "mz", *(("mh", "ms", "mv") if hues else ()))]
+    names = [f.split(" ")[0] for f in fields]
+    return fold_groups(rows, tuple(key), (), fold, ", ".join(fields))
+
+
+def readings_of(parts: DataFrame, palette: DataFrame) -> DataFrame:
+    """The standout colours of crops from their parts; a crop none of whose parts is large enough has the middle of all, with score 0."""
     key = ["match_id", "crop_id"]
-    kept = without_pitch(pixels, palette).filter(F.col("kept") >= READABLE)
-    order = F.struct((-F.col("n")).alias("order"), F.col("r").alias("x"), F.col("g").alias("y"), F.col("b").alias("z"), "n")
-    bins = kept.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("bins"), F.first("refs").alias("refs"), F.first("kept").alias("total"))
-    whole = bins.select(*key, "total", *[F.transform("bins", part(f)).alias(f) for f in ("x", "y", "z", "n")])
-    parts = clusters(whole, key, F.when(F.col("total") >= 60, 3).otherwise(2))
-    all_ = parts.groupBy(*key).agg(*[middle(c).alias(f"m{c}") for c in "xyz"]).join(bins.select(*key, "refs"), key)
     own = F.coalesce("refs", F.array(lab(*[F.floor(F.col(f"m{c}")) for c in "xyz"])))
-    base = all_.select(*key, *[f"m{c}" for c in "xyz"], own.alias("refs"))
-    g = parts.groupBy(*key, "cluster").agg(F.sum("n").alias("n"), F.first("total").alias("total"), *[middle(c).alias(c) for c in "xyz"])
-    g = g.filter((F.col("n") >= COLOUR_SHARE * F.col("total")) & (F.col("n") >= COLOUR_PIXELS)).join(base.select(*key, "refs"), key)
-    c = lab(*[F.floor(F.col(v)) for v in "xyz"])
-    scored = g.withColumn("lab", c).withColumn("score", pitch_gap(F.col("lab"), F.col("refs")) * F.sqrt(F.col("n") / F.col("total")))
-    ranked = scored.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "cluster", F.col("x").alias("r"), F.col("y").alias("g"), F.col("z").alias("b"), "lab"))).alias("c"))
+    c = with_references(parts, palette).withColumns({"refs": own, "lab": lab(*[F.floor(F.col(v)) for v in "xyz"])})
+    scored = c.withColumn("score", pitch_gap(F.col("lab"), F.col("refs")) * F.sqrt(F.col("n") / F.col("total")))
+    large = (F.col("n") >= COLOUR_SHARE * F.col("total")) & (F.col("n") >= COLOUR_PIXELS)
+    colour_ = F.struct((-F.col("score")).alias("order"), "cluster", F.col("x").alias("r"), F.col("y").alias("g"), F.col("z").alias("b"), "lab")
+    ranked = scored.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(large, colour_))).alias("c"), *[F.max(f"m{v}").alias(f"m{v}") for v in "xyz"])
     first = F.get("c", 0)
     others = F.filter(F.slice("c", 2, 2), lambda o: second_colour(o["lab"], first["lab"]))
-    found = ranked.select(*key, F.posexplode(F.concat(F.array(first), F.slice(others, 1, 1))).alias("at", "s")).select(*key, (F.col("at") + 1).alias("place"), "s.r", "s.g", "s.b", (-F.col("s.order")).alias("score"))
-    drab = base.join(ranked.select(*key), key, "left_anti").select(*key, F.lit(1).alias("place"), F.col("mx").alias("r"), F.col("my").alias("g"), F.col("mz").alias("b"), F.lit(0.0).alias("score"))
-    return found.unionByName(drab)
+    plain = lambda s: F.struct(s["r"].alias("r"), s["g"].alias("g"), s["b"].alias("b"), (-s["order"]).alias("score"))
+    drab = F.array(F.struct(*[F.col(f"m{v}").alias(o) for v, o in zip("xyz", "rgb")], F.lit(0.0).alias("score")))
+    found = F.when(F.size("c") > 0, F.transform(F.concat(F.array(first), F.slice(others, 1, 1)), plain)).otherwise(drab)
+    return ranked.select(*key, F.posexplode(found).alias("at", "s")).select(*key, (F.col("at") + 1).alias("place"), "s.r", "s.g", "s.b", "s.score")
+
+
+def standout_colours(pixels: DataFrame, palette: DataFrame, stage: Stage | None = None) -> DataFrame:
+    """``match_id, crop_id, place, r, g, b, score``: the one or two colours of each crop that stand out from the pitch.
+
+    A colour's score is its distance from the pitch times the root of its share, so neither a big drab part nor a few bright pixels win.
+    A second colour is reported only if it is one of the kit's, not the first in other light. Readings, a few a crop, are written, so
+    that what is made of them doesn't read the pixels again."""
+    stage = stage or Stage(pixels.sparkSession)
+    palette = stage.write(palette)
+    return stage.write(readings_of(crop_parts(pixels, palette), palette))
 
 
 def lab_kits(readings: DataFrame) -> DataFrame:
@@ -203,11 +247,10 @@ def kit_vote(pixels: DataFrame, palette: DataFrame, stage: Stage | None = None)
     unless it has no other; sides with the same first colour are no two kits. Readings, a few a crop, are written between the steps."""
     stage = stage or Stage(pixels.sparkSession)
     palette = stage.write(palette)
-    crops = pixels.withColumn("c", X.rgb_to_hsv(F.struct("r", "g", "b"))).groupBy("match_id", "crop_id").agg(*[F.median(f"c.{v}").alias(v) for v in "hsv"])
-    whole = [F.floor(F.col(v)) for v in "hsv"]
-    voting = crops.filter(~colour.referee_crop(*whole) & ~colour.neutral_crop(*whole[1:])).select("match_id", "crop_id")
-    readings = stage.write(standout_colours(pixels.join(voting, ["match_id", "crop_id"]), palette))
-    first = readings.filter("place = 1").join(references(palette), "match_id", "left").withColumn("lab", lab(*[F.floor(F.col(v)) for v in "rgb"]))
+    parts = stage.write(crop_parts(pixels, palette, hues=True))
+    whole = [F.floor(F.col(f"m{v}")) for v in "hsv"]
+    readings = stage.write(readings_of(parts.filter(~colour.referee_crop(*whole) & ~colour.neutral_crop(*whole[1:])), palette))
+    first = with_references(readings.filter("place = 1"), palette).withColumn("lab", lab(*[F.floor(F.col(v)) for v in "rgb"]))
     ground = F.coalesce(pitch_gap(F.col("lab"), F.col("refs")) < PITCH_TOLERANCE, F.lit(False))
     worn = stage.write(readings.join(first.filter(~ground).select("match_id", "crop_id"), ["match_id", "crop_id"]))
     teams = stage.write(lab_kits(worn))
