@@ -75,3 +75,12 @@ def test_slopes_of_a_camera_are_found_in_one_pass():
         p = pitch.PoseProblem(np.repeat([3, 7], 4), rng.random((8, 2)) * 60, rng.random((8, 2)) * 300, (320.0, 180.0), shares)
         many = p.start(1.4, 0.2) + rng.random((5, len(p.low)))
         assert np.allclose(p.errors(many), [p.errors(v) for v in many], rtol=1e-12)
+
+
+def test_a_period_is_added_in_one_pass(spark):
+    """Each copy of the ranges that is joined again costs a sort, and the sorts of a task add up."""
+    ranges = spark.createDataFrame([(1, 0.0, 100.0), (1, 150.0, 200.0), (2, 0.0, 200.0), (3, 0.0, 200.0), (3, 0.0, 200.0), (4, 180.0, 190.0), (5, 0.0, 30.0), (5, 35.0, 200.0)], "match_id long, start_sec double, end_sec double")
+    out = intervals.add_period(ranges, 200.0)
+    assert "join" not in _plan(out)
+    rows = {m: sorted((r.start_sec, r.end_sec) for r in out.collect() if r.match_id == m) for m in range(1, 6)}
+    assert rows == {1: [(0, 100), (110, 140), (150, 200)], 2: [(0, 80), (120, 200)], 3: [(0, 80), (0, 200), (120, 200)], 4: [(54, 126), (180, 190)], 5: [(0, 30), (35, 101), (134, 200)]}

@@ -126,24 +126,23 @@ def add_period(ranges: DataFrame, duration: float, least_gap: float = 20.0) -> D
 
     Fixed values: a new period takes 60 % of the stretch, or 40 % but 60 s at least if that is less; a split leaves a fifth of
     the range free, between 20 and 300 s, and needs a range of 40 s."""
-    w = Window.partitionBy("match_id").orderBy("start_sec", "end_sec")
-    own = ranges.select("match_id", "start_sec", "end_sec")
-    before = own.select("match_id", F.coalesce(F.lag("end_sec").over(w), F.lit(0.0)).alias("a"), F.col("start_sec").alias("b"))
-    tail = own.groupBy("match_id").agg(F.max("end_sec").alias("a")).select("match_id", "a", F.lit(float(duration)).alias("b"))
-    free = before.unionByName(tail).filter(F.col("b") - F.col("a") > least_gap)
-    gap = free.groupBy("match_id").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("g"))
-    size = F.col("g.b") - F.col("g.a")
-    span, mid = F.least(size * 0.6, F.greatest(F.lit(60.0), size * 0.4)), (F.col("g.a") + F.col("g.b")) / 2
-    added = gap.select("match_id", (mid - span / 2).alias("start_sec"), (mid + span / 2).alias("end_sec"))
+    whole, w = Window.partitionBy("match_id"), Window.partitionBy("match_id").orderBy("start_sec", "end_sec")
     length = F.col("end_sec") - F.col("start_sec")
-    rank = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc(length), "start_sec"))
-    full = own.join(gap.select("match_id"), "match_id", "left_anti").withColumn("k", rank)
-    hole = F.greatest(F.lit(20.0), F.least(length * 0.2, F.lit(300.0)))
-    half = (length - hole) / 2
-    halves = F.array(F.struct(F.col("start_sec").alias("a"), (F.col("start_sec") + half).alias("b")), F.struct((F.col("end_sec") - half).alias("a"), F.col("end_sec").alias("b")))
-    kept = F.array(F.struct(F.col("start_sec").alias("a"), F.col("end_sec").alias("b")))
-    split = full.select("match_id", F.explode(F.when((F.col("k") == 1) & (length >= 40), halves).otherwise(kept)).alias("r")).select("match_id", F.col("r.a").alias("start_sec"), F.col("r.b").alias("end_sec"))
-    return own.join(gap.select("match_id"), "match_id", "left_semi").unionByName(added).unionByName(split)
+    stretch = lambda a, b: F.struct((b - a).alias("size"), (-a).alias("order"), b.alias("b"))
+    before = stretch(F.coalesce(F.lag("end_sec").over(w), F.lit(0.0)), F.col("start_sec"))
+    rows = ranges.select("match_id", "start_sec", "end_sec").withColumns({"before": before, "k": F.row_number().over(w)})
+    # all of a match in one pass over its sorted rows: the widest free stretch, the widest range (the first of equal ones)
+    rows = rows.withColumns({"free": F.max("before").over(whole), "last": F.max("end_sec").over(whole), "widest": F.max(F.struct(length.alias("size"), (-F.col("k")).alias("k"))).over(whole)})
+    rows = rows.withColumn("g", F.greatest("free", stretch(F.col("last"), F.lit(float(duration)))))
+    size, a = F.col("g.size"), -F.col("g.order")
+    span, mid = F.least(size * 0.6, F.greatest(F.lit(60.0), size * 0.4)), (a + F.col("g.b")) / 2
+    piece = lambda a, b: F.struct(a.alias("start_sec"), b.alias("end_sec"))
+    own = piece(F.col("start_sec"), F.col("end_sec"))
+    half = (length - F.greatest(F.lit(20.0), F.least(length * 0.2, F.lit(300.0)))) / 2
+    halves = F.array(piece(F.col("start_sec"), F.col("start_sec") + half), piece(F.col("end_sec") - half, F.col("end_sec")))
+    roomy, first = size > least_gap, F.col("k") == 1
+    out = F.when(roomy & first, F.array(own, piece(mid - span / 2, mid + span / 2))).when(~roomy & (F.col("k") == -F.col("widest.k")) & (length >= 40), halves).otherwise(F.array(own))
+    return rows.select("match_id", F.inline(out))
 
 
 def shot_of(samples: DataFrame, shots: DataFrame) -> DataFrame:
