@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import hsv_distance
+from touchline.tables import Stage
 
 # fixed values, in units of (2h, s, v) and of the colour distance
 EPS, LEAST_NEAR, LEAST_SIZE = 18.0, 3, 4
 KITS_APART, HUES_APART, PALE, RICH = 45.0, 12.0, 60.0, 100.0
 _BLOCK = 512
+BROADCAST_ROWS = 100_000  # one row a match; more are joined by shuffle
 
 
 def density_labels(x: np.ndarray, weight: np.ndarray, eps: float = EPS, least: int = LEAST_NEAR) -> np.ndarray:
@@ -63,26 +65,29 @@ def classify_crops(crops: DataFrame) -> DataFrame:
 def two_kits(items: DataFrame, rounds: int = 4) -> DataFrame:
     """``match_id, item, side, split``: two groups of kits (match_id, item, h, s, v) grown from a far pair, and whether they are two kits at all.
 
-    The pair is the kit farthest from the mean and the one farthest from that, found by two passes; the rounds are aggregates. Kits
+    The pair is the kit farthest from the mean and the one farthest from that, found by two passes; the rounds are aggregates, which
+    are broadcast while their matches are few, so that a large match stays in its parts. Kits
     are two only if they are far apart, and differ in hue or one of them is pale and the other is not."""
-    kit, w = ("h", "s", "v"), Window.partitionBy("match_id")
+    kit = ("h", "s", "v")
     cols = lambda p="": tuple(F.col(f"{p}{c}") for c in kit)
     rows = items.filter("h is not null and s is not null and v is not null").select("match_id", "item", *kit)
 
     def farthest(centres: DataFrame, name: str) -> DataFrame:
         d = hsv_distance(cols(), cols("m"))
         best = F.max_by(F.struct(*kit), F.struct(d.alias("d"), (-F.col("item")).alias("i")))
-        return rows.join(centres, "match_id").groupBy("match_id").agg(best.alias(name))
+        return rows.join(beside(centres), "match_id").groupBy("match_id").agg(best.alias(name))
 
-    mean = rows.groupBy("match_id").agg(*[F.avg(c).alias(f"m{c}") for c in kit])
+    mean = Stage(items.sparkSession).write(rows.groupBy("match_id").agg(*[F.avg(c).alias(f"m{c}") for c in kit]))
+    few = mean.count() <= BROADCAST_ROWS
+    beside = lambda ends: F.broadcast(ends) if few else ends
     a = farthest(mean, "a")
     b = farthest(a.select("match_id", *[F.col(f"a.{c}").alias(f"m{c}") for c in kit]), "b")
     ends = a.join(b, "match_id").select("match_id", *[F.col(f"{k}.{c}").alias(f"{k}{c}") for k in "ab" for c in kit])
     for _ in range(rounds):
-        sided = rows.join(ends, "match_id").withColumn("side", F.when(hsv_distance(cols(), cols("a")) <= hsv_distance(cols(), cols("b")), 0).otherwise(1))
-        means = sided.groupBy("match_id").agg(*[F.coalesce(F.avg(F.when(F.col("side") == k, F.col(c))), F.first(f"{p}{c}")).alias(f"{p}{c}") for k, p in enumerate("ab") for c in kit])
+        sided = rows.join(beside(ends), "match_id").withColumn("side", F.when(hsv_distance(cols(), cols("a")) <= hsv_distance(cols(), cols("b")), 0).otherwise(1))
+        means = sided.groupBy("match_id").agg(*[F.coalesce(F.avg(F.when(F.col("side") == k, F.col(c))), F.first(f"{p}{c}")).alias(f"{p}{c}") for k, p in enumerate("ab") for c in kit], F.count("*").alias("n"))
         ends = means
     raw = F.abs(F.col("ah") - F.col("bh"))
     hues, pale = F.least(raw, 180 - raw) >= HUES_APART, (F.least("as", "bs") < PALE) & (F.greatest("as", "bs") >= RICH)
     real = (hsv_distance(cols("a"), cols("b")) >= KITS_APART) & (hues | pale)
-    return sided.select("match_id", "item", "side").join(ends.select("match_id", real.alias("real")), "match_id").withColumn("split", F.col("real") & (F.count("*").over(w) >= 3)).drop("real")
+    return sided.select("match_id", "item", "side").join(beside(ends.select("match_id", (real & (F.col("n") >= 3)).alias("split"))), "match_id")
