@@ -84,3 +84,17 @@ def test_a_period_is_added_in_one_pass(spark):
     assert "join" not in _plan(out)
     rows = {m: sorted((r.start_sec, r.end_sec) for r in out.collect() if r.match_id == m) for m in range(1, 6)}
     assert rows == {1: [(0, 100), (110, 140), (150, 200)], 2: [(0, 80), (120, 200)], 3: [(0, 80), (0, 200), (120, 200)], 4: [(54, 126), (180, 190)], 5: [(0, 30), (35, 101), (134, 200)]}
+
+
+def test_two_groups_leave_a_match_in_its_parts(spark):
+    """No row is sent to the task of its match, so a match of half the table is spread as well."""
+    from touchline.operators import clustering, folds
+
+    items = spark.range(6).selectExpr("1L AS match_id", "id AS item", "CAST(id % 2 * 90 AS DOUBLE) AS h", "200.0D AS s", "200.0D AS v")
+    vectors = spark.range(6).selectExpr("1L AS match_id", "id AS item", "array(CAST(id % 2 AS DOUBLE), 1.0D) AS vector")
+    for out in (clustering.two_kits(items), folds.two_means(vectors)):
+        plan = _plan(out)
+        assert "window" not in plan and plan.count("strategy=broadcast") >= 6
+        sides = [r.side for r in out.orderBy("item").collect()]
+        assert sides == sides[:2] * 3 and sides[0] != sides[1]
+    assert {r.split for r in clustering.two_kits(items).collect()} == {True} and {r.split for r in clustering.two_kits(items.limit(2)).collect()} == {False}

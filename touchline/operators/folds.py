@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import iou
+from touchline.tables import Stage
+
+BROADCAST_ROWS = 10_000  # of means, a vector a match; more are joined by shuffle
 
 
 def greedy_clusters(points: DataFrame, radius: float) -> DataFrame:
@@ -63,19 +66,22 @@ def _apart(a: str, b: str):
 def two_means(points: DataFrame, rounds: int = 4) -> DataFrame:
     """``match_id, item, side``: two groups grown from a far pair, after a fixed number of rounds.
 
-    The pair is the vector farthest from the mean and the one farthest from that. Means and farthest vectors are aggregates, so a
-    match of any size is spread over tasks."""
+    The pair is the vector farthest from the mean and the one farthest from that. Means and farthest vectors are aggregates, which
+    are broadcast while their matches are few: a match of any size is spread over tasks, and no vector is sent to its match."""
     rows = points.select("match_id", "item", F.col("vector").cast("array<double>").alias("vector"))
     mean_of = lambda c: vector_to_array(Summarizer.mean(array_to_vector(c)))
 
     def farthest(frm: DataFrame, name: str) -> DataFrame:
-        far = rows.join(frm, "match_id").withColumn("d", _apart("vector", "m"))
+        far = rows.join(beside(frm), "match_id").withColumn("d", _apart("vector", "m"))
         return far.groupBy("match_id").agg(F.max_by("vector", F.struct("d", -F.col("item"))).alias(name))
 
-    a = farthest(rows.groupBy("match_id").agg(mean_of(F.col("vector")).alias("m")), "a")
+    mean = Stage(points.sparkSession).write(rows.groupBy("match_id").agg(mean_of(F.col("vector")).alias("m")))
+    few = mean.count() <= BROADCAST_ROWS
+    beside = lambda ends: F.broadcast(ends) if few else ends
+    a = farthest(mean, "a")
     ends = a.join(farthest(a.withColumnRenamed("a", "m"), "b"), "match_id")
     for _ in range(rounds):
-        sided = rows.join(ends, "match_id").withColumn("side", (_apart("vector", "b") < _apart("vector", "a")).cast("int"))
+        sided = rows.join(beside(ends), "match_id").withColumn("side", (_apart("vector", "b") < _apart("vector", "a")).cast("int"))
         means = sided.groupBy("match_id", "side").agg(mean_of(F.col("vector")).alias("m")).groupBy("match_id").agg(*[F.max(F.when(F.col("side") == k, F.col("m"))).alias(n) for k, n in enumerate(("na", "nb"))])
         ends = ends.join(means, "match_id").select("match_id", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
     return sided.select("match_id", "item", "side")
