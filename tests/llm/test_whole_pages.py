@@ -41,3 +41,25 @@ def test_text_beside_the_longest_element_stays(spark):
 def test_pages_that_fit_no_wrapper_keep_all_articles():
     html = "<body><div>x</div><main><h1>Both</h1><article><p>one</p></article></main><div><article><p>two</p></article></div><article><p>three</p></article></body>"
     assert wrappers.main_text(html) == "Both\none\ntwo\nthree"
+
+
+def test_path_is_found_on_all_pages(spark):
+    """What a handful of pages show does not decide where the text of a host stands."""
+    sampled = {r.id for r in spark.range(40).orderBy(F.xxhash64("id"), "id").limit(wrappers.SAMPLE_PAGES).collect()}
+    story = "words of the story number {i} " * 20
+    htmls = [f"<body><div class=top>Name of the site</div><div class=story>{'Soon' if i in sampled else story.format(i=i)}</div>{f'<div class=live>Live words {i}</div>' if i in sampled else ''}</body>" for i in range(40)]
+    got = _extract(spark, htmls)
+    assert all(got[i] == (["Soon", f"Live words {i}"] if i in sampled else [story.format(i=i).strip()]) for i in range(40))
+
+
+def test_paths_of_a_host_are_those_of_its_pages_in_memory(spark):
+    """Also where they are deeper than a block of levels, with text at each of them."""
+    from touchline.llm.staging import Stage
+
+    deep = lambda i: "".join(f"<div class=d{k}>{'a line ' + str(i * k) if k % 50 == 0 else ''}" for k in range(3 * wrappers.LEVELS)) + f"text number {i} " * 200
+    flat = lambda i: f"<body><div class=a>one line</div><div class=b{i % 2}><section><p>text {i}</p></section></div></body>"
+    sites = {"deep": [deep(i) for i in range(6)], "flat": [flat(i) for i in range(9)], "same": ["<body><p>x</p></body>"] * 4, "one": [flat(1)]}
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", p) for h, site in sites.items() for i, p in enumerate(site)], "page_id long, url string, html string")
+    paths = {r.host: r.path for r in wrappers.host_paths(pages.repartition(5), Stage(spark)).collect()}
+    assert paths == {h: path for h, site in sites.items() if (path := wrappers.content_path([wrappers.parse(p) for p in site]))}
+    assert len(paths["deep"]) == 3 * wrappers.LEVELS and paths["flat"] == ["body"]

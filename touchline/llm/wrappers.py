@@ -1,9 +1,10 @@
 """Operator 4: main text of web pages by wrapper induction.
 
-Pages of one host come from one template. A few of them (``SAMPLE_PAGES``, by a
-hash of the page id) are parsed to element trees whose equal siblings are folded,
-and the trees are aligned by simple tree matching. Where aligned nodes hold the
-same text on all pages they are template; where the text varies they are slots.
+Pages of one host come from one template. All of them are parsed to element trees
+whose equal siblings are folded, so that an element is named by the labels from
+the top to it, and the trees of a host are laid over each other by these names.
+An element that holds the same text on all its pages is template; where the text
+varies it is a slot, and weighs as much as its different texts have characters.
 The wrapper of a host is the path to the deepest element that holds nearly all
 varying text outside links and page furniture. Every page of the host is then
 aligned with that wrapper: its text are the blocks below the element and those
@@ -30,11 +31,13 @@ within the content, as little as names that may belong to a part of the article
 
 A host with one page, or a page that does not fit its wrapper, falls back on the
 page's own structure: all its article and main elements, else the whole page.
-Sampling ids and counting are combined before the shuffle, a path is found on at
-most ``SAMPLE_PAGES`` pages, and the table of wrappers is broadcast only up to
+Texts and elements are counted per batch before the shuffle, no task holds what is
+known of a host, and the table of wrappers is broadcast only up to
 ``SMALL_CHARS`` characters, so a host with a third of all pages is spread like
-any other. Parsing, folding and matching use no recursion and take time in
-proportion to a page (times a logarithm), however deep or wide it is.
+any other. Parsing, folding and weighing use no recursion and take time in
+proportion to a page (times a logarithm), however deep or wide it is: an element
+names at most ``LEVELS`` of those around it, and weights climb by as many levels
+a round, one round for all but very deep pages.
 
 Defined results: a null html is empty and gives an empty text; a null url counts
 as the empty host; null page ids stay null; repeated rows give repeated results;
@@ -51,18 +54,20 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.arrow import columns, map_batches
-from touchline.llm.staging import Stage, with_ids
+from touchline.llm.staging import Stage
 from touchline.llm.url_rules import host_of
 
-SAMPLE_PAGES = 8
+SAMPLE_PAGES = 8  # a handful, for tests only: the operator reads all pages
+LEVELS = 128
+ROWS = 10_000  # counts in a batch that is handed on
 LEAST_PAGES = 3  # different pages that show a text to be template
 SMALL_CHARS = 16 << 20
 MOST = 0.9  # share of the varying text that the content element holds; what stands beside it stays as well
@@ -109,7 +114,8 @@ class Node:
         self.tag, self.label, self.named, self.drop, self.kids, self.sum, self.doubt = tag, label, named, drop, [], b"", doubt  # doubt: what a name is worth that the structure doesn't bear out
 
 
-def _element(tag: str, attributes: str, inside: bool) -> Node:
+def _element(tag: str, attributes: str, inside: bool) -> tuple[str, str, bool, int, int]:
+    """What a node is made of."""
     names = {}
     if attributes:
         for key, *values in _NAME.findall(attributes):
@@ -130,7 +136,14 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
                 doubt = IN_DOUBT_INSIDE if inside else IN_DOUBT
         elif words & _WEAK and not (inside and words & _WEAK <= _HEADING):
             drop = WEAK
-    return Node(tag, label, bool(names), drop, doubt)
+    return tag, label, bool(names), drop, doubt
+
+
+_known = lru_cache(maxsize=4096)(_element)  # a template repeats its tags
+
+
+def _node(tag: str, attributes: str, inside: bool) -> Node:
+    return Node(*(_known if len(attributes) <= 200 else _element)(tag, attributes, inside))
 
 
 def _tokens(html: str):
@@ -178,10 +191,12 @@ def parse(html: str) -> Node:
         """Whether the structure bears out names in doubt: of an element itself, or of children that are alike."""
         if n.doubt and chars and not control and 2 * in_links < chars:
             n.drop = NEVER if n.doubt == IN_DOUBT_INSIDE else WEAK
-        alike = Counter(k.label for k in n.kids if isinstance(k, Node) and k.doubt and k.tag not in _TEXT_LEVEL)
-        for k in n.kids if alike else ():
-            if isinstance(k, Node) and k.doubt and alike[k.label] > 1:
-                k.drop = ALWAYS
+        named = [k for k in n.kids if isinstance(k, Node) and k.doubt]
+        if len(named) > 1:
+            alike = Counter(k.label for k in named if k.tag not in _TEXT_LEVEL)
+            for k in named:
+                if alike[k.label] > 1:
+                    k.drop = ALWAYS
 
     def close(depth: int, whole: bool) -> None:
         for k in range(len(stack) - 1, depth - 1, -1):
@@ -230,7 +245,7 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in _HOLDERS:
                     break
-        node = _element(tag, attributes, count["article"] + count["main"] > 0)
+        node = _node(tag, attributes, count["article"] + count["main"] > 0)
         stack[-1].kids.append(node)
         if tag in _CONTROLS:
             controls[-1] = True
@@ -250,6 +265,12 @@ def _digest(*parts: bytes) -> bytes:
     return blake2b(b"\0".join(parts), digest_size=8).digest()
 
 
+@lru_cache(maxsize=1 << 15)
+def _below(above: bytes, label: str) -> bytes:
+    """The name of an element of that label below another."""
+    return _digest(above, label.encode("utf-8", "surrogatepass"))
+
+
 def name_texts(root: Node) -> Node:
     """Sets ``sum`` of all elements, from the leaves up; furniture takes no part."""
     order, todo = [], [root]
@@ -339,7 +360,7 @@ def fold(root: Node) -> Shape:
 
 
 def heaviest(places: list[int], weights: list[int]) -> list[int]:
-    """The items of the increasing subsequence of ``places`` with the largest sum of ``weights``."""
+    """The items of the increasing subsequence of ``places`` with the largest sum of ``weights``; trees are laid over each other without it."""
     ends: list[tuple[int, int]] = []  # (place, sum), both growing
     last: list[int] = []
     before = [-1] * len(places)
@@ -359,66 +380,54 @@ def heaviest(places: list[int], weights: list[int]) -> list[int]:
     return out[::-1]
 
 
-def match(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
-    """Simple tree matching: the largest set of pairs of equal labels that keeps parents and order.
-
-    A label occurs once among siblings, so the best pairs of children are a heaviest increasing subsequence, found from the leaves up."""
-    if a.label != b.label:
-        return []
-    pairs, children = [(a, b)], []
-    for at, (x, y) in enumerate(pairs):  # grows while it is read
-        place = {label: i for i, label in enumerate(y.kids)}
-        own = [(place[label], len(pairs) + i) for i, label in enumerate(k for k in x.kids if k in place)]
-        pairs += [(k, y.kids[label]) for label, k in x.kids.items() if label in place]
-        children.append(own)
-    size, chosen = [1] * len(pairs), [[]] * len(pairs)
-    for at in range(len(pairs) - 1, -1, -1):
-        own = children[at]
-        best = heaviest([p for p, _ in own], [size[k] for _, k in own])
-        chosen[at] = [own[i][1] for i in best]
-        size[at] = 1 + sum(size[k] for k in chosen[at])
-    out, todo = [], [0]
-    while todo:
-        at = todo.pop()
-        out.append(pairs[at])
-        todo += chosen[at]
-    return out
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "big", signed=True) or 1
+
+
+# what a page tells of an element: its name, key and characters of its text; of the element of a path that it is or stands in: the names
+# from its block of ``LEVELS`` levels down to it, the name above that block, label and level
+WEIGHED = ("node", "t", "chars", "up", "above", "label", "level")
+NO_PATH = ("p", "h1", "h2", "h3", "li", "ul", "ol", "blockquote")
 
 
-def _preorder(top: Shape) -> list[Shape]:
-    out = [top]
-    for s in out:  # grows while it is read
-        out += s.kids.values()
+def weigh(root: Node) -> list[tuple]:
+    """``WEIGHED`` of all folded elements of a page. Paths go neither into ``NO_PATH`` nor below an article or main element."""
+    out: list[tuple] = []
+    todo: list = [(fold(root), b"", ((1,), 0, "", 0), False)]
+    while todo:
+        shape, name, place, closed = todo.pop()
+        text = "" if shape.link else shape.text
+        out.append((_number(name) if name else 1, _number(_digest(text.encode("utf-8", "surrogatepass"))) if text else 0, len(text), *place))
+        up, above, _, level = place
+        for label, kid in shape.kids.items():
+            below, tag = _below(name, label), label.split(".")[0].split("#")[0]
+            if closed or tag in NO_PATH:
+                todo.append((kid, below, place, True))
+            else:
+                new = (level + 1) % LEVELS == 0
+                todo.append((kid, below, ((*(() if new else up), _number(below)), up[-1] if new else above, label, level + 1), tag in _MAIN))
     return out
 
 
 def content_path(roots: list[Node]) -> list[str]:
-    """The path of labels to the content element of some pages."""
-    shapes = [fold(r) for r in roots]
-    base = max(shapes, key=lambda s: len(_preorder(s)))
-    texts: dict[int, list[str]] = defaultdict(list)
-    for shape in shapes:
-        for a, b in match(base, shape):
-            texts[id(a)].append(b.text)
-    varying: dict[int, float] = {}
-    for s in reversed(_preorder(base)):
-        own = texts.get(id(s), [])
-        weight = 0.0 if s.link or (len(set(own)) <= 1 < len(own)) else sum(map(len, own)) / max(len(own), 1)
-        varying[id(s)] = weight + sum(varying[id(k)] for k in s.kids.values())
-    total = varying[id(base)]
-    if not total:
-        return []
-    path, here = [], base
-    while True:
-        inner = max(here.kids.values(), key=lambda k: varying[id(k)], default=None)
-        tag = inner.label.split(".")[0].split("#")[0] if inner else ""
-        if inner is None or varying[id(inner)] < MOST * total or tag in ("p", "h1", "h2", "h3", "li", "ul", "ol", "blockquote"):
-            break
-        path.append(inner.label)
-        here = inner
-        if tag in _MAIN:
-            break
-    return path
+    """The path of labels to the content element of some pages; ``host_paths`` finds the same for many."""
+    texts: dict[int, dict[int, int]] = defaultdict(dict)
+    seen: Counter = Counter()
+    places: dict[int, tuple] = {}
+    for node, t, chars, *place in (row for r in roots for row in weigh(r)):
+        texts[node][t] = chars
+        seen[node] += 1
+        places[node] = place
+    mass: Counter = Counter()
+    for node, found in texts.items():
+        mass[places[node][0][-1]] += 0 if len(found) == 1 < seen[node] else sum(found.values())
+    elements = sorted((n for n, p in places.items() if p[0][-1] == n), key=lambda n: -places[n][3])
+    for n in elements:
+        if n != 1:
+            up, above, *_ = places[n]
+            mass[up[-2] if len(up) > 1 else above] += mass[n]
+    heavy = [n for n in elements if mass[1] and mass[n] >= MOST * mass[1]]
+    return [places[n][2] for n in reversed(heavy) if n != 1]
 
 
 def induce(pages: list[str]) -> dict:
@@ -433,7 +442,7 @@ def induce(pages: list[str]) -> dict:
 
 
 def _key(*parts: bytes) -> int:
-    return int.from_bytes(_digest(*parts), "big", signed=True) or 1
+    return _number(_digest(*parts))
 
 
 def _menu(node: Node) -> bool:
@@ -459,7 +468,7 @@ def parts(root: Node, path: list[str]) -> tuple[list[Node], set[tuple[int, int]]
     name_texts(root)
     nodes, above, menus, out = [root], b"", set(), []
     for label in path:
-        inner, below = [], _digest(above, label.encode("utf-8", "surrogatepass"))
+        inner, below = [], _below(above, label)
         for n in nodes:
             row: list[int] = []
             for i, kid in enumerate([*n.kids, None]):
@@ -479,7 +488,7 @@ def parts(root: Node, path: list[str]) -> tuple[list[Node], set[tuple[int, int]]
                 elif _menu(kid):
                     menus.add((id(n), i))
                 elif kid.sum:
-                    here = _digest(above, kid.label.encode("utf-8", "surrogatepass"))
+                    here = _below(above, kid.label)
                     out.append(([(id(n), i)], _key(here), _key(here, kid.sum)))
         nodes, above = inner, below
     todo = [(n, above) for n in nodes]
@@ -487,7 +496,7 @@ def parts(root: Node, path: list[str]) -> tuple[list[Node], set[tuple[int, int]]
         node, above = todo.pop()
         for i, kid in enumerate(node.kids):
             if isinstance(kid, Node) and kid.drop != ALWAYS:
-                here = _digest(above, kid.label.encode("utf-8", "surrogatepass"))
+                here = _below(above, kid.label)
                 todo.append((kid, here))
                 if kid.named and kid.sum:
                     out.append(([(id(node), i)], _key(here), _key(here, kid.sum)))
@@ -550,33 +559,52 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
     return "\n".join(blocks(root))
 
 
-def host_paths(pages: DataFrame, stage: Stage) -> DataFrame:
-    """``host, path`` to the content element, from ``SAMPLE_PAGES`` pages of each host."""
-    ids = pages.filter("page_id is not null").select("page_id", host_of(F.coalesce("url", F.lit(""))).alias("host"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = stage.write(ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_PAGES).select(F.col("page_id").alias("doc_id"), "host"))
-    sampled = with_ids(pages.select(F.col("page_id").alias("doc_id"), "url", "html"), chosen.select("doc_id").distinct(), "left_semi", chosen.count())
-    dealt = sampled.select(host_of(F.coalesce("url", F.lit(""))).alias("host"), "html").repartition("host").sortWithinPartitions("host")
+def _weighed(pages: DataFrame) -> DataFrame:
+    """``host``, ``WEIGHED`` and the number of pages ``n``: every element of a host with each of its texts."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int32(), pa.int64())
+    names = ["host", *WEIGHED, "n"]
 
-    def step(batches):
-        now, held = None, []
-
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([content_path([parse(h) for h in held])], pa.list_(pa.string()))], ["host", "path"])
+    def handed_on(seen: Counter) -> pa.RecordBatch:
+        rows = [(host, *row, n) for (host, row), n in seen.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * len(types), types)], names)
 
+    def step(batches):
         for batch in batches:
+            seen: Counter = Counter()
             for host, html in zip(*columns(batch, "host", "html")):
-                if host != now:
-                    if held:
-                        yield done()
-                    now, held = host, []
-                if html and len(held) < SAMPLE_PAGES:
-                    held.append(html)
-        if held:
-            yield done()
+                if html:
+                    seen.update((host, row) for row in weigh(parse(html)))
+                if len(seen) >= ROWS:
+                    yield handed_on(seen)
+                    seen.clear()
+            yield handed_on(seen)
+
+    rows = pages.select(host_of(F.coalesce("url", F.lit(""))).alias("host"), "html")
+    every = map_batches(rows, step, "host string, node long, t long, chars long, up array<long>, above long, label string, level int, n long")
+    return every.groupBy("host", *WEIGHED).agg(F.sum("n").alias("n"))
 
-    paths = stage.write(map_batches(dealt, step, "host string, path array<string>"))
-    stage.free(chosen)
+
+def host_paths(pages: DataFrame, stage: Stage) -> DataFrame:
+    """``host, path`` to the content element, from all pages of each host; hosts without varying text are left out.
+
+    An element's weight goes to all around it in its block of levels; those of a deeper block first climb to the element above it.
+    Nearly all of a host's weight is in one child at most, so the heavy elements are a chain from the top."""
+    place = ["up", "above", "label", "level"]
+    weight = F.when((F.count("*") == 1) & (F.sum("n") > 1), 0).otherwise(F.sum("chars"))
+    nodes = stage.write(_weighed(pages).groupBy("host", "node", *place).agg(weight.alias("weight")))
+    elements = nodes.filter("node = element_at(up, -1)").select("host", "node", *place)
+    block = F.floor(F.col("level") / LEVELS)
+    weighty = nodes.filter("weight > 0").select("host", *place, "weight")
+    steps: list[DataFrame] = []
+    for b in range(nodes.agg(F.coalesce(F.max(block), F.lit(0))).first()[0], 0, -1):
+        own = reduce(DataFrame.union, [weighty.filter(block == b), *steps[-1:]])
+        steps.append(stage.write(own.groupBy("host", F.col("above").alias("node")).agg(F.sum("weight").alias("weight")).join(elements, ["host", "node"]).select("host", *place, "weight")))
+    mass = reduce(DataFrame.union, [weighty, *steps]).select("host", F.explode("up").alias("node"), "weight").groupBy("host", "node").agg(F.sum("weight").alias("mass"))
+    mass = stage.write(mass)
+    heavy = mass.join(mass.filter("node = 1").select("host", F.col("mass").alias("total")), "host").filter(F.col("mass") >= MOST * F.col("total"))
+    chain = heavy.join(elements, ["host", "node"]).filter("level > 0").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("level", "label"))).alias("chain"))
+    paths = stage.write(chain.select("host", F.col("chain.label").alias("path")))
+    stage.free(nodes, mass, *steps)
     return paths
 
 
