@@ -98,3 +98,16 @@ def test_two_groups_leave_a_match_in_its_parts(spark):
         sides = [r.side for r in out.orderBy("item").collect()]
         assert sides == sides[:2] * 3 and sides[0] != sides[1]
     assert {r.split for r in clustering.two_kits(items).collect()} == {True} and {r.split for r in clustering.two_kits(items.limit(2)).collect()} == {False}
+
+
+def test_a_task_sorts_no_more_pixels_of_a_larger_table(spark, monkeypatch):
+    from touchline.operators import colour
+
+    px = spark.range(6000).selectExpr("id % 50 AS crop_id", "CAST(id * 7919 % 13 + id DIV 50 % 2 * 80 AS DOUBLE) AS h", "CAST(100 + id % 97 AS DOUBLE) AS s", "CAST(100 + id % 89 AS DOUBLE) AS v")
+    px = px.union(px.limit(100).selectExpr("CAST(NULL AS BIGINT)", "h", "s", "v"))
+    rows = lambda df: {(r.crop_id, r.place): pytest.approx((r.h, r.s, r.v)) for r in df.collect()}
+    whole = rows(colour.shirt_colours(px, "crop_id"))
+    monkeypatch.setattr(colour, "TASK_PIXELS", 100, raising=False)
+    small = colour.shirt_colours(px, "crop_id")
+    assert small.rdd.getNumPartitions() == 60
+    assert {(r.crop_id, r.place): (r.h, r.s, r.v) for r in small.collect()} == whole and whole.keys() == {(k, p) for k in range(50) for p in (1, 2)}

@@ -68,7 +68,7 @@ ch AS (SELECT crop_id, n, r, mean, (mean + d) - floor((mean + d) / (2 * pi())) *
     f"""WITH {_P}, q AS (SELECT * FROM p), {_CIRC} SELECT crop_id, n, {_R('mean * (90 / pi())', 3)} % 180 AS hue_mean, {_R('med * (90 / pi())', 3)} % 180 AS hue_median, {_R('sqrt(-2 * ln(r)) * (90 / pi())', 3)} AS hue_std FROM ch"""
 )
 def q_circular_hue(spark, sf_dir):
-    return K.circular_hue(project(spark, sf_dir, "lineitem", PIXELS), "crop_id").select("crop_id", "n", *[(X.rounded(F.col(c), 3) % 180).alias(c) for c in ("hue_mean", "hue_median")], X.rounded(F.col("hue_std"), 3).alias("hue_std"))
+    return K.circular_hue(K.dealt(project(spark, sf_dir, "lineitem", PIXELS), "crop_id"), "crop_id").select("crop_id", "n", *[(X.rounded(F.col(c), 3) % 180).alias(c) for c in ("hue_mean", "hue_median")], X.rounded(F.col("hue_std"), 3).alias("hue_std"))
 
 
 @query(
@@ -76,7 +76,7 @@ def q_circular_hue(spark, sf_dir):
 SELECT crop_id, {_R('med * (90 / pi())', 3)} % 180 AS h, s, v FROM ch JOIN o USING (crop_id)"""
 )
 def q_jersey_colour(spark, sf_dir):
-    return K.representative(project(spark, sf_dir, "lineitem", PIXELS), "crop_id").withColumn("h", X.rounded(F.col("h"), 3) % 180)
+    return K.representative(K.dealt(project(spark, sf_dir, "lineitem", PIXELS), "crop_id"), "crop_id").withColumn("h", X.rounded(F.col("h"), 3) % 180)
 
 
 @query(f"WITH {_P}, c AS (SELECT *, {_GRASS} AS grass, count(*) OVER (PARTITION BY crop_id) AS n, count(*) FILTER (WHERE NOT {_GRASS}) OVER (PARTITION BY crop_id) AS k FROM p) SELECT crop_id, count(*) AS kept FROM c WHERE NOT grass AND k >= greatest(8, floor(n * 0.12::DOUBLE)) GROUP BY crop_id")
